@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canonical
+from codeloom.llm import canonical, syntax
 from codeloom.runtime import read
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.unparsable(read(spark, root, "walked_files"))
+
+
+def p3_report(spark: SparkSession, root: str) -> DataFrame:
+    return syntax.report(read(spark, root, "walked_files"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return canonical.same_looking(read(spark, root, "documents"))
 
@@ -16,5 +24,5 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return canonical.canonical_rows(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p8_found, p8_canonical)}
 SQL: dict[str, str] = {}
