@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import canonical, syntax
+from codeloom.llm import canonical, handwritten, syntax
 from codeloom.runtime import read
 
 
@@ -16,6 +16,14 @@ def p3_report(spark: SparkSession, root: str) -> DataFrame:
     return syntax.report(read(spark, root, "walked_files"))
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return handwritten.not_handwritten(read(spark, root, "walked_files"))
+
+
+def p5_report(spark: SparkSession, root: str) -> DataFrame:
+    return handwritten.report(read(spark, root, "walked_files"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return canonical.same_looking(read(spark, root, "documents"))
 
@@ -24,5 +32,5 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return canonical.canonical_rows(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p8_found, p8_canonical)}
 SQL: dict[str, str] = {}
