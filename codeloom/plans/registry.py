@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-NAMES = ("records",)
+NAMES = ("records", "corpus")
 
 
 def modules() -> list:
