@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-NAMES = ("records", "corpus")
+NAMES = ("records", "corpus", "relations")
 
 
 def modules() -> list:
