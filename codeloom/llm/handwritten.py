@@ -58,6 +58,8 @@ _TOKEN = re.compile(r'""|[^\W\d]\w*|\d[\w.]*|[^\s\w]')
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _MEMBER = re.compile(r"([^\W\d]\w*)\s*\(")
 _HEAD = re.compile(r"_*[A-Z]?[a-z]+(?=[A-Z_\d])")
+_DIGIT = re.compile(r"\d")
+_MAY_NOT = re.compile(r"(?i)parses\b|do not edit the|not generated|written by hand")
 _NAME_RUN = re.compile(r"[^\W\d]\w*")
 _NUMBER_RUN = re.compile(r"\d[\w.]*")
 FEATURES = (
@@ -66,20 +68,30 @@ FEATURES = (
 )
 
 
-def split(text: str, language: str | None) -> tuple[str, str]:
-    """(code, comments): code with literals as empty strings. Never fails: what does not end is left in the code."""
+def split(text: str, language: str | None) -> tuple[str, str, str]:
+    """(code, code with its literals, comments): code has literals as empty strings. Never fails: what does not end stays code."""
     if language not in syntax.LEXERS:
-        return text, ""
+        return text, text, ""
+    code: list[str] = []
+    whole: list[str] = []
     comments: list[str] = []
-
-    def part(m: re.Match) -> str:
+    at = 0
+    for m in syntax._lexer(language).finditer(text):
         kind = m.lastgroup
+        if kind not in ("k", "s"):
+            continue
+        before, found = text[at : m.start()], m[0]
+        at = m.end()
         if kind == "k":
-            comments.append(m[0])
-            return "\n" if "\n" in m[0] else " "
-        return '""' if kind == "s" else m[0]
-
-    return syntax._lexer(language).sub(part, text), "\n".join(comments)
+            comments.append(found)
+            code += (before, "\n" if "\n" in found else " ")
+            whole.append(before)
+        else:
+            code += (before, '""')
+            whole += (before, found)
+    code.append(text[at:])
+    whole.append(text[at:])
+    return "".join(code), "".join(whole), "\n".join(comments)
 
 
 def _entropy(counts: Counter) -> float:
@@ -92,59 +104,53 @@ def measure(content: bytes | None, language: str | None) -> tuple[list[float], i
     if content is None:
         return [0.0] * len(FEATURES), 0, False, None
     text = content.decode("utf-8", "replace").lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    code, comments = split(text, language)
-    label, foreign = 0, False
+    code, whole, comments = split(text, language)
+    label, foreign, shown = 0, False, comments
     if comments:
-        said = NOT_NOTICE.sub("", comments)
+        said = NOT_NOTICE.sub("", comments) if _MAY_NOT.search(comments) else comments
         label = 1 if GENERATED.search(said) else 2 if MINIFIED.search(said) else 0
         foreign = bool(THIRD_PARTY.search(said))
-    shown = "".join(x for x in comments.split("\n") if not any(p.search(x) for p in (GENERATED, MINIFIED, THIRD_PARTY)))
+        if label or foreign:
+            shown = "".join(x for x in comments.split("\n") if not any(p.search(x) for p in (GENERATED, MINIFIED, THIRD_PARTY)))
     dense = "".join(code.split())
-    tokens = _TOKEN.findall(code)
-    words = [x for x in tokens if x[0].isalpha() or x[0] == "_"]
-    literals = sum(1 for x in tokens if x == '""' or x[0].isdigit())
-    if not label and literals >= 20 and literals > 0.9 * (literals + len(words)):
+    tokens = Counter(_TOKEN.findall(code))
+    names = {x: k for x, k in tokens.items() if x[0].isalpha() or x[0] == "_"}
+    literals = sum(k for x, k in tokens.items() if x == '""' or x[0].isdigit())
+    words = sum(names.values())
+    if not label and literals >= 20 and literals > 0.9 * (literals + words):
         label = 3
-    names = Counter(words)
-    lines = [x.strip() for x in code.split("\n") if x.strip()]
-    shapes = {_NUMBER_RUN.sub("0", _NAME_RUN.sub("w", x)) for x in lines}
-    distinct = list(names)
-    firsts = Counter(m[0].lower() for x in distinct if len(x) > 3 and (m := _WORDS.search(x)) and m.end() < len(x))
+    lines = [x for x in map(str.strip, _NUMBER_RUN.sub("0", _NAME_RUN.sub("w", code)).split("\n")) if x]
+    stripped = [x for x in map(str.strip, code.split("\n")) if x]
+    lengths = list(map(len, stripped))
+    firsts = Counter(m[0].lower() for x in names if len(x) > 3 and (m := _WORDS.search(x)) and m.end() < len(x))
     members = [(x, m.end()) for x in set(_MEMBER.findall(code)) if (m := _HEAD.match(x))]
     grid = len({x[:k].lower() for x, k in members}) + len({x[k:].strip("_").lower() for x, k in members})
-    n, many = max(1, len(words)), max(1, len(distinct))
-    raw = code.encode()
+    n, many = max(1, words), max(1, len(names))
+    raw = "\n".join(stripped).encode()
     features = [
         len(zlib.compress(raw, 1)) / max(1, len(raw)),
-        _entropy(Counter(tokens)),
+        _entropy(tokens),
         sum(len(x) * k for x, k in names.items()) / n,
         sum(k for x, k in names.items() if len(x) <= 2) / n,
         many / n,
         len(shown) / max(1, len(shown) + len(dense)),
-        math.log1p(max(map(len, lines), default=0)),
+        math.log1p(max(lengths, default=0)),
         math.log1p(len(dense) / max(1, len(lines))),
-        sum(map(str.isdigit, dense)) / max(1, len(dense)),
-        len(shapes) / max(1, len(lines)),
+        sum(map(dense.count, "0123456789")) / max(1, len(dense)),
+        len(set(lines)) / max(1, len(lines)),
         _entropy(firsts),
-        sum(1 for x in distinct if any(c.isdigit() for c in x)) / many,
+        sum(1 for x in names if _DIGIT.search(x)) / many,
         math.log1p(len(lines)),
         code.count("(") / n,
-        sum(names[x] for x in ("if", "for", "while", "foreach", "switch", "match", "each", "throw", "raise")) / max(1, len(lines)),
+        sum(names.get(x, 0) for x in ("if", "for", "while", "foreach", "switch", "match", "each", "throw", "raise")) / max(1, len(lines)),
         grid / (2 * len(members)) if members else 1.0,  # names that combine few heads with few tails
-        sum(1 for x, _ in members if any(c.isdigit() for c in x)) / max(1, len(members)),
+        sum(1 for x, _ in members if _DIGIT.search(x)) / max(1, len(members)),
         float(len(members)),
     ]
-    kept = re.sub(r"\s+", "", _restore(text, language)) if len(dense) >= COPY_CHARS else ""
+    kept = "".join(whole.split()) if len(dense) >= COPY_CHARS else ""
     return features, label, foreign, hashlib.blake2b(kept.encode(), digest_size=16).digest() if kept else None
 
 
-def _restore(text: str, language: str | None) -> str:
-    """The code with its literals: what a copy keeps however it is commented."""
-    if language not in syntax.LEXERS:
-        return text
-    return syntax._lexer(language).sub(lambda m: m[0] if m.lastgroup != "k" else " ", text)
-
-
 _SCHEMA = "file_id long, repo string, path string, label int, notice boolean, code binary, features array<double>"
 
 
