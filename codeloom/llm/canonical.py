@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.runtime import cut
+
 # Letters of other scripts with the shape of a Latin letter, and hyphens with the shape of the hyphen-minus.
 LOOK_ALIKES = {
     # Cyrillic
@@ -114,7 +116,7 @@ def _canonical(texts: pd.Series) -> pd.Series:
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text column. Plain printable ASCII never leaves the JVM's side of the plan unchanged work."""
+    """The canonical form of a text column. Plain printable ASCII is its own form; it goes through the Python stage as null."""
     plain = ~text.rlike("[^\\n -~]")
     return F.when(text.isNull() | plain, text).otherwise(_canonical(F.when(~plain, text)))
 
@@ -134,6 +136,7 @@ def same_looking(documents: DataFrame, key: str = "doc_id", text: str = "text")
     live = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"))
     marked = live.select("id", F.sha2("text", 256).alias("stored"), canonical(F.col("text")).alias("form")).select("id", "stored", F.sha2("form", 256).alias("form"))
     marked = marked.withColumn("stored", F.unhex("stored")).withColumn("form", F.unhex("form"))
+    marked = cut(marked)  # read twice below; the forms are not made twice
     several = marked.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("form")
     rows = marked.join(several, "form", "left_semi").distinct()
     a, b = (rows.select("form", F.col("id").alias(f"{key}_{x}"), F.col("stored").alias(f"stored_{x}")) for x in "ab")
