@@ -399,21 +399,37 @@ _PHP_WORDS = re.compile(r"\b(?:abstract|final|class|interface|trait|enum|extends
 _PHP_BAD = re.compile(r"(?:package|import|from|def|fn\s+\w|func|pub|impl|using|let)\b(?!\s*\()|[@*<]")
 
 
+def _php_part(text: str, at: int) -> tuple[str, int]:
+    """(lexed code from at on, place after the tag that ends it or the end of the text)."""
+    out: list[str] = []
+    for m in _lexer("PHP").finditer(text, at):
+        gap = text[at : m.start()]
+        if (k := gap.find("?>")) >= 0:
+            out.append(gap[:k] + ";")
+            return "".join(out), at + k + 2
+        out.append(gap)
+        if m.lastgroup == "u":
+            raise Fault("unterminated")
+        if m.lastgroup == "k" and not m[0].startswith("/*") and (k := m[0].find("?>")) >= 0:
+            return "".join(out) + ";", m.start() + k + 2  # a tag ends a comment of one line, too
+        out.append('""' if m.lastgroup == "s" else "\n" if "\n" in m[0] else " ")
+        at = m.end()
+    tail = text[at:]
+    k = tail.find("?>")
+    return "".join(out) + (tail if k < 0 else tail[:k] + ";"), len(text) if k < 0 else at + k + 2
+
+
 def _php(text: str) -> None:
     """Only what stands between the tags is PHP; anything else is output."""
-    opened = re.search(r"<\?(?:php\b|=)", text, re.I)
-    if not opened:
-        return
+    tag = re.compile(r"<\?(?:php\b|=)", re.I)
     code = []
-    at = opened.end()
-    inner = lex(text[at:], "PHP")
-    while True:
-        end = inner.find("?>")
-        code.append(inner if end < 0 else inner[:end] + ";")
-        again = re.search(r"<\?(?:php\b|=)", inner[end + 2 :]) if end >= 0 else None
-        if not again:
-            break
-        inner = inner[end + 2 + again.end() :]
+    opened = tag.search(text)
+    while opened:
+        part, end = _php_part(text, opened.end())
+        code.append(part)
+        opened = tag.search(text, end)
+    if not code:
+        return
     body = "\n".join(code)
     if _CONFLICT.search(body):
         raise Fault("conflict")
