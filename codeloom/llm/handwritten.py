@@ -2,8 +2,8 @@
 
 A random forest learns from files whose notices say what they are, and judges all others by features from which the
 notices are hidden: compression ratio, token entropy, identifier lengths, comment density and the regularity of lines and
-names, all taken from the text without comments. Data blobs carry no notices; for the training only, a file whose
-tokens are literals almost throughout is labelled as one, a share that is no feature. Third-party code looks like any
+names, all taken from the text without comments, and marks in the path. Data blobs carry no notices; for the training only, a file whose
+tokens or characters are literals almost throughout is labelled as one, a share that is no feature. Third-party code looks like any
 other code, so it is no matter for the forest: its notices and its folders tell it, and every copy of the same code, however
 commented and laid out, counts with it wherever it lies. A notice decides for its own file.
 
@@ -34,7 +34,7 @@ from codeloom.runtime import broadcast_if_small, cut, partitions
 #: Files the forest is trained on at most; the sample is by hash, so it is the same in every run.
 TRAIN_FILES = 30_000
 #: Score from which a file without notice is no hand-written one. Only a part of such files carry notices, so the score of their kind stays far below one.
-THRESHOLD = 0.16
+THRESHOLD = 0.2
 TREES, DEPTH, SEED = 24, 7, 17
 #: Code of fewer characters is too little to say where a copy comes from.
 COPY_CHARS = 60
@@ -54,6 +54,10 @@ THIRD_PARTY = re.compile(
 # Names of folders that hold third-party code.
 FOLDERS = r"(?i)(^|/)(vendor|vendored|_vendor|node_modules|bower_components|third_party|third-party|thirdparty|3rdparty|3rd_party|deps|external|extern|pods|carthage)/"
 
+# Parts of file names and folders that tools like to use. They are features among others and decide nothing alone.
+NAME_MARK = re.compile(r"(?i)\.(?:gen|generated|pb|g|designer|min|bundle)\.|_pb2?(?:_grpc)?\.|^zz_generated\b|^moc_|[a-z]grpc\.|\.[0-9a-f]{8}\.")
+FOLDER_MARK = re.compile(r"(?i)(?:^|/)(?:generated|__generated__|autogen|src_managed)/")
+
 _TOKEN = re.compile(r'""|[^\W\d]\w*|\d[\w.]*|[^\s\w]')
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _MEMBER = re.compile(r"([^\W\d]\w*)\s*\(")
@@ -64,18 +68,18 @@ _NAME_RUN = re.compile(r"[^\W\d]\w*")
 _NUMBER_RUN = re.compile(r"\d[\w.]*")
 FEATURES = (
     "compression", "token_entropy", "name_length", "short_names", "distinct_names", "comment_density", "longest_line", "mean_line",
-    "digits", "line_shapes", "first_word_entropy", "numbered_names", "lines", "calls", "branches", "name_grid", "numbered_members", "members",
+    "digits", "line_shapes", "first_word_entropy", "numbered_names", "lines", "calls", "branches", "name_grid", "numbered_members", "members", "name_mark", "folder_mark", "longest_literal",
 )
 
 
-def split(text: str, language: str | None) -> tuple[str, str, str]:
-    """(code, code with its literals, comments): code has literals as empty strings. Never fails: what does not end stays code."""
+def split(text: str, language: str | None) -> tuple[str, str, str, int]:
+    """(code, code with its literals, comments, length of the longest literal): code has literals as empty strings. Never fails: what does not end stays code."""
     if language not in syntax.LEXERS:
-        return text, text, ""
+        return text, text, "", 0
     code: list[str] = []
     whole: list[str] = []
     comments: list[str] = []
-    at = 0
+    at = longest = 0
     for m in syntax._lexer(language).finditer(text):
         kind = m.lastgroup
         if kind not in ("k", "s"):
@@ -89,9 +93,10 @@ def split(text: str, language: str | None) -> tuple[str, str, str]:
         else:
             code += (before, '""')
             whole += (before, found)
+            longest = max(longest, len(found))
     code.append(text[at:])
     whole.append(text[at:])
-    return "".join(code), "".join(whole), "\n".join(comments)
+    return "".join(code), "".join(whole), "\n".join(comments), longest
 
 
 def _entropy(counts: Counter) -> float:
@@ -99,12 +104,12 @@ def _entropy(counts: Counter) -> float:
     return -sum(n / total * math.log2(n / total) for n in counts.values()) if total else 0.0
 
 
-def measure(content: bytes | None, language: str | None) -> tuple[list[float], int, bool, bytes | None]:
+def measure(content: bytes | None, language: str | None, path: str | None = None) -> tuple[list[float], int, bool, bytes | None]:
     """(features, label, third-party notice, code digest); label 0 none, 1 generated, 2 minified, 3 data."""
     if content is None:
         return [0.0] * len(FEATURES), 0, False, None
     text = content.decode("utf-8", "replace").lstrip("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    code, whole, comments = split(text, language)
+    code, whole, comments, longest = split(text, language)
     label, foreign, shown = 0, False, comments
     if comments:
         said = NOT_NOTICE.sub("", comments) if _MAY_NOT.search(comments) else comments
@@ -117,7 +122,8 @@ def measure(content: bytes | None, language: str | None) -> tuple[list[float], i
     names = {x: k for x, k in tokens.items() if x[0].isalpha() or x[0] == "_"}
     literals = sum(k for x, k in tokens.items() if x == '""' or x[0].isdigit())
     words = sum(names.values())
-    if not label and literals >= 20 and literals > 0.9 * (literals + words):
+    blob = literals >= 20 and literals > 0.9 * (literals + words)
+    if not label and (blob or len(whole) - len(code) > max(200, 0.9 * len(whole))):
         label = 3
     lines = [x for x in map(str.strip, _NUMBER_RUN.sub("0", _NAME_RUN.sub("w", code)).split("\n")) if x]
     stripped = [x for x in map(str.strip, code.split("\n")) if x]
@@ -146,6 +152,9 @@ def measure(content: bytes | None, language: str | None) -> tuple[list[float], i
         grid / (2 * len(members)) if members else 1.0,  # names that combine few heads with few tails
         sum(1 for x, _ in members if _DIGIT.search(x)) / max(1, len(members)),
         float(len(members)),
+        float(bool(NAME_MARK.search((path or "").rpartition("/")[2]))),
+        float(bool(FOLDER_MARK.search(path or ""))),
+        math.log1p(longest),
     ]
     kept = "".join(whole.split()) if len(dense) >= COPY_CHARS else ""
     return features, label, foreign, hashlib.blake2b(kept.encode(), digest_size=16).digest() if kept else None
@@ -156,7 +165,7 @@ _SCHEMA = "file_id long, repo string, path string, label int, notice boolean, co
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [measure(c, x) for c, x in zip(pdf["content"], pdf["language"])]
+        rows = [measure(c, x, p) for c, x, p in zip(pdf["content"], pdf["language"], pdf["path"])]
         out = pdf[["file_id", "repo", "path"]].copy()
         out["label"], out["notice"], out["code"], out["features"] = [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[0] for r in rows]
         yield out
