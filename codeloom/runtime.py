@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +73,22 @@ def read(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def text(column: Column | str) -> Column:
     return (F.col(column) if isinstance(column, str) else column).cast("string")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package: where their path does not hold it, Spark serves it to them as an archive."""
+    root = Path(__file__).resolve().parents[1]
+    context = spark.sparkContext
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    at_home = context.master.startswith("local[") and Path.cwd() == root
+    if root in known or at_home or context.applicationId in _SHIPPED:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="codeloom-")) / "codeloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for p in sorted((root / "codeloom").rglob("*.py")):
+            out.write(p, p.relative_to(root))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
