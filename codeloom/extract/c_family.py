@@ -32,7 +32,7 @@ def _before(src: Source, at: int) -> list[str]:
         code = src.code[low:at].rstrip()
         end = low + len(code)
         if src.language in ("CSharp", "PHP", "Cpp") and code.endswith("]"):
-            opened = next((a for a, b in src.close.items() if b == end - 1), None)
+            opened = src.opener.get(end - 1)
             if opened is None or re.search(r"[\w)=]\s*$", src.code[max(0, opened - 3) : opened]):
                 return out
             out.insert(0, src.text(opened, end))
@@ -40,7 +40,7 @@ def _before(src: Source, at: int) -> list[str]:
             continue
         stop = end
         if code.endswith(")"):
-            opened = next((a for a, b in src.close.items() if b == end - 1), None)
+            opened = src.opener.get(end - 1)
             if opened is None:
                 return out
             stop = opened
@@ -180,7 +180,6 @@ def _members(src: Source, body: tuple[int, int], owner: str, kind: str) -> tuple
             has_body = block is not None or (language in ("Kotlin", "Scala") and bool(re.search(r"(?<![=<>!])=(?!=)", tail))) or (language == "CSharp" and "=>" in tail)
             given = [p for c in chunks for p in params(language, c)]
             returns = _returns(src, close, block[0] if block else end, m)
-            virtual = language == "Cpp" and "virtual" in src.code[at : m.start("name")]
             if language == "Cpp" and returns:
                 returns = returns.replace("virtual ", "").strip() or None
             common = {"name": name, "span": src.span(at, end), "parameters": given, "return_type": returns}
@@ -188,7 +187,6 @@ def _members(src: Source, body: tuple[int, int], owner: str, kind: str) -> tuple
             signatures.append(common | {"is_async": is_async, "has_default": not is_pure if language == "Cpp" else has_body})
             static = "static" in mods.split() or (language == "Swift" and "class" in mods.split()) or (language == "Cpp" and "static" in src.code[at : m.start("name")])
             methods.append(common | {"file": src.path, "visibility": access if language == "Cpp" else _visibility(language, mods, True), "is_async": is_async, "is_static": static, "is_generator": False, "decorators": [] if name == "init" else decorators, "owner": None, "implements": None})
-            del virtual
             continue
         if language == "Scala":
             continue

@@ -51,19 +51,25 @@ class _Python:
         return [p for p in out if p["name"] not in ("self", "cls")]
 
     def function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
-        own = [x for x in ast.walk(node) if isinstance(x, (ast.Yield, ast.YieldFrom))]
+        own = "yield" in self.src.raw and any(isinstance(x, (ast.Yield, ast.YieldFrom)) for x in ast.walk(node))
         return {
-            "name": node.name, "file": self.src.path, "span": self.span(node), "visibility": _py_visibility(node.name), "is_async": isinstance(node, ast.AsyncFunctionDef), "is_generator": bool(own),
+            "name": node.name, "file": self.src.path, "span": self.span(node), "visibility": _py_visibility(node.name), "is_async": isinstance(node, ast.AsyncFunctionDef), "is_generator": own,
             "parameters": self.params(node.args), "return_type": self.text(node.returns), "decorators": [self.text(d) for d in node.decorator_list],
         }
 
     def scan(self) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("interfaces", "classes", "functions", "imports", "services", "schemas")}
         members: set[ast.AST] = set()
-        for node in ast.walk(self.tree):
+        found, todo = [], [self.tree]
+        while todo:  # statements only: expressions hold no declarations
+            node = todo.pop()
+            for name in ("body", "orelse", "finalbody", "handlers", "cases"):
+                todo += [x for x in getattr(node, name, ()) if isinstance(x, (ast.stmt, ast.excepthandler, ast.match_case))] if isinstance(getattr(node, name, None), list) else []
             if isinstance(node, ast.ClassDef):
                 members |= {x for x in node.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))}
-        for node in sorted((n for n in ast.walk(self.tree) if hasattr(n, "lineno")), key=lambda n: (n.lineno, n.col_offset)):
+            if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef, ast.Import, ast.ImportFrom)):
+                found.append(node)
+        for node in sorted(found, key=lambda n: (n.lineno, n.col_offset)):
             if isinstance(node, ast.ClassDef):
                 self.type(node, out)
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):

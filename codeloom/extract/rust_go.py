@@ -27,7 +27,7 @@ def _rs_attributes(src: Source, at: int) -> list[str]:
         end = at - len(src.code[max(0, at - 800) : at]) + len(code)
         if not code.endswith("]"):
             return out
-        opened = next((a for a, b in src.close.items() if b == end - 1), None)
+        opened = src.opener.get(end - 1)
         if opened is None or src.code[opened - 1 : opened] not in ("#",):
             return out
         out.insert(0, src.text(opened - 1, end))

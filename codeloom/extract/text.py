@@ -65,6 +65,10 @@ class Source:
             out[i] = len(self.code)
         return out
 
+    @cached_property
+    def opener(self) -> dict[int, int]:
+        return {b: a for a, b in self.close.items()}
+
     @cached_property
     def parents(self) -> list[tuple[int, int]]:
         return sorted((a, b) for a, b in self.close.items() if self.code[a] == "{")

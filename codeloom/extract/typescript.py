@@ -56,7 +56,7 @@ def _decorators(src: Source, at: int) -> list[str]:
             at = start
             continue
         last = low + m.start()
-        opened = next((a for a, b in src.close.items() if b == last), None)
+        opened = src.opener.get(last)
         head = re.search(rf"@{W}(?:\.{W})*\s*$", code[max(0, (opened or 0) - 100) : opened]) if opened is not None else None
         if not head:
             break
