@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codeloom import schema
 from codeloom.extract import c_family, python_ruby, rust_go, typescript
 from codeloom.extract.text import Source
+from codeloom.runtime import spread
 
 #: language -> scanner; further languages may be registered.
 SCANNERS: dict[str, Callable[[Source], dict[str, list]]] = {
@@ -69,4 +70,4 @@ def ir_files(files: DataFrame, status: str = "built") -> DataFrame:
     hashed = F.coalesce(F.col("content_hash"), F.sha2("content", 256)) if "content_hash" in files.columns else F.sha2("content", 256)
     known = files.where(F.col("language").isin(list(SCANNERS)) & F.col("content").isNotNull() & F.col("path").isNotNull())
     ready = known.select("path", "language", "content", hashed.alias("content_hash"), schema.confidence(F.lit(status)).alias("confidence"))
-    return ready.mapInArrow(run, _OUT)
+    return spread(ready).mapInArrow(run, _OUT)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.extract import scanner
 from codeloom.operators import query, resolve, sinks, tables, validate, work
-from codeloom.runtime import read, text
+from codeloom.runtime import read, stored, text
 
 METHODS = 13
 KINDS = ("Controller", "Injectable", "Resolver", "Middleware", "Processor")
@@ -74,7 +74,7 @@ def small_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _types(spark: SparkSession, root: str) -> DataFrame:
-    return scanner.ir_files(types_files(spark, root))
+    return stored(scanner.ir_files(types_files(spark, root)))
 
 
 def scan_types_entities(spark: SparkSession, root: str) -> DataFrame:
@@ -94,7 +94,7 @@ def scan_methods_by_owner(spark: SparkSession, root: str) -> DataFrame:
 
 
 def scan_small_entities(spark: SparkSession, root: str) -> DataFrame:
-    return tables.entities(scanner.ir_files(small_files(spark, root))).select("language", "kind", "name", "file", "line")
+    return tables.entities(stored(scanner.ir_files(small_files(spark, root)))).select("language", "kind", "name", "file", "line")
 
 
 def scan_services(spark: SparkSession, root: str) -> DataFrame:
@@ -164,7 +164,7 @@ def children_listing(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_walked_entities(spark: SparkSession, root: str) -> DataFrame:
     files = read(spark, root, "walked_files").select(F.concat_ws("/", "repo", "path").alias("path"), "language", "content", "content_hash")
-    return tables.entities(scanner.ir_files(files))
+    return tables.entities(stored(scanner.ir_files(files)))
 
 
 def scan_walked_stats(spark: SparkSession, root: str) -> DataFrame:

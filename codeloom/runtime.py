@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -53,6 +54,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for stages that take far more work than their bytes suggest.
+
+    A large input has them already and is left as it is; only a small one, of few files, is dealt out.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table in the shared folder and read from there, so that several readers each take the columns they need."""
+    place = f"{shared_dir(df.sparkSession).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
