@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.runtime import cut
+from codeloom.runtime import cut, spread
 
 # Letters of other scripts with the shape of a Latin letter, and hyphens with the shape of the hyphen-minus.
 LOOK_ALIKES = {
@@ -124,7 +124,7 @@ def canonical(text: Column) -> Column:
 def canonical_rows(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, canonical, changed) for every document."""
     form = canonical(F.col(text))
-    return documents.select(F.col(key), F.col(text).alias("stored"), form.alias("canonical")).select(key, "canonical", (F.col("canonical") != F.col("stored")).alias("changed"))
+    return spread(documents.select(key, text)).select(F.col(key), F.col(text).alias("stored"), form.alias("canonical")).select(key, "canonical", (F.col("canonical") != F.col("stored")).alias("changed"))
 
 
 def same_looking(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,7 +133,7 @@ def same_looking(documents: DataFrame, key: str = "doc_id", text: str = "text")
     Classes of equal stored texts are compared first; only documents of canonical forms with several classes are paired, so
     plain copies cost nothing however many there are.
     """
-    live = documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    live = spread(documents.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text")))
     marked = live.select("id", F.sha2("text", 256).alias("stored"), canonical(F.col("text")).alias("form")).select("id", "stored", F.sha2("form", 256).alias("form"))
     marked = marked.withColumn("stored", F.unhex("stored")).withColumn("form", F.unhex("form"))
     marked = cut(marked)  # read twice below; the forms are not made twice

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import syntax
-from codeloom.runtime import broadcast_if_small, cut, partitions
+from codeloom.runtime import broadcast_if_small, cut, partitions, spread
 
 #: Files the forest is trained on at most; the sample is by hash, so it is the same in every run.
 TRAIN_FILES = 30_000
@@ -173,7 +173,7 @@ def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def measured(files: DataFrame) -> DataFrame:
     """file_id, repo, path, label, notice, code, features and folder of each file, written to the shared folder."""
-    rows = files.select("file_id", "repo", "path", "language", "content").mapInPandas(_measured, _SCHEMA)
+    rows = spread(files.select("file_id", "repo", "path", "language", "content")).mapInPandas(_measured, _SCHEMA)
     return cut(rows.withColumn("folder", F.coalesce(F.col("path").rlike(FOLDERS), F.lit(False))))
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.runtime import spread
+
 #: Faults a file can have.
 FAULTS = ("encoding", "unterminated", "conflict", "unbalanced", "premature_end", "foreign", "grammar")
 
@@ -739,7 +741,7 @@ def syntax_fault(content: Column, language: Column, path: Column) -> Column:
 
 def judged(files: DataFrame) -> DataFrame:
     """files (file_id, repo, path, language, content) -> (file_id, repo, language, fault)."""
-    return files.select("file_id", "repo", "language", syntax_fault(F.col("content"), F.col("language"), F.col("path")).alias("fault"))
+    return spread(files.select("file_id", "repo", "language", "content", "path")).select("file_id", "repo", "language", syntax_fault(F.col("content"), F.col("language"), F.col("path")).alias("fault"))
 
 
 def unparsable(files: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.runtime import spread
+
 #: A byte-level vocabulary as ranks; the file has to be at this place on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how byte-level vocabularies of this family cut a text into words.
@@ -55,4 +57,4 @@ def n_tokens(text: Column, path: str = VOCABULARY) -> Column:
 
 def sizes(documents: DataFrame, path: str = VOCABULARY, text: str = "text") -> DataFrame:
     """doc_id, source and tokens of each document, with the digest of its text."""
-    return documents.select("doc_id", "source", n_tokens(F.col(text), path).alias("tokens"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    return spread(documents.select("doc_id", "source", text)).select("doc_id", "source", n_tokens(F.col(text), path).alias("tokens"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
