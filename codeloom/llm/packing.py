@@ -116,7 +116,7 @@ def _round(items: DataFrame, windows: list[tuple[str, int]], shares: dict[str, f
         out["round"], out["shard"], out["seq"], out["slot"], out["fill"] = number, shard, seqs, slots, fills
         return out[[x.split(" ")[0] for x in _PLACED.split(", ")]]
 
-    return cut_items.join(F.broadcast(start), ["window_name", "shard"]).groupBy("window_name", "shard").applyInPandas(run, _PLACED)
+    return cut_items.join(start, ["window_name", "shard"]).groupBy("window_name", "shard").applyInPandas(run, _PLACED)
 
 
 def _shards(items: DataFrame, names: list[str], before: dict[str, int] | None, shard_tokens: int, shard_docs: int) -> dict[str, int]:
