@@ -140,3 +140,26 @@ def test_mix(spark, part_texts):
     assert mixing.mix(df.limit(0), mix).count() == 0 and mixing.mix(df, mix.limit(0)).count() == 0
     again = mixing.mix(df, mix, part_texts=part_texts).collect()
     assert sorted(map(tuple, out)) == sorted(map(tuple, again))
+
+
+def test_every_document_of_a_text_is_used(spark):
+    copies = [(i, "the same words in every copy", "a", "x", 0) for i in range(40)]
+    others = [(100 + i, f"text {i} of the garden window", "b", "x", 0) for i in range(120)] + [(300, "the same words in every copy", "b", "x", 0)]
+    df = spark.createDataFrame(copies + copies[:1] + others, DOCS)
+    mix = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], MIX)
+    out = mixing.mix(df, mix, part_texts=15).collect()
+    uses, tokens_of = Counter(r["doc_id"] for r in out), Counter()
+    for r in out:
+        tokens_of[r["source"]] += r["tokens"]
+    assert {d for d in uses if d < 100} == set(range(40))  # a text in 40 documents has 40 budgets
+    assert all(uses[d] == 2 for d in range(40)) and max(uses.values()) <= 3
+    assert len({(r["doc_id"], r["use_no"]) for r in out}) == len(out)
+    supply = 40 * 2 * tokens.count("the same words in every copy")
+    assert tokens_of["a"] == supply and abs(tokens_of["b"] - supply) < 0.03 * supply
+
+
+def test_documents_of_one_text_do_not_share_a_budget():
+    got = mixing.route({(("a", "b"), 0): 100, (("a",), 1): 100}, {"a": 2 / 3, "b": 1 / 3}, {"a": 2, "b": 2}, apart=True)
+    assert sum(got.values()) == 600
+    spread = mixing.route({(("a",), 0): 100, (("a",), 1): 100}, {"a": 1.0}, {"a": 4}, 100, apart=True)
+    assert spread == {((("a",), 0), "a"): 100}  # texts come before their copies
