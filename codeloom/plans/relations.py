@@ -23,6 +23,12 @@ def _entities(spark: SparkSession, root: str) -> DataFrame:
     return rows.distinct().withColumn("visibility", F.lit(None).cast("string")).withColumn("kind_ord", order[F.col("kind")]).withColumn("ent_ord", F.col("entity_id"))
 
 
+def _scanned(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct rows of entity_summaries without the subsystem stored with them; file is relative to the repository, as the paths in manifests are."""
+    rows = read(spark, root, "entity_summaries").select("entity_id", "manifest_id", "repo", F.regexp_replace("file", r"^\./", "").alias("file"), "name", "kind", "line", "language", "build_status", "confidence", "subsystem_id")
+    return rows.distinct().drop("subsystem_id")
+
+
 def _subsystems(spark: SparkSession, root: str) -> DataFrame:
     """One row per subsystem: of several rows of an id the one registered last."""
     last = Window.partitionBy("manifest_id", "id").orderBy(F.desc("registered_at"), F.desc("dfs_ord"))
@@ -166,6 +172,16 @@ def manifest_candidates(spark, root):
     return manifest.candidates(ents, _subsystems(spark, root)).select("manifest_id", "name", F.array_join("candidates", ",").alias("candidates"))
 
 
+def manifest_candidates_unmatched(spark, root):
+    """Candidates for the entities that match leaves without a subsystem; one without a manifest is held against all manifests of its repository."""
+    rows = _scanned(spark, root)
+    left = manifest.match(rows, _subsystems(spark, root)).where("subsystem_id is null").select("manifest_id", "repo", "name").distinct()
+    of_repo = rows.where("manifest_id is not null").select("repo", "manifest_id").distinct()
+    lost = left.where("manifest_id is null").drop("manifest_id").join(of_repo, "repo")
+    ents = left.where("manifest_id is not null").select("manifest_id", "name").unionByName(lost.select("manifest_id", "name"))
+    return manifest.candidates(ents, _subsystems(spark, root)).select("manifest_id", "name", F.array_join("candidates", ",").alias("candidates"))
+
+
 def manifest_rollup(spark, root):
     return manifest.rollup(_subsystems(spark, root), _entities(spark, root))
 
@@ -293,7 +309,7 @@ QUERIES = {
     for f in (
         file_inventory_by_language, language_of_path, path_parts, path_prefix_component, path_normalized, path_ancestors, glob_filter, content_hash_dups, source_slices, build_status_of_tree, cache_hit_miss,
         cache_lru_evict, cache_prune, cache_stats, entity_kinds, entity_filter_multi, entity_search, entity_detail_last_wins, naming_of_entities, humanized_ids, export_csv_lines, export_markdown_lines,
-        export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_candidates, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
+        export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_candidates, manifest_candidates_unmatched, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
         bootstrap_dir_groups, bootstrap_common_prefix, bootstrap_subsystems, bootstrap_edges_capped, unique_ids, palette_cycle, graph_closure_nodes, graph_closure_edges, orphan_domains, domain_layers,
         domain_grid, edge_bundles, station_fan_out, station_positions, line_positions, visible_edges, visible_lines, partition_slices, partition_round_robin, dirs_collect,
     )
