@@ -142,6 +142,11 @@ def export_markdown_lines(spark, root):
     return sinks.markdown_lines(_entities(spark, root).where("line is not null"))
 
 
+def export_markdown_all_lines(spark, root):
+    """With the entities that have no line."""
+    return sinks.markdown_lines(_entities(spark, root))
+
+
 def export_json_lines(spark, root):
     return sinks.json_lines(_entities(spark, root).select("name", "kind", "file"))
 
@@ -308,7 +313,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_inventory_by_language, language_of_path, path_parts, path_prefix_component, path_normalized, path_ancestors, glob_filter, content_hash_dups, source_slices, build_status_of_tree, cache_hit_miss,
-        cache_lru_evict, cache_prune, cache_stats, entity_kinds, entity_filter_multi, entity_search, entity_detail_last_wins, naming_of_entities, humanized_ids, export_csv_lines, export_markdown_lines,
+        cache_lru_evict, cache_prune, cache_stats, entity_kinds, entity_filter_multi, entity_search, entity_detail_last_wins, naming_of_entities, humanized_ids, export_csv_lines, export_markdown_lines, export_markdown_all_lines,
         export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_candidates, manifest_candidates_unmatched, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
         bootstrap_dir_groups, bootstrap_common_prefix, bootstrap_subsystems, bootstrap_edges_capped, unique_ids, palette_cycle, graph_closure_nodes, graph_closure_edges, orphan_domains, domain_layers,
         domain_grid, edge_bundles, station_fan_out, station_positions, line_positions, visible_edges, visible_lines, partition_slices, partition_round_robin, dirs_collect,

@@ -35,3 +35,10 @@ def test_candidates_of_unmatched(spark, root):
     got = {(r["manifest_id"], r["name"]): r["candidates"] for r in relations.QUERIES["manifest_candidates_unmatched"](spark, root).collect()}
     # helper and the first Ledger are matched; Unlike and the Ledger of manifest 3 are like no subsystem; ledger_audit and Quarry have no manifest
     assert got == {(1, "LedgerStore"): "ledger", (1, "ledger_audit"): "ledger", (2, "Quarry"): "quarry"}
+
+
+def test_markdown_of_all_entities(spark, root):
+    got = sorted(r["line"] for r in relations.QUERIES["export_markdown_all_lines"](spark, root).collect())
+    rows = {(e, n, k, f"{repo}/{f.removeprefix('./')}", x, lang, b) for e, repo, n, k, f, x, lang, b, *_ in ROWS}
+    assert got == sorted(f"| {n} | {k} | {f} | {'' if x is None else x} | {lang} | {b} |" for _, n, k, f, x, lang, b in rows)
+    assert sum(" |  | " in line for line in got) == 2
