@@ -172,6 +172,16 @@ def manifest_coverage(spark, root):
     return manifest.coverage(manifest.match(_manifest_entities(spark, root), _subsystems(spark, root)))
 
 
+def manifest_match_scanned(spark, root):
+    """The scanned entities with their subsystems; one without a manifest is unmatched."""
+    matched = manifest.match(_scanned(spark, root), _subsystems(spark, root))
+    return matched.select("entity_id", "manifest_id", "repo", "file", "name", "kind", "subsystem_id", "match_strategy")
+
+
+def manifest_coverage_scanned(spark, root):
+    return manifest.coverage(manifest_match_scanned(spark, root))
+
+
 def manifest_candidates(spark, root):
     ents = _entities(spark, root).where("subsystem_id is not null").select("manifest_id", "name")
     return manifest.candidates(ents, _subsystems(spark, root)).select("manifest_id", "name", F.array_join("candidates", ",").alias("candidates"))
@@ -314,7 +324,7 @@ QUERIES = {
     for f in (
         file_inventory_by_language, language_of_path, path_parts, path_prefix_component, path_normalized, path_ancestors, glob_filter, content_hash_dups, source_slices, build_status_of_tree, cache_hit_miss,
         cache_lru_evict, cache_prune, cache_stats, entity_kinds, entity_filter_multi, entity_search, entity_detail_last_wins, naming_of_entities, humanized_ids, export_csv_lines, export_markdown_lines, export_markdown_all_lines,
-        export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_candidates, manifest_candidates_unmatched, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
+        export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_match_scanned, manifest_coverage_scanned, manifest_candidates, manifest_candidates_unmatched, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
         bootstrap_dir_groups, bootstrap_common_prefix, bootstrap_subsystems, bootstrap_edges_capped, unique_ids, palette_cycle, graph_closure_nodes, graph_closure_edges, orphan_domains, domain_layers,
         domain_grid, edge_bundles, station_fan_out, station_positions, line_positions, visible_edges, visible_lines, partition_slices, partition_round_robin, dirs_collect,
     )

@@ -42,3 +42,13 @@ def test_markdown_of_all_entities(spark, root):
     rows = {(e, n, k, f"{repo}/{f.removeprefix('./')}", x, lang, b) for e, repo, n, k, f, x, lang, b, *_ in ROWS}
     assert got == sorted(f"| {n} | {k} | {f} | {'' if x is None else x} | {lang} | {b} |" for _, n, k, f, x, lang, b in rows)
     assert sum(" |  | " in line for line in got) == 2
+
+
+def test_scanned_entities_are_matched_or_not(spark, root):
+    out = relations.QUERIES["manifest_match_scanned"](spark, root).collect()
+    assert len(out) == len(set(ROWS))  # the row stored twice counts once
+    got = {r["entity_id"]: (r["subsystem_id"], r["match_strategy"]) for r in out}
+    none = (None, None)
+    assert got == {1: ("ledger", "name_match"), 2: ("ledger", "file_path"), 3: none, 4: none, 5: none, 6: none, 7: none}
+    (total,) = relations.QUERIES["manifest_coverage_scanned"](spark, root).collect()
+    assert (total["total_entities"], total["n_matched"]) == (7, 2) and abs(total["coverage_percent"] - 200 / 7) < 1e-9
