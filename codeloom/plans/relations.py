@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.extract import scanner
 from codeloom.functions import names, paths
 from codeloom.operators import bootstrap, cache, graph, manifest, query, sinks, tables, validate, work
-from codeloom.runtime import read
+from codeloom.runtime import read, stored
 from codeloom.sources import files as sources
 
 BUDGET = 400_000
@@ -77,9 +80,11 @@ def content_hash_dups(spark, root):
 
 
 def source_slices(spark, root):
+    """The source of each scanned entity."""
     files = _files(spark, root)
-    spans = files.select("path", F.lit(3).cast("long").alias("start"), F.least(F.col("size"), F.lit(40)).cast("long").alias("end")).where("end > start")
-    return sources.slice_source(files, spans).select("path", F.sha2("source", 256).alias("digest"))
+    ir = stored(scanner.ir_files(files.select("path", "language", "content", F.sha2("content", 256).alias("content_hash"))))
+    spans = [ir.select("path", F.lit(kind).alias("kind"), F.explode(c).alias("e")).select("path", "kind", "e.span.byte_range.start", "e.span.byte_range.end") for c, (kind, _, _) in tables.KINDS.items()]
+    return sources.slice_source(files, reduce(DataFrame.unionByName, spans)).select("path", "kind", "start", "end", F.sha2("source", 256).alias("digest"))
 
 
 def build_status_of_tree(spark, root):
@@ -93,6 +98,14 @@ def cache_hit_miss(spark, root):
     return hits.agg(F.count("*").alias("hits")).join(misses.agg(F.count("*").alias("misses")))
 
 
+def cache_hit_miss_scanned(spark, root):
+    """Against a store of the files that entity_summaries names as scanned."""
+    files = _files(spark, root).withColumn("content_hash", F.sha2("content", 256))
+    scanned = _entities(spark, root).select(F.col("file").alias("path")).distinct()
+    hits, misses = cache.split(files, files.join(scanned, "path", "left_semi"))
+    return hits.agg(F.count("*").alias("hits")).join(misses.agg(F.count("*").alias("misses")))
+
+
 def cache_lru_evict(spark, root):
     store = _files(spark, root).where("mtime is not null").select("path", F.col("mtime").alias("last_accessed"), "size")
     return cache.evict(store, BUDGET).select("path", "size")
@@ -322,7 +335,7 @@ def dirs_collect(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        file_inventory_by_language, language_of_path, path_parts, path_prefix_component, path_normalized, path_ancestors, glob_filter, content_hash_dups, source_slices, build_status_of_tree, cache_hit_miss,
+        file_inventory_by_language, language_of_path, path_parts, path_prefix_component, path_normalized, path_ancestors, glob_filter, content_hash_dups, source_slices, build_status_of_tree, cache_hit_miss, cache_hit_miss_scanned,
         cache_lru_evict, cache_prune, cache_stats, entity_kinds, entity_filter_multi, entity_search, entity_detail_last_wins, naming_of_entities, humanized_ids, export_csv_lines, export_markdown_lines, export_markdown_all_lines,
         export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_match_scanned, manifest_coverage_scanned, manifest_candidates, manifest_candidates_unmatched, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
         bootstrap_dir_groups, bootstrap_common_prefix, bootstrap_subsystems, bootstrap_edges_capped, unique_ids, palette_cycle, graph_closure_nodes, graph_closure_edges, orphan_domains, domain_layers,

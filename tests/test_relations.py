@@ -1,5 +1,7 @@
 """Queries that take all rows of their tables, against brute force on small tables."""
 
+import hashlib
+
 import pytest
 
 from codeloom.plans import relations
@@ -22,12 +24,16 @@ SUBS = [
     (3, "other", "Other", "d", "built", None, None, None, None, None, None, None, 0, 0, None),
 ]
 
+HEAD, CLASS = "// a long first line with a wide letter: \u00e9, so that no entity lies in the first bytes\n", "export class Ledger {\n  total(): number { return 1; }\n}"
+FILES = [(i, "o/r", path, "TypeScript", text.encode(), None, len(text.encode())) for i, (path, text) in enumerate([("lib/a.ts", HEAD + CLASS + "\n"), ("lib/z.ts", "//\n")])]
+
 
 @pytest.fixture(scope="module")
 def root(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("tables")
     spark.createDataFrame(ROWS, ENTITIES).write.parquet(f"{folder}/entity_summaries.parquet")
     spark.createDataFrame(SUBS, SUBSYSTEMS).write.parquet(f"{folder}/subsystems.parquet")
+    spark.createDataFrame(FILES, "file_id long, repo string, path string, language string, content binary, mtime timestamp, size long").write.parquet(f"{folder}/walked_files.parquet")
     return str(folder)
 
 
@@ -52,3 +58,17 @@ def test_scanned_entities_are_matched_or_not(spark, root):
     assert got == {1: ("ledger", "name_match"), 2: ("ledger", "file_path"), 3: none, 4: none, 5: none, 6: none, 7: none}
     (total,) = relations.QUERIES["manifest_coverage_scanned"](spark, root).collect()
     assert (total["total_entities"], total["n_matched"]) == (7, 2) and abs(total["coverage_percent"] - 200 / 7) < 1e-9
+
+
+def test_slices_are_entities(spark, root):
+    out = relations.QUERIES["source_slices"](spark, root).collect()
+    content = {f"{repo}/{path}": c for _, repo, path, _, c, *_ in FILES}
+    (ledger,) = [r for r in out if r["kind"] == "class"]
+    assert ledger["start"] >= len(HEAD.encode()) > 40 and b"class Ledger" in content[ledger["path"]][ledger["start"] : ledger["end"]]
+    for r in out:
+        assert r["digest"] == hashlib.sha256(content[r["path"]][r["start"] : r["end"]]).hexdigest()
+
+
+def test_hits_of_scanned_files(spark, root):
+    (got,) = relations.QUERIES["cache_hit_miss_scanned"](spark, root).collect()
+    assert (got["hits"], got["misses"]) == (1, 1)
