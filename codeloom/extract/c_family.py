@@ -14,42 +14,50 @@ SWIFT_SERVICES = {"Service": "microservice", "Controller": "http_controller", "R
 JAVA_VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "PatchMapping": "PATCH", "DeleteMapping": "DELETE", "RequestMapping": "GET"}
 CSHARP_VERBS = {"HttpGet": "GET", "HttpPost": "POST", "HttpPut": "PUT", "HttpPatch": "PATCH", "HttpDelete": "DELETE"}
 
-_MODS = r"(?P<mods>(?:(?:public|private|protected|internal|fileprivate|open|package|static|final|abstract|sealed|non-sealed|partial|readonly|data|enum|annotation|inline|value|inner|companion|override|suspend|virtual|async|case|implicit|lazy|indirect|mutating|class|required|convenience|unsafe|new|extern|file|strictfp|default|native|synchronized|transient|volatile|const|tailrec|operator|infix|external|lateinit|var|weak|unowned)(?:\[\w*\]|\(set\))?\s+)*?)"
+_MODS = r"(?P<mods>(?:(?:public|private|protected|internal|fileprivate|open|package|static|final|abstract|sealed|non-sealed|partial|readonly|data|enum|annotation|inline|value|inner|companion|override|suspend|virtual|async|case|implicit|lazy|indirect|mutating|class|required|convenience|unsafe|new|extern|file|strictfp|default|native|synchronized|transient|volatile|const|tailrec|operator|infix|external|lateinit|var|weak|unowned)(?:\[\w*\]|\(set\))?\s++)*?)"
 _KEYWORDS = {
     "Java": "class|interface|@interface|enum|record", "CSharp": "class|interface|struct|enum|record(?:\\s+(?:struct|class))?", "Kotlin": "class|interface|object", "Scala": "class|trait|object",
     "Swift": "class|struct|enum|protocol|extension|actor", "Cpp": "class|struct", "PHP": "class|interface|trait",
 }
 _TYPES = {k: re.compile(rf"(?<![\w.:@]){_MODS}(?P<kw>{v})\s+(?P<name>{W}(?:\.{W})*)\s*(?P<generics><[^{{}};()]*?>|\[[^\]\n]*\])?(?=[\s{{(:;,]|$)") for k, v in _KEYWORDS.items()}
-_DECORATED = {"CSharp": re.compile(r"\[[^\[\]]*\]\s*$")}
-_AT = re.compile(rf"@(?:{W}:)?{W}(?:\.{W})*\s*$")
+_PRIMARY = re.compile(r"\s*(?:private\s+|internal\s+|protected\s+|public\s+|@\w+\s+|constructor\s*)*\(")
 
 
 def _before(src: Source, at: int) -> list[str]:
     """Raw texts of the annotations or attributes right before a place, outermost first."""
     out: list[str] = []
     while True:
-        low = max(0, at - 600)
-        code = src.code[low:at].rstrip()
-        end = low + len(code)
-        if src.language in ("CSharp", "PHP", "Cpp") and code.endswith("]"):
+        end = src.solid(at)
+        if src.language in ("CSharp", "PHP", "Cpp") and end and src.code[end - 1] == "]":
             opened = src.opener.get(end - 1)
-            if opened is None or re.search(r"[\w)=]\s*$", src.code[max(0, opened - 3) : opened]):
+            if opened is None:
                 return out
+            last = src.solid(opened)
+            if last and (src.code[last - 1].isalnum() or src.code[last - 1] in "_)=") and "\n" not in src.code[last:opened]:
+                return out  # an index or a size
             out.insert(0, src.text(opened, end))
             at = opened - (src.code[opened - 1 : opened] == "#")
             continue
-        stop = end
-        if code.endswith(")"):
-            opened = src.opener.get(end - 1)
-            if opened is None:
-                return out
-            stop = opened
-        m = _AT.search(src.code[max(0, stop - 120) : stop])
-        if not m:
+        found = src.annotation_before(at)
+        if not found:
             return out
-        start = max(0, stop - 120) + m.start()
-        out.insert(0, src.text(start, end))
-        at = start
+        out.insert(0, src.text(*found))
+        at = found[0]
+
+
+def _template(src: Source, at: int) -> list[str]:
+    """Parameters of the template<...> right before a place."""
+    end = start = src.solid(at)
+    depth = 0
+    while start:
+        start -= 1
+        c = src.code[start]
+        depth += (c == ">") - (c == "<")
+        if not depth or c in ";{}":
+            break
+    if end and not depth and src.code[end - 1] == ">" and src.word_before(start)[0] == "template":
+        return [re.sub(r"^(?:typename|class)\s+", "", x) for x in split_top(src.code[start + 1 : end - 1])]
+    return []
 
 
 def _names(src: Source, raw: list[str]) -> list[str]:
@@ -114,22 +122,23 @@ def params(language: str, text: str) -> list[dict]:
     return [parameter(n, t, d and language in ("Cpp", "CSharp"), d, r) for n, t, d, r in _before_name(text)]
 
 
+# Blanks are matched possessively throughout: a comment is a run of blanks, of any length.
 _METHOD = {
-    "Java": re.compile(rf"{_MODS}(?:<[^()]*?>\s*)?(?P<type>[\w.<>\[\]?,&\s]+?\s+)?(?P<name>{W})\s*(?=\()"),
-    "CSharp": re.compile(rf"{_MODS}(?P<type>[\w.<>\[\]?,()\s]+?\s+)?(?P<name>{W})\s*(?:<[^()]*?>\s*)?(?=\()"),
-    "Kotlin": re.compile(rf"{_MODS}fun\s+(?:<[^()]*?>\s*)?(?:{W}(?:<[^>]*>)?\.)?(?P<name>{W}|`[^`]*`)\s*(?=\()"),
-    "Scala": re.compile(rf"{_MODS}def\s+(?P<name>{W}|[^\s\w(]+)\s*(?:\[[^\]]*\])?\s*(?=[(:={{\n]|$)"),
-    "Swift": re.compile(rf"{_MODS}(?:func\s+(?P<name>{W})|(?P<init>init)[?!]?)\s*(?:<[^()]*?>)?\s*(?=\()"),
-    "Cpp": re.compile(rf"(?:template\s*<[^;{{}}]*?>\s*)?{_MODS}(?P<type>(?:[\w:<>,*&\s]|::)*?[\s*&>])?(?P<name>{W})\s*(?=\()"),
-    "PHP": re.compile(rf"{_MODS}function\s+&?(?P<name>{W})\s*(?=\()"),
+    "Java": re.compile(rf"{_MODS}(?:<[^()]*?>\s*+)?(?P<type>(?:(?:\w++|[.<>\[\]?,&])\s*+)+?(?<=\s))?(?P<name>{W})\s*+(?=\()"),
+    "CSharp": re.compile(rf"{_MODS}(?P<type>(?:(?:\w++|[.<>\[\]?,()])\s*+)+?(?<=\s))?(?P<name>{W})\s*+(?:<[^()]*?>\s*+)?(?=\()"),
+    "Kotlin": re.compile(rf"{_MODS}fun\s++(?:<[^()]*?>\s*+)?(?:{W}(?:<[^>]*>)?\.)?(?P<name>{W}|`[^`]*`)\s*+(?=\()"),
+    "Scala": re.compile(rf"{_MODS}def\s++(?P<name>{W}|[^\s\w(]+)(?:\s*+\[[^\]]*\])?(?=\s*+(?:[(:={{]|$)|[^\S\n]*\n)"),
+    "Swift": re.compile(rf"{_MODS}(?:func\s++(?P<name>{W})|(?P<init>init)[?!]?)\s*+(?:<[^()]*?>\s*+)?(?=\()"),
+    "Cpp": re.compile(rf"(?:template\s*+<[^;{{}}]*?>\s*+)?{_MODS}(?P<type>(?:(?:\w++|[:<>,*&])\s*+)+?(?<=[\s*&>]))?(?P<name>{W})\s*+(?=\()"),
+    "PHP": re.compile(rf"{_MODS}function\s++&?(?P<name>{W})\s*+(?=\()"),
 }
 _FIELD = {
-    "Java": re.compile(rf"{_MODS}(?P<type>[\w.<>\[\]?,&\s]+?)\s+(?P<names>{W}(?:\s*\[\])?\s*(?:=[^,]*)?(?:,\s*{W}[^,]*)*)$"),
-    "CSharp": re.compile(rf"{_MODS}(?P<type>[\w.<>\[\]?,()\s]+?)\s+(?P<names>{W})\s*(?P<get>\{{|=>|=|$)"),
-    "Kotlin": re.compile(rf"{_MODS}(?P<kw>va[lr])\s+(?P<names>{W})\s*(?::\s*(?P<type>[^=]+?))?\s*(?:=|\bby\b|$|\n)"),
-    "Swift": re.compile(rf"{_MODS}(?P<kw>let|var)\s+(?P<names>{W})\s*(?::\s*(?P<type>[^={{]+?))?\s*(?P<get>[={{]|$)"),
-    "Cpp": re.compile(rf"{_MODS}(?P<type>(?:[\w:<>,*&\s]|::)+?[\s*&>])(?P<names>{W})\s*(?:\[[^\]]*\])?\s*(?:[={{]|$)"),
-    "PHP": re.compile(rf"{_MODS}(?P<type>\??[\w\\|]+\s+)?\$(?P<names>{W})\s*(?:=|$)"),
+    "Java": re.compile(rf"{_MODS}(?P<type>(?:(?:\w++|[.<>\[\]?,&])\s*+)+?)(?<=\s)(?P<names>{W}(?:\s*+\[\])?\s*+(?:=[^,]*)?(?:,\s*+{W}[^,]*)*)$"),
+    "CSharp": re.compile(rf"{_MODS}(?P<type>(?:(?:\w++|[.<>\[\]?,()])\s*+)+?)(?<=\s)(?P<names>{W})\s*+(?P<get>\{{|=>|=|$)"),
+    "Kotlin": re.compile(rf"{_MODS}(?P<kw>va[lr])\s++(?P<names>{W})\s*+(?::\s*+(?P<type>(?:[^=\s]++[^\S\n]*+)+?))?(?=\s*+(?:=|\bby\b|$)|\bby\b|[^\S\n]*\n)"),
+    "Swift": re.compile(rf"{_MODS}(?P<kw>let|var)\s++(?P<names>{W})\s*+(?::\s*+(?P<type>(?:[^={{\s]++\s*+)+?))?(?P<get>[={{]|$)"),
+    "Cpp": re.compile(rf"{_MODS}(?P<type>(?:(?:\w++|[:<>,*&])\s*+)+?)(?<=[\s*&>])(?P<names>{W})\s*+(?:\[[^\]]*\]\s*+)?(?:[={{]|$)"),
+    "PHP": re.compile(rf"{_MODS}(?P<type>\??[\w\\|]++\s++)?\$(?P<names>{W})\s*+(?:=|$)"),
 }
 _NO_METHOD = set("if for while switch return throw new catch else do try foreach using lock super this sizeof alignas static_assert defined".split())
 
@@ -250,16 +259,16 @@ def scan(src: Source) -> dict[str, list]:
             body = None
         if not body and language in ("Cpp", "PHP", "Swift") or kw in ("enum", "@interface"):
             continue
-        paren = re.match(r"\s*(?:private\s+|internal\s+|constructor\s*)*\(", code[m.end() :])
-        head_end = body[0] if body else (src.close[m.end() + paren.end() - 1] + 1 if paren else (line if line >= 0 else len(code)))
+        paren = _PRIMARY.match(code, m.end())
+        head_end = body[0] if body else (src.close[paren.end() - 1] + 1 if paren else (line if line >= 0 else len(code)))
         end = min(body[1] + 1, len(code)) if body else head_end
         start, mods = m.start(), m["mods"] or ""
         raw = _before(src, start)
         decorators = _names(src, raw)
         extends, implements = _supers(src, m.end(), head_end, kw)
         generics = split_top((m["generics"] or "")[1:-1])
-        if language == "Cpp" and (t := re.search(r"template\s*<([^;{}]*)>\s*$", code[max(0, start - 300) : start])):
-            generics = [re.sub(r"^(?:typename|class)\s+", "", x) for x in split_top(t[1])]
+        if language == "Cpp":
+            generics = _template(src, start) or generics
         inside = body or (end, end)
         methods, signatures, properties, pure = _members(src, inside, name, kw)
         plain = [{k: v for k, v in p.items() if k != "_marks"} for p in properties]
@@ -300,7 +309,7 @@ def scan(src: Source) -> dict[str, list]:
 
 def _schema(src, out, m, paren, extends, properties, methods, names, mods, record, start, end, visibility) -> None:
     language, name = src.language, m["name"]
-    inner = src.raw[m.end() + paren.end() : src.close[m.end() + paren.end() - 1]] if paren else ""
+    inner = src.raw[paren.end() : src.close[paren.end() - 1]] if paren else ""
     made = None
     if language == "Java":
         if record:

@@ -10,8 +10,9 @@ W = r"[^\W\d]\w*"
 # ------------------------------------------------------------------ Rust
 _RS_VIS = r"(?P<vis>pub(?:\s*\([^)]*\))?\s+)?"
 _RS_ITEM = re.compile(rf"(?<![\w.]){_RS_VIS}(?:unsafe\s+|auto\s+)*(?P<kw>trait|struct|enum|union)\s+(?P<name>{W})\s*(?P<generics><[^{{}};()]*>)?")
-_RS_FN = re.compile(rf"(?<![\w.]){_RS_VIS}(?P<mods>(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*)fn\s+(?P<name>{W})\s*(?P<generics><[^()]*>)?\s*(?=\()")
-_RS_IMPL = re.compile(r"(?<![\w.>&])(?:unsafe\s+)?impl\b\s*(?P<generics><(?:[^<>]|<[^<>]*>)*>)?\s*(?P<head>[^{};]+?)\s*(?=\{)")
+_RS_FN = re.compile(rf"(?<![\w.]){_RS_VIS}(?P<mods>(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*)fn\s+(?P<name>{W})(?=\s*[<(])")
+_RS_IMPL = re.compile(r"(?<![\w.>&])(?:default\s+)?(?:unsafe\s+)?impl\b")
+_RS_HEAD_END = re.compile(r"[{};]")
 _RS_USE = re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", re.M)
 _RS_TYPE = re.compile(rf"^[ \t]*{_RS_VIS}type\s+(?P<name>{W})\s*(?P<generics><[^=;]*>)?\s*=\s*(?P<target>[^;]+);", re.M)
 
@@ -21,19 +22,32 @@ def _rs_visibility(vis: str | None) -> str:
 
 
 def _rs_attributes(src: Source, at: int) -> list[str]:
+    """Texts of the attributes right before a place."""
     out: list[str] = []
     while True:
-        code = src.code[max(0, at - 800) : at].rstrip()
-        end = at - len(src.code[max(0, at - 800) : at]) + len(code)
-        if not code.endswith("]"):
-            return out
-        opened = src.opener.get(end - 1)
-        if opened is None or src.code[opened - 1 : opened] not in ("#",):
+        end = src.solid(at)
+        opened = src.opener.get(end - 1) if end and src.code[end - 1] == "]" else None
+        if opened is None or src.code[opened - 1 : opened] != "#":
             return out
         out.insert(0, src.text(opened - 1, end))
         at = opened - 1
 
 
+def _rs_open(src: Source, m: re.Match) -> int:
+    """The parenthesis of a function's parameters, behind its type parameters; -1 if there is none."""
+    at = src.skip(src.angles(src.skip(m.end())))
+    return at if src.code[at : at + 1] == "(" else -1
+
+
+def _rs_returns(src: Source, close: int, stop: int) -> str | None:
+    """What stands between the -> behind a function's parameters and its where clause, block or end."""
+    at = src.skip(close + 1)
+    if not src.code.startswith("->", at):
+        return None
+    where = re.search(r"\bwhere\b", src.code[at:stop])
+    return src.text(at + 2, at + where.start() if where else stop)
+
+
 def _rs_params(text: str) -> list[dict]:
     out = []
     for p in split_top(text):
@@ -51,12 +65,15 @@ def _rs_methods(src: Source, body: tuple[int, int]) -> list[tuple[dict, bool]]:
     for m in _RS_FN.finditer(src.code, body[0] + 1, body[1]):
         if src.depth(m.start()) != src.depth(body[0] + 1):
             continue
-        close = src.close[src.code.find("(", m.end() - 1)]
+        opened = _rs_open(src, m)
+        if opened < 0:
+            continue
+        close = src.close[opened]
         block = src.body(close + 1, ";")
         end = min(block[1] + 1, len(src.code)) if block else src.code.find(";", close) + 1 or len(src.code)
-        returns = re.match(r"\s*->\s*([\s\S]*?)\s*(?:\bwhere\b|[{;]|$)", src.code[close + 1 : block[0] + 1 if block else end])
-        given = _rs_params(src.raw[src.code.find("(", m.end() - 1) + 1 : close])
-        out.append(({"name": m["name"], "file": src.path, "span": src.span(m.start(), end), "visibility": _rs_visibility(m["vis"]), "is_async": "async" in m["mods"], "is_static": False, "is_generator": False, "parameters": given, "return_type": src.text(close + 1 + returns.start(1), close + 1 + returns.end(1)) if returns else None, "decorators": _rs_attributes(src, m.start()), "owner": None, "implements": None}, block is not None))
+        returns = _rs_returns(src, close, block[0] if block else end - 1)
+        given = _rs_params(src.raw[opened + 1 : close])
+        out.append(({"name": m["name"], "file": src.path, "span": src.span(m.start(), end), "visibility": _rs_visibility(m["vis"]), "is_async": "async" in m["mods"], "is_static": False, "is_generator": False, "parameters": given, "return_type": returns, "decorators": _rs_attributes(src, m.start()), "owner": None, "implements": None}, block is not None))
     return out
 
 
@@ -94,9 +111,16 @@ def scan_rust(src: Source) -> dict[str, list]:
             out["schemas"].append({"name": m["name"], "file": src.path, "span": base["span"], "kind": "data_transfer", "fields": [field(n, t, t.startswith("Option<")) for n, t, _ in fields], "source_framework": "serde", "table_name": None, "derives": derives, "visibility": base["visibility"]})
     impl_bodies = []
     for m in _RS_IMPL.finditer(code):
-        body = (m.end(), src.close[m.end()])
+        before = src.solid(m.start())
+        if before and code[before - 1] in ">(,:=&<+|":
+            continue  # a type, not a block
+        start = src.angles(src.skip(m.end()))
+        stop = _RS_HEAD_END.search(code, start)
+        if not stop or stop[0] != "{":
+            continue
+        body = (stop.start(), src.close[stop.start()])
         impl_bodies.append(body)
-        head = re.split(r"\bwhere\b", src.raw[m.start("head") : m.end("head")])[0].strip()
+        head = re.split(r"\bwhere\b", src.raw[start : stop.start()])[0].strip()
         trait, _, target = re.sub(r"\s+for\s+(?!<)", "\0", head, count=1).partition("\0")
         trait, target = (trait.strip(), target.strip()) if target else (None, trait.strip())
         methods = [x for x, _ in _rs_methods(src, body)]
@@ -105,18 +129,18 @@ def scan_rust(src: Source) -> dict[str, list]:
         attributes = _rs_attributes(src, m.start())
         if trait and any("tonic" in a or "async_trait" in a for a in attributes):
             out["services"].append({"name": target, "file": src.path, "span": span, "kind": "grpc_service", "methods": methods, "dependencies": [], "decorators": attributes, "routes": []})
-    held = [*impl_bodies, *((b for m in _RS_ITEM.finditer(code) if m["kw"] == "trait" and (b := src.body(m.end(), ";"))))]
+    held = {*impl_bodies, *(b for m in _RS_ITEM.finditer(code) if m["kw"] == "trait" and (b := src.body(m.end(), ";")))}
     for m in _RS_FN.finditer(code):
-        around = [b for b in src.parents if b[0] < m.start() < b[1]]
-        if around and around[-1] in held:
+        opened = _rs_open(src, m)
+        if opened < 0 or next(src.around(m.start()), None) in held:
             continue
-        close = src.close[code.find("(", m.end() - 1)]
+        close = src.close[opened]
         block = src.body(close + 1, ";")
         end = min(block[1] + 1, len(code)) if block else code.find(";", close) + 1 or len(code)
-        returns = re.match(r"\s*->\s*([\s\S]*?)\s*(?:\bwhere\b|[{;]|$)", code[close + 1 : block[0] + 1 if block else end])
-        out["functions"].append({"name": m["name"], "file": src.path, "span": src.span(m.start(), end), "visibility": _rs_visibility(m["vis"]), "is_async": "async" in m["mods"], "is_generator": False, "parameters": _rs_params(src.raw[code.find("(", m.end() - 1) + 1 : close]), "return_type": src.text(close + 1 + returns.start(1), close + 1 + returns.end(1)) if returns else None, "decorators": _rs_attributes(src, m.start())})
+        returns = _rs_returns(src, close, block[0] if block else end - 1)
+        out["functions"].append({"name": m["name"], "file": src.path, "span": src.span(m.start(), end), "visibility": _rs_visibility(m["vis"]), "is_async": "async" in m["mods"], "is_generator": False, "parameters": _rs_params(src.raw[opened + 1 : close]), "return_type": returns, "decorators": _rs_attributes(src, m.start())})
     for m in _RS_TYPE.finditer(code):
-        if any(b[0] < m.start() < b[1] for b in held):
+        if any(b in held for b in src.around(m.start())):
             continue
         out["type_aliases"].append({"name": m["name"], "file": src.path, "span": src.span(m.start(), m.end()), "target": src.text(*m.span("target")), "generics": split_top((m["generics"] or "")[1:-1]), "visibility": _rs_visibility(m["vis"])})
     for m in _RS_USE.finditer(code):
@@ -141,6 +165,8 @@ def use_path(text: str) -> dict:
 _GO_TYPE = re.compile(rf"(?:^[ \t]*type\s+|(?<=[\n(;])[ \t]*)(?P<name>{W})\s*(?P<generics>\[[^\]]*\])?\s+(?P<kw>struct|interface)\s*(?=\{{)", re.M)
 _GO_FUNC = re.compile(rf"^func\s*(?P<recv>\([^)]*\))?\s*(?P<name>{W})\s*(?:\[[^\]]*\])?\s*(?=\()", re.M)
 _GO_IMPORT = re.compile(r"^import\s*(?:\((?P<many>[^)]*)\)|(?P<one>[^\n(]+))", re.M)
+_GO_FIELD = re.compile(rf"({W}(?:\s*+,\s*+{W})*+)\s++(?=\S)")
+_GO_TAG = re.compile(r"`[^`]*`|\"[^\"\n]*\"")
 _GO_SPEC = re.compile(r"(?:([\w.]+)\s+)?\"([^\"\n]+)\"")
 
 
@@ -171,10 +197,13 @@ def _go_returns(src: Source, close: int, end: int) -> str | None:
 def _go_fields(src: Source, body: tuple[int, int]) -> list[tuple[str, str, str]]:
     out = []
     for start, end, _ in src.members(body[0] + 1, body[1], True):
-        line = src.raw[start:end]
-        m = re.match(rf"({W}(?:\s*,\s*{W})*)\s+([^`\n\"]+?)\s*(`[^`]*`|\"[^\"]*\")?\s*(?://.*)?$", line)
-        if m:
-            out += [(n.strip(), m[2].strip(), (m[3] or "")[1:-1]) for n in m[1].split(",")]
+        m = _GO_FIELD.match(src.code, start, end)
+        if not m:
+            continue
+        tag = _GO_TAG.search(src.code, m.end(), end)
+        kind = src.text(m.end(), tag.start() if tag else src.solid(end))
+        if kind and "\n" not in kind:
+            out += [(n.strip(), kind, src.raw[tag.start() + 1 : tag.end() - 1] if tag else "") for n in m[1].split(",")]
     return out
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import cached_property
 
 _DQ = r'"(?:[^"\\\n]|\\[\s\S])*"?'
@@ -28,8 +29,31 @@ _SKIP = {
     "Python": (r"\#[^\n]*", rf"{_TRIPLE}|'''[\s\S]*?(?:'''|\Z)|{_DQ}|{_SQ}"),
 }
 _SKIPPERS = {k: re.compile(f"(?P<c>{c})|(?P<s>{s})", re.M) for k, (c, s) in _SKIP.items()}
+#: Languages whose block comments may hold others.
+NESTING = {"Rust", "Kotlin", "Scala", "Swift"}
+_COMMENT_END = re.compile(r"/\*|\*/")
+_NESTED_COMMENT = re.compile(r"/\*(?:(?!\*/)[\s\S])*?/\*")
 _NOT_NEWLINE = re.compile(r"[^\n]")
 _PAIRS = {")": "(", "]": "[", "}": "{"}
+_DELIMITER = re.compile(r"[(){}\[\]]")
+_SOLID = re.compile(r"\S+")
+_NEXT = re.compile(r"\S")
+_ANGLE = re.compile(r"[<({\[;]|(?<![-=])>")
+_BLOCK_OR_END, _BLOCK_OR_LINE = re.compile(r"[({\[;}]"), re.compile(r"[({\[;}\n]")
+_PIECE_END, _LINE_END = re.compile(r"[({\[;]"), re.compile(r"[({\[;\n]")
+_MARK = re.compile(r"\s*@\w+(?:\.\w+)*\s*")
+#: Characters between two places whose lengths in bytes are kept.
+_STEP = 4096
+
+
+def comment_end(text: str, at: int) -> int:
+    """The end of the block comment that starts at a place, comments within it taken by depth; -1 if it has none."""
+    depth = 0
+    for m in _COMMENT_END.finditer(text, at):
+        depth += 1 if m[0] == "/*" else -1
+        if not depth:
+            return m.end()
+    return -1
 
 
 class Source:
@@ -38,7 +62,10 @@ class Source:
     def __init__(self, content: bytes, language: str, path: str) -> None:
         self.path, self.language = path, language
         self.raw = content.decode("utf-8", "replace")
-        self.code = _SKIPPERS[language].sub(self._blank, self.raw)
+        if language in NESTING and _NESTED_COMMENT.search(self.raw):
+            self.code = self._blank_nested()
+        else:
+            self.code = _SKIPPERS[language].sub(self._blank, self.raw)
 
     @staticmethod
     def _blank(m: re.Match) -> str:
@@ -47,22 +74,39 @@ class Source:
             return _NOT_NEWLINE.sub(" ", s) if m.lastgroup == "c" else s
         return s[0] + _NOT_NEWLINE.sub(" ", s[1:-1]) + s[-1]
 
+    def _blank_nested(self) -> str:
+        out, at, find = [], 0, _SKIPPERS[self.language].search
+        while m := find(self.raw, at):
+            out.append(self.raw[at : m.start()])
+            at = m.end()
+            if m[0].startswith("/*"):
+                end = comment_end(self.raw, m.start())
+                at = end if end >= 0 else len(self.raw)
+                out.append(_NOT_NEWLINE.sub(" ", self.raw[m.start() : at]))
+            else:
+                out.append(self._blank(m))
+        return "".join([*out, self.raw[at:]])
+
     @cached_property
     def close(self) -> dict[int, int]:
         """Place of each opening delimiter -> place of the one that closes it; open ends go to the end of the text."""
         out: dict[int, int] = {}
-        stack: list[int] = []
-        for m in re.finditer(r"[(){}\[\]]", self.code):
-            if m[0] in "([{":
-                stack.append(m.start())
-            else:
-                for i in range(len(stack) - 1, -1, -1):  # what stands between and never closes is dropped
-                    if self.code[stack[i]] == _PAIRS[m[0]]:
-                        out[stack[i]] = m.start()
-                        del stack[i:]
+        stack: list[tuple[str, int]] = []
+        waiting = {"(": 0, "[": 0, "{": 0}
+        for m in _DELIMITER.finditer(self.code):
+            c = m[0]
+            if c in waiting:
+                stack.append((c, m.start()))
+                waiting[c] += 1
+            elif waiting[_PAIRS[c]]:
+                while True:  # what stands between and never closes is dropped
+                    kind, at = stack.pop()
+                    waiting[kind] -= 1
+                    if kind == _PAIRS[c]:
+                        out[at] = m.start()
                         break
-        for i in stack:
-            out[i] = len(self.code)
+        for _, at in stack:
+            out[at] = len(self.code)
         return out
 
     @cached_property
@@ -70,12 +114,92 @@ class Source:
         return {b: a for a, b in self.close.items()}
 
     @cached_property
-    def parents(self) -> list[tuple[int, int]]:
-        return sorted((a, b) for a, b in self.close.items() if self.code[a] == "{")
+    def _braces(self) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Starts, ends and enclosing block of each brace block by start, and all ends in order."""
+        blocks = sorted((a, b) for a, b in self.close.items() if self.code[a] == "{")
+        up: list[int] = []
+        stack: list[int] = []
+        for i, (a, _) in enumerate(blocks):
+            while stack and blocks[stack[-1]][1] < a:
+                stack.pop()
+            up.append(stack[-1] if stack else -1)
+            stack.append(i)
+        return [a for a, _ in blocks], [b for _, b in blocks], up, sorted(b for _, b in blocks)
 
     def depth(self, at: int) -> int:
         """Number of brace blocks around a place."""
-        return sum(1 for a, b in self.parents if a < at < b)
+        starts, _, _, ends = self._braces
+        return bisect_left(starts, at) - bisect_right(ends, at)
+
+    def around(self, at: int) -> Iterator[tuple[int, int]]:
+        """The brace blocks around a place, the innermost first."""
+        starts, ends, up, _ = self._braces
+        i = bisect_left(starts, at) - 1
+        while i >= 0:
+            if ends[i] > at:
+                yield starts[i], ends[i]
+            i = up[i]
+
+    @cached_property
+    def _solid(self) -> list[int]:
+        return [m.end() for m in _SOLID.finditer(self.code)]
+
+    def solid(self, at: int) -> int:
+        """The end of the code before a place, whatever blanks and comments stand in between."""
+        if at and not self.code[at - 1].isspace():
+            return at
+        i = bisect_right(self._solid, at)
+        return self._solid[i - 1] if i else 0
+
+    def next(self, at: int) -> str:
+        """The first character of code from a place on."""
+        m = _NEXT.search(self.code, at)
+        return m[0] if m else ""
+
+    def word_before(self, at: int) -> tuple[str, int]:
+        """(word, its start) right before a place; the word may be empty."""
+        start = end = self.solid(at)
+        while start and (self.code[start - 1].isalnum() or self.code[start - 1] in "_$"):
+            start -= 1
+        return self.code[start:end], start
+
+    def annotation_before(self, at: int) -> tuple[int, int] | None:
+        """(start, end) of the @name or @name(...) right before a place."""
+        end = head = self.solid(at)
+        if end and self.code[end - 1] == ")":
+            opened = self.opener.get(end - 1)
+            if opened is None:
+                return None
+            head = self.solid(opened)
+        start = head
+        while start and (self.code[start - 1].isalnum() or self.code[start - 1] in "_$.:"):
+            start -= 1
+        return (start - 1, end) if 0 < start < head and self.code[start - 1] == "@" else None
+
+    def angles(self, at: int) -> int:
+        """The end of the type parameters in <> that start at a place; the place itself if there are none."""
+        if self.code[at : at + 1] != "<":
+            return at
+        depth, i = 0, at
+        while m := _ANGLE.search(self.code, i):
+            c, i = m[0], m.start()
+            if c == "<":
+                depth += 1
+            elif c == ">":
+                depth -= 1
+                if not depth:
+                    return i + 1
+            elif c == ";":
+                return at
+            else:
+                i = self.close[i]
+            i += 1
+        return at
+
+    def skip(self, at: int) -> int:
+        """The place of the first code from a place on, or the end of the text."""
+        m = _NEXT.search(self.code, at)
+        return m.start() if m else len(self.code)
 
     @cached_property
     def _starts(self) -> list[int]:
@@ -88,8 +212,15 @@ class Source:
     def line(self, at: int) -> int:
         return bisect_right(self._starts, at) - 1
 
+    @cached_property
+    def _bytes_at(self) -> list[int]:
+        out = [0]
+        for i in range(0, len(self.raw), _STEP):
+            out.append(out[-1] + len(self.raw[i : i + _STEP].encode()))
+        return out
+
     def _bytes(self, at: int) -> int:
-        return at if self._ascii else len(self.raw[:at].encode())
+        return at if self._ascii else self._bytes_at[at // _STEP] + len(self.raw[at - at % _STEP : at].encode())
 
     def span(self, start: int, end: int) -> dict:
         """Rows from 0, columns and range in bytes."""
@@ -105,67 +236,80 @@ class Source:
 
     def body(self, at: int, stop: str = ";") -> tuple[int, int] | None:
         """The first brace block from at on, unless a stop character comes first outside other delimiters."""
-        i, n = at, len(self.code)
-        while i < n:
-            c = self.code[i]
-            if c == "{":
-                return i, self.close[i]
-            if c in "([":
-                i = self.close[i]
-            elif c in stop or c == "}":
+        find = (_BLOCK_OR_LINE if "\n" in stop else _BLOCK_OR_END).search
+        while m := find(self.code, at):
+            if m[0] == "{":
+                return m.start(), self.close[m.start()]
+            if m[0] not in "([":
                 return None
-            i += 1
+            at = self.close[m.start()] + 1
         return None
 
     def members(self, lo: int, hi: int, lines: bool) -> list[tuple[int, int, tuple[int, int] | None]]:
         """(start, end, block) of each member between lo and hi; with lines, line ends end members too."""
         out: list[tuple[int, int, tuple[int, int] | None]] = []
         i = start = lo
+        find = (_LINE_END if lines else _PIECE_END).search
 
         def put(end: int, block: tuple[int, int] | None) -> None:
-            a = start
-            while a < end and self.code[a].isspace():
-                a += 1
+            a = self.skip(start)
             if a < end:
                 out.append((a, end, block))
 
-        while i < hi:
-            c = self.code[i]
+        while m := find(self.code, i, hi):
+            c, i = m[0], m.start()
             if c in "([":
                 i = min(self.close[i], hi)
             elif c == "{":
                 e = min(self.close[i], hi)
-                if not re.search(r"=\s*$|=>\s*$", self.code[start:i]) or lines and re.search(r"\bdef\b[^\n]*=\s*$", self.code[start:i]):
+                if not self._value(start, i, lines):
                     put(min(e + 1, hi), (i, e))
                     start = e + 1
                 i = e
-            elif c == ";" or (lines and c == "\n" and self.code[start:i].strip() and not _open_line(self.code[start:i], self.code[i + 1 : i + 200])):
+            elif c == ";" or (self.solid(i) > start and not self._goes_on(start, i)):
                 put(i, None)
                 start = i + 1
             i += 1
         put(hi, None)
         return out
 
+    def _value(self, start: int, at: int, lines: bool) -> bool:
+        """Whether the block at a place is a value of the member from start on."""
+        end = self.solid(at)
+        if end <= start or not (self.code[end - 1] == "=" or self.code[end - 2 : end] == "=>"):
+            return False
+        line = max(start, self.code.rfind("\n", start, end) + 1)
+        return not (lines and self.code[end - 1] == "=" and re.search(r"\bdef\b", self.code[line:end]))
+
+    def _goes_on(self, start: int, at: int) -> bool:
+        """Whether the member from start on goes on after the line end at a place."""
+        end = self.solid(at)
+        if self.code[end - 1] in ",=:.&|+({[" or self.code[end - 2 : end] in ("=>", "->") or self.next(at + 1) in ("{", ".", "=", "?", ":", "&", "|"):
+            return True
+        stop = start
+        while m := _MARK.match(self.code, stop, end):  # annotations alone
+            stop = self.close[m.end()] + 1 if self.code[m.end() : m.end() + 1] == "(" else m.end()
+        return stop > start and self.solid(min(stop, end)) == end or bool(re.match(r"\s*\[\w+\]$", self.code[start:end]))
+
 
-def _open_line(before: str, after: str) -> bool:
-    """Whether a member goes on after the end of a line."""
-    nxt = after.lstrip()[:1]
-    return bool(re.search(r"(?:[,=:.&|+({\[]|=>|->)\s*$", before)) or nxt in ("{", ".", "=", "?", ":", "&", "|") or bool(re.match(r"\s*(?:@\w+(?:\s*\(\s*\))?|\[\w+\])\s*$", before))
+_SPLITTERS = {d: re.compile(rf"[()\[\]{{}}<>{d}]") for d in ",+"}
 
 
 def split_top(text: str, delimiter: str = ",") -> list[str]:
     """Parts of a text between delimiters that stand outside all brackets; quotes are not looked at."""
     out, depth, at = [], 0, 0
-    for i, c in enumerate(text):
+    for m in _SPLITTERS[delimiter].finditer(text):
+        c = m[0]
         if c in "([{<":
             depth += 1
-        elif c in ")]}" or (c == ">" and (i == 0 or text[i - 1] not in "-=")):
+        elif c == delimiter:
+            if depth <= 0:
+                out.append(text[at : m.start()])
+                at = m.end()
+        elif c != ">" or m.start() == 0 or text[m.start() - 1] not in "-=":
             depth -= 1
-        elif c == delimiter and depth <= 0:
-            out.append(text[at:i])
-            at = i + 1
     out.append(text[at:])
-    return [x.strip() for x in out if x.strip()]
+    return [x for x in map(str.strip, out) if x]
 
 
 def strip_quotes(text: str) -> str:

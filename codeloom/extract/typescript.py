@@ -8,13 +8,18 @@ from codeloom.extract.text import Source, decorator_arg, field, parameter, prop,
 
 W = r"[A-Za-z_$\u0080-￿][\w$]*"
 _TYPE = re.compile(rf"\b(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?P<abstract>abstract\s+)?(?P<kw>interface|class)\s+(?P<name>{W})\s*(?P<generics><[^{{}}()]*?>)?(?=\s|\{{)")
-_FUNCTION = re.compile(rf"\b(?P<async>async\s+)?function\s*(?P<star>\*)?\s*(?P<name>{W})\s*(?:<[^()]*>)?\s*(?=\()")
-_ARROW = re.compile(rf"\b(?:const|let|var)\s+(?P<name>{W})\s*(?::[^=]+?)?=\s*(?P<async>async\s*)?(?:(?P<fn>function\b\s*\*?\s*{W}?\s*)|(?=(?:<[^()]*>\s*)?\(|{W}\s*=>))")
+_FUNCTION = re.compile(rf"\b(?P<async>async\s+)?function\s*(?P<star>\*)?\s*(?P<name>{W})\s*(?=[<(])")
+_ARROW = re.compile(rf"\b(?:const|let|var)\s+(?P<name>{W})\s*(?::[^=]+?(?:=>[^=]*?)*)?=\s*(?P<async>async\b\s*)?(?:(?P<fn>function\b\s*\*?\s*{W}?\s*)|(?=<|\(|{W}\s*=>))")
+_SINGLE = re.compile(rf"({W})\s*=>")
 _ALIAS = re.compile(rf"\btype\s+(?P<name>{W})\s*(?P<generics><[^=]*?>)?\s*=\s*")
 _IMPORT = re.compile(r"^[ \t]*import\b(?!\s*\()(?P<clause>[^;\"']*?)(?:\bfrom\b\s*)?[\"'](?P<source>[^\n]*?)[\"']", re.M)
 _EXPORT = re.compile(r"^[ \t]*export\b", re.M)
-_MEMBER = re.compile(rf"(?P<mods>(?:(?:public|private|protected|static|async|abstract|readonly|override|declare|get|set|accessor)\s+)*)(?P<star>\*\s*)?(?P<name>\#?{W}|\[[^\]]*\]|\"[^\"]*\"|'[^']*')\s*(?P<opt>[?!])?\s*(?:<[^()]*>)?\s*(?P<next>[(:=;]|$)")
+_MEMBER = re.compile(rf"(?P<mods>(?:(?:public|private|protected|static|async|abstract|readonly|override|declare|get|set|accessor)\s++)*)(?P<star>\*\s*+)?(?P<name>\#?{W}|\[[^\]]*\]|\"[^\"]*\"|'[^']*')\s*+(?P<opt>[?!])?\s*+(?:<[^()]*>\s*+)?(?P<next>[(:=;]|$)")
 _SCHEMA = re.compile(rf"\b(?:const|let|var)\s+(?P<name>{W})\s*(?::[^=\n]+)?=\s*(?P<call>(?:Schema|S)\.Struct|z\.object|z\.enum|pgTable|mysqlTable|sqliteTable)\s*(?=\()")
+_ALIAS_STOP = re.compile(r"[({\[;\n]")
+_TYPE_NEXT = re.compile(r"\s*(?:extends|keyof|is|in|as)\b")
+_TYPE_WORDS = ("keyof", "typeof", "extends", "infer", "readonly", "is", "in", "as", "unique", "asserts")
+_ARROW_STOP = re.compile(r"[({\[]|=>?|[;)}\]]")
 # What decorators and calls stand for.
 SERVICES = {"Controller": "http_controller", "Injectable": "microservice", "Service": "microservice", "Resolver": "graphql_resolver", "Middleware": "middleware", "Processor": "worker", "Process": "worker"}
 VERBS = {"Get": "GET", "Post": "POST", "Put": "PUT", "Patch": "PATCH", "Delete": "DELETE", "Head": "HEAD", "Options": "OPTIONS"}
@@ -41,29 +46,29 @@ def _returns(src: Source, close: int, end: int) -> str | None:
         return None
     at = close + 1 + m.end()
     tail = src.code[at:end]
-    stop = re.search(r"\s*(?:=>|\{(?!\s*\w+\s*[?:])|;|$)", tail)
+    stop = re.search(r"=>|\{(?!\s*+\w+\s*+[?:])|;|$", tail)
     return src.text(at, at + (stop.start() if stop else len(tail))) or None
 
 
 def _decorators(src: Source, at: int) -> list[str]:
-    """Texts, without the @, of the decorators right before a place."""
-    out, code = [], src.code
-    while m := re.search(rf"@({W}(?:\.{W})*)\s*$", code[max(0, at - 400) : at].rstrip()) or re.search(r"\)\s*$", code[max(0, at - 400) : at]):
-        low = max(0, at - 400)
-        if m.re.groups:
-            start = low + m.start()
-            out.append(src.text(start + 1, low + len(code[low:at].rstrip())))
+    """Texts, without the @, of the decorators right before a place; export words may stand in between."""
+    out = []
+    while True:
+        word, start = src.word_before(at)
+        if word in ("export", "default", "declare"):
             at = start
-            continue
-        last = low + m.start()
-        opened = src.opener.get(last)
-        head = re.search(rf"@{W}(?:\.{W})*\s*$", code[max(0, (opened or 0) - 100) : opened]) if opened is not None else None
-        if not head:
-            break
-        start = max(0, opened - 100) + head.start()
-        out.append(src.text(start + 1, last + 1))
-        at = start
-    return out[::-1]
+        elif found := src.annotation_before(at):
+            out.append(src.text(found[0] + 1, found[1]))
+            at = found[0]
+        else:
+            return out[::-1]
+
+
+def _exported(src: Source, at: int) -> bool:
+    word, start = src.word_before(at)
+    while word in ("default", "declare"):
+        word, start = src.word_before(start)
+    return word == "export"
 
 
 def _members(src: Source, body: tuple[int, int]) -> tuple[list[tuple], list[tuple]]:
@@ -150,10 +155,8 @@ def scan(src: Source) -> dict[str, list]:
             out["services"].append({"name": m["name"], "file": src.path, "span": src.span(start, end), "kind": kind, "methods": [x | {"owner": m["name"]} for x in whole], "dependencies": deps, "decorators": decorators, "routes": routes})
     _functions(src, out)
     for m in _ALIAS.finditer(code):
-        tail = code[m.end() :]
-        stop = re.search(r";|\n(?=\s*(?:\n|export\b|type\b|const\b|function\b|interface\b|class\b|import\b|$))", re.sub(r"\{[^{}]*\}", lambda x: "_" * len(x[0]), tail))
-        end = m.end() + (stop.start() if stop else len(tail))
-        exported = bool(re.search(r"\bexport\s+$", code[max(0, m.start() - 20) : m.start()]))
+        end = _alias_end(src, m.end())
+        exported = _exported(src, m.start())
         out["type_aliases"].append({"name": m["name"], "file": src.path, "span": src.span(m.start(), end), "target": src.text(m.end(), end), "generics": split_top((m["generics"] or "")[1:-1]), "visibility": "public" if exported else "private"})
     _imports(src, out)
     for m in _SCHEMA.finditer(code):
@@ -163,11 +166,26 @@ def scan(src: Source) -> dict[str, list]:
         brace = code.find("{", m.end(), close)
         fields = parse_fields(src.raw[brace : src.close[brace] + 1]) if brace >= 0 else []
         named = re.match(r"\s*[\"'`]([^\"'`]*)", args) if framework == "drizzle" else None
-        exported = bool(re.search(r"\bexport\s+$", code[max(0, m.start() - 20) : m.start()]))
+        exported = _exported(src, m.start())
         out["schemas"].append({"name": m["name"], "file": src.path, "span": src.span(m.start(), close + 1), "kind": kind, "fields": fields, "source_framework": framework, "table_name": named[1] if named else None, "derives": [], "visibility": "public" if exported else "private"})
     return out
 
 
+def _alias_end(src: Source, at: int) -> int:
+    """Where the target of an alias ends: at a semicolon, or at a line end over which no operator goes on."""
+    code, i = src.code, at
+    while m := _ALIAS_STOP.search(code, i):
+        i = m.start()
+        if m[0] == ";":
+            return i
+        if m[0] != "\n":
+            i = src.close[i]
+        elif src.solid(i) > at and code[src.solid(i) - 1] not in "=|&,:?<([{" and src.next(i) not in ("|", "&", "?", ":", ".", "=", ")", "]", "}", ">", ",") and src.word_before(i)[0] not in _TYPE_WORDS and not _TYPE_NEXT.match(code, i):
+            return i
+        i += 1
+    return len(code)
+
+
 def _annotation(src: Source, m: re.Match, end: int) -> str | None:
     if m["next"] != ":":
         return None
@@ -175,61 +193,97 @@ def _annotation(src: Source, m: re.Match, end: int) -> str | None:
     return src.text(m.end(), m.end() + equal.start() if equal else end) or None
 
 
+def _arrow(src: Source, at: int) -> int:
+    """The place after the => that follows the parameters that end at a place, with a return type in between or not; else -1."""
+    code = src.code
+    i = src.skip(at)
+    if code[i : i + 1] != ":":
+        return i + 2 if code.startswith("=>", i) else -1
+    while m := _ARROW_STOP.search(code, i):
+        if m[0] == "=>":
+            return m.end()
+        if m[0] not in "({[":
+            return -1
+        i = src.close[m.start()] + 1
+    return -1
+
+
 def _functions(src: Source, out: dict[str, list]) -> None:
     code = src.code
     for m in [*_FUNCTION.finditer(code), *_ARROW.finditer(code)]:
         arrow = m.re is _ARROW
-        if not arrow and re.search(r"=\s*(?:async\s*)?$", code[max(0, m.start() - 12) : m.start()]):
+        if not arrow and code[src.solid(m.start()) - 1 : src.solid(m.start())] == "=":
             continue  # bound to a variable, found there
-        opened = code.find("(", m.end() - 1 if not arrow else m.end())
-        single = arrow and not m["fn"] and re.match(rf"({W})\s*=>", code[m.end() :])
+        plain = arrow and not m["fn"]
+        single = plain and _SINGLE.match(code, m.end())
+        after = -1
         if single:
-            close, given = m.end() + single.end(1) - 1, [parameter(single[1])]
+            close, given, after = single.end(1) - 1, [parameter(single[1])], single.end()
         else:
-            if opened < 0:
+            opened = src.skip(src.angles(src.skip(m.end())))
+            if code[opened : opened + 1] != "(":
                 continue
             close, given = src.close[opened], params(src.raw[opened + 1 : src.close[opened]])
-            if arrow and not m["fn"] and not re.match(r"\s*(?::[^=;]*?)?=>", code[close + 1 : close + 200]):
+            if plain and (after := _arrow(src, close + 1)) < 0:
                 continue
-        body = src.body(close + 1, ";\n" if arrow and not m["fn"] else ";")
-        line = code.find("\n", close)
-        end = min(body[1] + 1, len(code)) if body else (line if line >= 0 else len(code))
-        exported = bool(re.search(r"\bexport\s+(?:default\s+)?$", code[max(0, m.start() - 24) : m.start()]))
+        if plain:
+            first = src.skip(after)
+            body = (first, src.close[first]) if code[first : first + 1] == "{" else None
+            end = min(body[1] + 1, len(code)) if body else _expression_end(src, first)
+        else:
+            body = src.body(close + 1, ";")
+            line = code.find("\n", close)
+            end = min(body[1] + 1, len(code)) if body else (line if line >= 0 else len(code))
         star = bool(m["fn"] and "*" in m["fn"]) if arrow else bool(m["star"])
-        out["functions"].append({"name": m["name"], "file": src.path, "span": src.span(m.start(), end), "visibility": "public" if exported else "private", "is_async": bool(m["async"]), "is_generator": star, "parameters": given, "return_type": None if single else _returns(src, close, body[0] if body else end), "decorators": []})
+        returns = None if single else src.text(src.skip(close + 1) + 1, after - 2) if plain and code[src.skip(close + 1)] == ":" else None if plain else _returns(src, close, body[0] if body else end)
+        out["functions"].append({"name": m["name"], "file": src.path, "span": src.span(m.start(), end), "visibility": "public" if _exported(src, m.start()) else "private", "is_async": bool(m["async"]), "is_generator": star, "parameters": given, "return_type": returns or None, "decorators": []})
     out["functions"].sort(key=lambda f: f["span"]["byte_range"]["start"])
 
 
+def _expression_end(src: Source, at: int) -> int:
+    """The end of an expression: its semicolon, or the line end after it."""
+    while m := _ALIAS_STOP.search(src.code, at):
+        if m[0] in ";\n":
+            return m.start()
+        at = src.close[m.start()] + 1
+    return len(src.code)
+
+
+_FROM = re.compile(r"\s*(?:type\s+)?(?:\*(?:\s*as\s+\w+)?|\{[^}]*\})\s*from\s*[\"']([^\"'\n]*)")
+_STAR = re.compile(r"\s*\*")
+_BRACES = re.compile(r"\s*(?:type\s+)?\{([^}]*)\}")
+_DEFAULT = re.compile(rf"\s*default\b\s*(?:abstract\s+)?(?:(?:async\s+)?function\s*\*?|class)?\s*({W})?")
+_DECLARED = re.compile(rf"\s*(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\s*\*?|class|interface|type|const\s+enum|enum|const|let|var|namespace)\s+({W})")
+
+
 def _imports(src: Source, out: dict[str, list]) -> None:
-    for m in _IMPORT.finditer(src.raw):
-        if src.code[m.start() : m.start() + len(m[0]) - len(m[0].lstrip()) + 6].strip() != "import":
-            continue
+    code = src.code
+    for m in _IMPORT.finditer(code):
         clause, symbols = re.sub(r"^\s*type\b(?!\s*from)", "", m["clause"]).strip(), []
         wild = False
         for part in split_top(clause):
             if part.startswith("{"):
                 for one in split_top(part[1:-1]):
-                    name, _, alias = re.sub(r"^type\s+", "", one).partition(" as ")
+                    name, _, alias = re.sub(r"\s+", " ", re.sub(r"^type\s+", "", one)).partition(" as ")
                     symbols.append(symbol(name.strip(), alias.strip() or None))
             elif star := re.match(r"\*\s*as\s+(\S+)", part):
                 wild = True
                 symbols.append(symbol(star[1], None, False, True))
             elif part:
                 symbols.append(symbol(part, None, True))
-        out["imports"].append({"source": m["source"], "symbols": symbols, "is_wildcard": wild, "span": src.span(m.start(), m.end())})
-    for m in _EXPORT.finditer(src.code):
-        tail = src.raw[m.end() :]
-        origin = re.match(r"\s*(?:type\s+)?(?:\*(?:\s*as\s+\w+)?|\{[^}]*\})\s*from\s*[\"']([^\"'\n]*)", tail)
-        source = origin[1] if origin else None
+        out["imports"].append({"source": src.raw[slice(*m.span("source"))], "symbols": symbols, "is_wildcard": wild, "span": src.span(m.start(), m.end())})
+    for m in _EXPORT.finditer(code):
+        origin = _FROM.match(code, m.end())
+        source = src.raw[slice(*origin.span(1))] if origin else None
         line = src.raw.find("\n", m.end())
         at = src.span(m.start(), line if line >= 0 else len(src.raw))
         names: list[tuple[str, str]] = []
-        if re.match(r"\s*\*", tail):
+        if _STAR.match(code, m.end()):
             names = [("*", "re_export")]
-        elif braces := re.match(r"\s*(?:type\s+)?\{([^}]*)\}", tail):
+        elif braces := _BRACES.match(code, m.end()):
             names = [(re.split(r"\s+as\s+", x)[-1].strip(), "re_export" if source else "named") for x in split_top(braces[1])]
-        elif one := re.match(rf"\s*default\b\s*(?:abstract\s+)?(?:(?:async\s+)?function\s*\*?|class)?\s*({W})?", tail):
+        elif one := _DEFAULT.match(code, m.end()):
             names = [(one[1] or "default", "default")]
-        elif one := re.match(rf"\s*(?:declare\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\s*\*?|class|interface|type|enum|const\s+enum|const|let|var|namespace)\s+({W})", tail):
+        elif one := _DECLARED.match(code, m.end()):
             names = [(one[1], "named")]
         out["exports"] += [{"name": n, "kind": k, "source": source, "span": at} for n, k in names]
