@@ -2,12 +2,14 @@
 
 The projection is made of higher-order SQL functions alone: nested transform calls attach the parent's key and the
 place in its array, flatten joins the arrays of one level, and one inline per target table emits the rows. A recursive
-field has no finite type, so the deepest level of a projection stays JSON text, which the next projection takes up with
-its parent's key, until no text is left; any depth comes out whole.
-
-Defined cases. A body that is null or not JSON gives no rows. Missing, null and empty arrays and maps, null elements and
-values of another type give no rows; the places of the other elements stay as they are. A null key gives rows with a
-null key. Records delivered again give the same rows, which count once. Only the named columns are read.
+field has no finite type, so a body is parsed once, to a variant, and each element of an array is cast by itself: the
+children below the deepest level of a projection stay variants, which the next projection takes up with their parent's
+key, until none is left; any depth comes out whole.
+
+Defined cases. A body that is null or not JSON gives no rows, and so does one with an object that has a key twice.
+Missing, null and empty arrays and maps, null elements and elements of another type give no rows; the other elements of
+the same array keep their rows and places. A field of another type is null where it cannot be cast. A null key gives rows
+with a null key. Records delivered again give the same rows, which count once. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ SUBSYSTEM_FIELDS = {
     "events": ("events", "array<string>"),
     "dependencies": ("dependencies", "array<string>"),
 }
-#: Without it a text in single quotes would pass as JSON.
-STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _node_type(levels: int, fields: dict[str, tuple[str, str]]) -> str:
-    inner = "string" if levels == 1 else f"array<{_node_type(levels - 1, fields)}>"
+def _node_type(fields: dict[str, tuple[str, str]]) -> str:
     own = "".join(f"`{name}`: {kind}, " for name, kind in fields.values())
-    return f"struct<id: string, {own}children: {inner}>"
+    return f"struct<id: string, {own}children: array<variant>>"
+
+
+def _nodes(array: Column, node: str) -> Column:
+    """The objects of an array of variants with their places, each cast by itself."""
+    placed = F.transform(array, lambda v, i: F.struct(F.try_variant_get(v, "$", node).alias("c"), i.alias("j")))
+    return F.filter(placed, lambda x: x.getField("c").isNotNull())
 
 
 def _row(parent: Column, pos: Column, node: Column, depth: Column, rest: Column, fields: dict[str, tuple[str, str]]) -> Column:
@@ -46,26 +51,25 @@ def _row(parent: Column, pos: Column, node: Column, depth: Column, rest: Column,
     return F.struct(parent.alias("parent_key"), pos.cast("long").alias("pos"), node.getField("id").alias("child_key"), depth.alias("depth"), *own, rest.alias("rest"))
 
 
-def _unroll(nodes: Column, parent: Column, depth: Column, levels: int, fields: dict[str, tuple[str, str]]) -> Column:
-    """One array of all rows of the first levels of nodes, an array of structs with children."""
+def _unroll(array: Column, parent: Column, depth: Column, levels: int, fields: dict[str, tuple[str, str]]) -> Column:
+    """One array of all rows of the first levels below an array of variants."""
+    node = _node_type(fields)
 
-    def below(node: Column, parent: Column, pos: Column, at: int) -> Column:
-        last = at == levels - 1
-        rest = node.getField("children") if last else F.lit(None).cast("string")
-        own = F.array(_row(parent, pos, node, depth + at, rest, fields))
+    def below(x: Column, parent: Column, at: int) -> Column:
+        own, last = x.getField("c"), at == levels - 1
+        rest = own.getField("children") if last else F.lit(None).cast("array<variant>")
+        row = F.array(_row(parent, x.getField("j"), own, depth + at, rest, fields))
         if last:
-            return own
-        kids = F.filter(F.transform(node.getField("children"), lambda c, j: F.struct(c.alias("c"), j.alias("j"))), lambda x: x.getField("c").isNotNull())
-        lower = F.flatten(F.transform(kids, lambda x: below(x.getField("c"), node.getField("id"), x.getField("j"), at + 1)))
-        return F.concat(own, F.coalesce(lower, F.array().cast(_rows_type(fields))))
+            return row
+        lower = F.flatten(F.transform(_nodes(own.getField("children"), node), lambda y: below(y, own.getField("id"), at + 1)))
+        return F.concat(row, F.coalesce(lower, F.array().cast(_rows_type(fields))))
 
-    heads = F.filter(F.transform(nodes, lambda n, i: F.struct(n.alias("c"), i.alias("j"))), lambda x: x.getField("c").isNotNull())
-    return F.flatten(F.transform(heads, lambda x: below(x.getField("c"), parent, x.getField("j"), 0)))
+    return F.flatten(F.transform(_nodes(array, node), lambda x: below(x, parent, 0)))
 
 
 def _rows_type(fields: dict[str, tuple[str, str]]) -> str:
     own = "".join(f"`{column}`: {kind}, " for column, (_, kind) in fields.items())
-    return f"array<struct<parent_key: string, pos: bigint, child_key: string, depth: int, {own}rest: string>>"
+    return f"array<struct<parent_key: string, pos: bigint, child_key: string, depth: int, {own}rest: array<variant>>>"
 
 
 def flatten_subsystems(manifests: DataFrame, record: str = "record_id", body: str = "body", fields: dict[str, tuple[str, str]] | None = None, levels: int = LEVELS) -> DataFrame:
@@ -74,15 +78,13 @@ def flatten_subsystems(manifests: DataFrame, record: str = "record_id", body: st
     parent_key is '' at the top. fields: column -> (JSON name, type) to carry along; all by default.
     """
     fields = SUBSYSTEM_FIELDS if fields is None else fields
-    node = _node_type(levels, fields)
-    text = F.col(body)
-    whole = manifests.select(F.col(record).alias("record_id"), F.from_json(F.when(F.expr(f"try_parse_json(`{body}`)").isNotNull(), text), f"struct<subsystems: array<{node}>>", STRICT).alias("m"))
-    rows = whole.select("record_id", F.inline(_unroll(F.col("m.subsystems"), F.lit(""), F.lit(0), levels, fields)))
+    top = F.try_variant_get(F.try_parse_json(F.col(body)), "$.subsystems", "array<variant>")
+    whole = manifests.select(F.col(record).alias("record_id"), top.alias("n"))
+    rows = cut(whole.select("record_id", F.inline(_unroll(F.col("n"), F.lit(""), F.lit(0), levels, fields))))
     flat = ["record_id", "parent_key", "pos", "child_key", "depth", *fields]
-    rows = cut(rows)
     out = rows.select(flat)
     while True:
-        rest = rows.where("rest like '[%' and rest <> '[]'").select("record_id", F.col("child_key").alias("up"), (F.col("depth") + 1).alias("at"), F.from_json("rest", f"array<{node}>", STRICT).alias("n"))
+        rest = rows.where(F.size("rest") > 0).select("record_id", F.col("child_key").alias("up"), (F.col("depth") + 1).alias("at"), F.col("rest").alias("n"))
         if rest.isEmpty():
             return out.distinct()
         rows = cut(rest.select("record_id", F.inline(_unroll(F.col("n"), F.col("up"), F.col("at"), levels, fields))))

@@ -41,6 +41,24 @@ def test_any_depth(spark, levels):
     assert set(out) == want and len(out) == len(want)
 
 
+@pytest.mark.parametrize("levels", [1, 4])
+def test_an_odd_element_keeps_its_neighbours(spark, levels):
+    odd = ["x", 5, 1.5, True, None, [], [{"id": "inner"}], "{\"id\": \"text\"}"]
+    bodies = []
+    for depth in range(6):
+        for at in range(3):
+            for value in odd:
+                row = [{"id": "a", "interfaces": "no list", "children": 7}, {"id": "b"}]
+                row.insert(at, value)
+                for level in range(depth):
+                    row = [{"id": f"p{level}", "name": value, "children": row}]
+                bodies.append({"subsystems": row})
+    rows = [(i, json.dumps(b)) for i, b in enumerate(bodies)] + [(9_000, '{"subsystems": [{"id": "a", "id": "b"}]}')]
+    got = flatten.flatten_subsystems(spark.createDataFrame(rows, "record_id long, body string"), levels=levels)
+    want = {(i, *x) for i, b in enumerate(bodies) for x in walk(b["subsystems"])}
+    assert {(r["record_id"], r["parent_key"], r["pos"], r["child_key"]) for r in got.collect()} == want
+
+
 def test_links_and_exports(spark):
     schema = "record_id long, impl_links array<struct<interface_name: string, implementor: string, impl_file: string, interface_file: string>>, exports_by_file map<string, array<struct<name: string, origin_file: string, via_file: string>>>"
     link = ("I", "C", "f", None)
