@@ -13,19 +13,25 @@ Only the named columns are read, so further columns may have any name.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.runtime import cut, is_small, partitions
+from codeloom.runtime import cut, cut_loop, is_small, lookup, partitions
 
 #: Links that one task may hold. Scopes and components above it go through the distributed way.
 TASK_LINKS = 500_000
 #: Rows of an output batch.
 BATCH = 20_000
+#: Members whose places above are counted at a time; a task holds so many bits per place.
+BITS = 2_048
+#: Fronts of a search that are read apart before they are written together.
+FRONTS = 12
 
 
 def node_links(rows: DataFrame, scope: str = "manifest_id", node: str = "id", parents: str = "dependencies") -> tuple[DataFrame, DataFrame]:
@@ -265,41 +271,71 @@ class Walk:
             out.append(max((out[x] + 1 for x in u), default=0))
         return out
 
+    def sets(self) -> Iterator[tuple]:
+        for i, g in enumerate(self.group):
+            if len(self.members[g]) > 1:
+                yield self.names[i], self.label[g]
+
     def circles(self) -> Iterator[tuple]:
         for i, g in enumerate(self.group):
             if self.circle[g]:
                 yield (self.names[i],)
 
-    def below(self) -> list[set[int]]:
-        out: list[set[int]] = [set() for _ in self.up]
-        for g in range(len(self.up) - 1, -1, -1):
-            for u in self.up[g]:
-                out[u] |= out[g]
-                out[u].add(g)
+    def counts(self) -> list[int]:
+        """Members of all places below each place: sums where no place has several parents, else bits of BITS members at a time."""
+        size = [len(m) for m in self.members]
+        out = [0] * len(size)
+        if all(len(u) < 2 for u in self.up):
+            for g in range(len(size) - 1, -1, -1):  # children come after their parents
+                for u in self.up[g]:
+                    out[u] += out[g] + size[g]
+            return out
+        first = np.concatenate([[0], np.cumsum(size)]).tolist()  # members lie in the order of their places
+        for lo in range(0, first[-1], BITS):
+            high = min(lo + BITS, first[-1])
+            top = bisect_left(first, high)  # only places before this one are above members of the block
+            mask = [0] * top
+            for g in range(top - 1, -1, -1):
+                own = mask[g]
+                out[g] += own.bit_count()
+                a, b = max(first[g], lo), min(first[g + 1], high)
+                if a < b:
+                    own |= ((1 << (b - a)) - 1) << (a - lo)
+                if own:
+                    for u in self.up[g]:
+                        mask[u] |= own
+                mask[g] = 0
         return out
 
     def nodes(self) -> Iterator[tuple]:
-        depth = self.depth()
-        roots: list[set[str]] = []
-        paths: list[int] = []
+        depth, count = self.depth(), self.counts()
+        roots: list[frozenset[str]] = []
+        paths: list[float] = []  # grows without bound on diamonds; infinite beyond what a double holds
         for g, u in enumerate(self.up):
-            roots.append(set().union(*(roots[x] for x in u)) if u else {self.label[g]})
-            paths.append(sum(paths[x] for x in u) if u else 1)
-        size = [len(m) for m in self.members]
-        below = self.below()
-        count = [sum(size[x] for x in below[g]) + (size[g] if self.circle[g] else 0) for g in range(len(size))]
+            roots.append(roots[u[0]] if len(u) == 1 else frozenset().union(*(roots[x] for x in u)) if u else frozenset([self.label[g]]))
+            paths.append(sum(paths[x] for x in u) if u else 1.0)
         for i, g in enumerate(self.group):
-            yield self.names[i], self.circle[g], self.label[g] if self.circle[g] else None, depth[g], sorted(roots[g]), float(paths[g]), count[g]
+            circle = self.circle[g]
+            yield self.names[i], circle, self.label[g] if circle else None, depth[g], sorted(roots[g]), paths[g], count[g] + (len(self.members[g]) if circle else 0)
 
     def descendants(self) -> Iterator[tuple]:
-        below = self.below()
+        down: list[list[int]] = [[] for _ in self.up]
+        for g, u in enumerate(self.up):
+            for x in u:
+                down[x].append(g)
+        seen = [-1] * len(down)
         for g, members in enumerate(self.members):
-            lower = [self.names[i] for x in below[g] for i in self.members[x]]
-            if self.circle[g]:
-                lower += [self.names[i] for i in members]
+            todo = list(down[g])
+            lower = list(members) if self.circle[g] else []
+            while todo:
+                x = todo.pop()
+                if seen[x] != g:
+                    seen[x] = g
+                    lower += self.members[x]
+                    todo += down[x]
             for i in members:
                 for x in lower:
-                    yield self.names[i], x
+                    yield self.names[i], self.names[x]
 
     def paths(self) -> Iterator[tuple]:
         for i, g in enumerate(self.group):
@@ -322,6 +358,7 @@ class Walk:
 #: What a walk can give: method of Walk and the columns after the scope.
 SHAPES = {
     "circles": "node string",
+    "sets": "node string, label string",
     "nodes": "node string, in_circle boolean, circle string, depth int, roots array<string>, n_paths double, n_descendants long",
     "descendants": "node string, descendant string",
     "paths": "node string, root string, path array<string>, depth int, through_circle boolean",
@@ -364,102 +401,219 @@ def _walk(grouped: DataFrame, kind: str) -> DataFrame:
 
 def _reach(start: DataFrame, step: DataFrame) -> DataFrame:
     """All (scope, node, top) that start reaches over step(scope, node, parent), by joining the frontier until it is empty."""
-    seen = cut(start.select("scope", "node", "top").distinct())
-    front = seen
-    while not front.isEmpty():
-        nxt = front.join(step.select("scope", F.col("node").alias("top"), F.col("parent").alias("far")), ["scope", "top"]).select("scope", "node", F.col("far").alias("top")).distinct()
-        front = cut(nxt.join(seen, ["scope", "node", "top"], "left_anti"))
-        seen = cut(seen.unionByName(front))
-    return seen
+    fronts = [cut_loop(start.select("scope", "node", "top").distinct())]
+    while True:
+        nxt = fronts[-1].join(step.select("scope", F.col("node").alias("top"), F.col("parent").alias("far")), ["scope", "top"]).select("scope", "node", F.col("far").alias("top")).distinct()
+        front = cut_loop(nxt.join(reduce(DataFrame.unionByName, fronts), ["scope", "node", "top"], "left_anti"))
+        if front.isEmpty():
+            return reduce(DataFrame.unionByName, fronts)
+        fronts.append(front)
+        if len(fronts) > FRONTS:
+            fronts = [cut_loop(reduce(DataFrame.unionByName, fronts[:-1])), front]
+
+
+def _pairs(links: DataFrame) -> DataFrame:
+    """All (scope, node, top) along one or more links, by squaring: as many rounds as the longest path has binary digits."""
+    pairs = cut_loop(links.select("scope", "node", F.col("parent").alias("top")).distinct())
+    size = pairs.count()
+    while True:
+        on = pairs.select("scope", F.col("node").alias("top"), F.col("top").alias("far"))
+        pairs = cut_loop(pairs.unionByName(pairs.join(on, ["scope", "top"]).select("scope", "node", F.col("far").alias("top"))).distinct())
+        size, before = pairs.count(), size
+        if size == before:
+            return pairs
 
 
-def strong_sets(links: DataFrame) -> DataFrame:
+def _jumps(nodes: DataFrame, links: DataFrame) -> tuple[list[DataFrame], bool]:
+    """(tables, open): table k has for each node the place 2 ** k single parents up, or the anchor on the way there.
+
+    An anchor is a node of no parent or of several. Tables are (scope, node, up, dist, done, low): done says that up is an anchor,
+    low is the least node on the way. open says that some never get to an anchor, as they run in a circle.
+    """
+    ups = links.groupBy("scope", "node").agg(F.count("*").alias("n"), F.min("parent").alias("parent"))
+    one = F.coalesce(F.col("n"), F.lit(0)) == 1
+    table = cut_loop(nodes.join(ups, ["scope", "node"], "left").select("scope", "node", F.when(one, F.col("parent")).otherwise(F.col("node")).alias("up"), one.cast("long").alias("dist"), (~one).alias("done"), F.col("node").alias("low")))
+    tables, rounds = [table], table.count().bit_length() + 1
+    for _ in range(rounds):
+        rest = table.where("not done")
+        if rest.isEmpty():
+            return tables, False
+        far = table.select("scope", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"), F.col("done").alias("done2"), F.col("low").alias("low2"))
+        moved = lookup(rest, far, ["scope", "up"], nulls=False).select("scope", "node", F.col("up2").alias("up"), (F.col("dist") + F.col("dist2")).alias("dist"), F.col("done2").alias("done"), F.least("low", "low2").alias("low"))
+        table = cut_loop(table.where("done").unionByName(moved))
+        tables.append(table)
+    return tables, not table.where("not done").isEmpty()
+
+
+def _anchored(links: DataFrame, table: DataFrame) -> DataFrame:
+    """(scope, node, via, parent, weight) for each link of a node with several parents: via its parent, weight steps up to an anchor."""
+    joins = links.join(links.groupBy("scope", "node").count().where("count > 1"), ["scope", "node"], "left_semi").select("scope", "node", F.col("parent").alias("via"))
+    end = table.where("done").select("scope", F.col("node").alias("via"), F.col("up").alias("parent"), (F.col("dist") + 1).alias("weight"))
+    return lookup(joins, end, ["scope", "via"], nulls=False).where("parent is not null").select("scope", "node", "via", "parent", "weight")
+
+
+def strong_sets(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(scope, node, label) of every node of links that lies in a circle, without holding a component in one task.
 
-    Nodes without links in or out are peeled off; of the rest each takes the greatest name that reaches it, the nodes
-    that reach the owner of their name within the same name form its circle and leave, until nothing is left.
+    Nodes of a single parent are drawn up to their anchors by pointer jumping; what never gets to one runs in a circle of single
+    parents, or hangs below it. What is left joins nodes of several parents alone: one task takes a scope of it that it can hold,
+    others are coloured. The nodes on the way between two anchors of one circle belong to it.
     """
-    found, rest = None, cut(links.select("scope", "node", "parent"))
-    loops = cut(rest.where("node = parent").select("scope", "node", F.col("node").alias("label")))
-    rest = rest.where("node <> parent")
+    loops = cut_loop(links.where("node = parent").select("scope", "node", F.col("node").alias("label")))
+    rest = cut_loop(links.where("node <> parent").select("scope", "node", "parent"))
+    nodes = cut_loop(rest.select("scope", "node").unionByName(rest.select("scope", F.col("parent").alias("node"))).distinct())
+    tables, runs = _jumps(nodes, rest)
+    last = tables[-1]
+    found = loops.limit(0)
+    if runs:  # after as many steps as there are nodes, up lies on the circle and low of such a node is its least one
+        on = last.where("not done").select("scope", F.col("up").alias("node")).distinct()
+        found = found.unionByName(last.join(on, ["scope", "node"], "left_semi").select("scope", "node", F.col("low").alias("label")))
+    edges = cut_loop(_anchored(rest, last))
+    thin = cut_loop(edges.select("scope", "node", "parent").distinct())
+    own = thin.where("node = parent").select("scope", "node", F.col("node").alias("label"))
+    big = cut_loop(thin.groupBy("scope").count().where(F.col("count") > task_links).select("scope"))
+    sets = _walk(thin.join(big, "scope", "left_anti").select("scope", F.lit("").alias("root"), "node", "parent"), "sets")
+    if not big.isEmpty():
+        sets = sets.unionByName(_coloured(thin.where("node <> parent").join(big, "scope", "left_semi")))
+    sets = cut_loop(sets)
+    sets = cut_loop(sets.unionByName(own.join(sets, ["scope", "node"], "left_anti")))
+    a = sets.select("scope", "node", F.col("label").alias("la"))
+    b = sets.select("scope", F.col("node").alias("parent"), F.col("label").alias("lb"))
+    marks = cut_loop(edges.where("via <> parent").join(a, ["scope", "node"]).join(b, ["scope", "parent"]).where("la = lb").select("scope", F.col("via").alias("node"), F.col("la").alias("label")).distinct())
+    if not marks.isEmpty():
+        for table in tables:  # all places on the way up to the anchor
+            up = table.where("dist > 0").select("scope", "node", "up").join(marks, ["scope", "node"]).select("scope", F.col("up").alias("node"), "label")
+            marks = cut_loop(marks.unionByName(up).distinct())
+        sets = sets.unionByName(marks.join(sets, ["scope", "node"], "left_anti"))
+    found = cut_loop(found.unionByName(sets))
+    return cut_loop(found.unionByName(loops.join(found, ["scope", "node"], "left_anti")))
+
+
+def _coloured(rest: DataFrame) -> DataFrame:
+    """The same for links that no task can hold: each node takes the greatest name that reaches it, the nodes that reach the owner
+    of their name within the same name form its circle and leave, until nothing is left."""
+    found = None
+    rest = cut_loop(rest.select("scope", "node", "parent"))
     while True:
-        while True:  # peel
+        while True:  # peel off what has nothing above or below
             heads, tails = rest.select("scope", F.col("parent").alias("node")), rest.select("scope", F.col("node").alias("parent"))
-            kept = cut(rest.join(heads.distinct(), ["scope", "node"], "left_semi").join(tails.distinct(), ["scope", "parent"], "left_semi"))
+            kept = cut_loop(rest.join(heads.distinct(), ["scope", "node"], "left_semi").join(tails.distinct(), ["scope", "parent"], "left_semi"))
             same = kept.count() == rest.count()
             rest = kept
             if same:
                 break
         if rest.isEmpty():
             break
-        color = cut(rest.select("scope", "node").unionByName(rest.select("scope", F.col("parent").alias("node"))).distinct().withColumn("color", F.col("node")))
+        color = cut_loop(rest.select("scope", "node").unionByName(rest.select("scope", F.col("parent").alias("node"))).distinct().withColumn("color", F.col("node")))
         while True:  # greatest name among the nodes that lead here
             offer = rest.join(color, ["scope", "node"]).groupBy("scope", F.col("parent").alias("node")).agg(F.max("color").alias("offer"))
-            nxt = cut(color.join(offer, ["scope", "node"], "left").select("scope", "node", F.greatest("color", "offer").alias("color"), (F.coalesce("offer", "color") > F.col("color")).alias("moved")))
+            nxt = cut_loop(color.join(offer, ["scope", "node"], "left").select("scope", "node", F.greatest("color", "offer").alias("color"), (F.coalesce("offer", "color") > F.col("color")).alias("moved")))
             color = nxt.drop("moved")
             if nxt.where("moved").isEmpty():
                 break
-        inner = cut(
+        inner = cut_loop(
             rest.join(color.withColumnRenamed("color", "cn"), ["scope", "node"])
             .join(color.select("scope", F.col("node").alias("parent"), F.col("color").alias("cp")), ["scope", "parent"])
             .where("cn = cp")
-            .select("scope", "node", "parent", F.col("cn").alias("color"))
+            .select("scope", "node", "parent", F.col("cn").alias("top"))
         )
-        circle = cut(color.where("node = color").select("scope", "node", F.col("color").alias("label")))
-        front = circle
-        while True:  # who reaches the owner within its colour
-            nxt = inner.join(front.select("scope", F.col("node").alias("parent"), "label"), ["scope", "parent"]).select("scope", "node", "label").distinct()
-            front = cut(nxt.join(circle, ["scope", "node", "label"], "left_anti"))
-            if front.isEmpty():
-                break
-            circle = cut(circle.unionByName(front))
+        owners = color.where("node = color").select("scope", "node", F.col("color").alias("top"))
+        circle = _within(owners, inner)
         real = circle.join(circle.groupBy("scope", "label").count().where("count > 1"), ["scope", "label"], "left_semi").select("scope", "node", "label")
         found = real if found is None else found.unionByName(real)
         gone = circle.select("scope", "node")
-        rest = cut(rest.join(gone, ["scope", "node"], "left_anti").join(gone.select("scope", F.col("node").alias("parent")), ["scope", "parent"], "left_anti"))
-    if found is None:
-        return loops
-    return cut(found.unionByName(loops.join(found, ["scope", "node"], "left_anti")))
+        rest = cut_loop(rest.join(gone, ["scope", "node"], "left_anti").join(gone.select("scope", F.col("node").alias("parent")), ["scope", "parent"], "left_anti"))
+    return found if found is not None else rest.select("scope", "node", F.col("node").alias("label"))
 
 
-def _large(grouped: DataFrame, kind: str) -> DataFrame:
-    """The same results as _walk for components above the bound, by joins alone."""
-    links = cut(grouped.where("parent is not null").select("scope", "node", "parent").distinct())
-    nodes = cut(grouped.select("scope", "node").unionByName(links.select("scope", F.col("parent").alias("node"))).distinct())
-    circle = strong_sets(links)
+def _within(owners: DataFrame, inner: DataFrame) -> DataFrame:
+    """(scope, node, label): who reaches the owner of a colour within it."""
+    circle = front = cut_loop(owners.select("scope", "node", F.col("top").alias("label")))
+    while True:
+        nxt = inner.join(front.select("scope", F.col("node").alias("parent"), "label"), ["scope", "parent"]).select("scope", "node", "label").distinct()
+        front = cut_loop(nxt.join(circle, ["scope", "node", "label"], "left_anti"))
+        if front.isEmpty():
+            return circle
+        circle = cut_loop(circle.unionByName(front))
+
+
+def _summed(nodes: DataFrame, heads: DataFrame, size: DataFrame, task_links: int) -> DataFrame:
+    """(scope, head, depth, roots, n_paths, below) of each place: places of a single parent follow from their anchor by pointer jumping."""
+    tables, _ = _jumps(nodes, heads)
+    last = tables[-1]
+    edges = cut_loop(_anchored(heads, last).groupBy("scope", "node", "parent", "weight").agg(F.count("*").alias("times")))
+    tops = nodes.join(heads.select("scope", "node").distinct(), ["scope", "node"], "left_anti")
+    known = cut_loop(tops.select("scope", "node", F.lit(0).cast("long").alias("depth"), F.array("node").alias("roots"), F.lit(1.0).alias("n_paths")))
+    done, waiting = [known], edges
+    while not waiting.isEmpty():  # places of several parents, from the top; only they take rounds
+        blocked = waiting.select("scope", F.col("node").alias("parent")).distinct()
+        ready = waiting.select("scope", "node").distinct().join(waiting.join(blocked, ["scope", "parent"], "left_semi").select("scope", "node").distinct(), ["scope", "node"], "left_anti")
+        all_known = reduce(DataFrame.unionByName, done).withColumnRenamed("node", "parent")
+        now = cut_loop(
+            waiting.join(ready, ["scope", "node"], "left_semi").join(all_known, ["scope", "parent"])
+            .groupBy("scope", "node").agg(F.max(F.col("depth") + F.col("weight")).alias("depth"), F.array_distinct(F.flatten(F.collect_list("roots"))).alias("roots"), F.sum(F.col("n_paths") * F.col("times")).alias("n_paths"))
+        )
+        done.append(now)
+        if len(done) > FRONTS:
+            done = [cut_loop(reduce(DataFrame.unionByName, done))]
+        waiting = cut_loop(waiting.join(now, ["scope", "node"], "left_anti"))
+    known = cut_loop(reduce(DataFrame.unionByName, done))
+    at = lookup(last.select("scope", "node", "up", "dist"), known.withColumnRenamed("node", "up"), ["scope", "up"], nulls=False)
+    place = at.select("scope", F.col("node").alias("head"), (F.col("depth") + F.col("dist")).cast("int").alias("depth"), F.array_sort("roots").alias("roots"), "n_paths")
+    if edges.isEmpty():  # trees: sums over 2 ** k steps at a time
+        below = cut_loop(size.withColumn("below", F.lit(0).cast("long")))
+        for k, table in enumerate(tables):
+            more = table.where(F.col("dist") == 2**k).join(below, ["scope", "node"]).groupBy("scope", F.col("up").alias("node")).agg(F.sum(F.col("below") + F.col("size")).alias("more"))
+            below = cut_loop(below.join(more, ["scope", "node"], "left").select("scope", "node", "size", (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")))
+        counts = below.select("scope", F.col("node").alias("head"), "below")
+    else:
+        counts = _pairs(heads).join(size, ["scope", "node"]).groupBy("scope", F.col("top").alias("head")).agg(F.sum("size").alias("below"))
+    return place.join(counts, ["scope", "head"], "left")
+
+
+def _large(grouped: DataFrame, kind: str, bad: DataFrame, task_links: int) -> DataFrame:
+    """The same results as _walk for components above the bound, by joins alone; bad (scope, root) are those that may hold circles."""
+    links = cut_loop(grouped.where("parent is not null").select("scope", "root", "node", "parent").distinct())
+    circle = strong_sets(links.join(bad, ["scope", "root"], "left_semi").drop("root"), task_links)
     if kind == "circles":
         return circle.select("scope", "node")
+    nodes = cut_loop(grouped.select("scope", "root", "node").unionByName(links.select("scope", "root", F.col("parent").alias("node"))).distinct())
     least = circle.groupBy("scope", "label").agg(F.min("node").alias("circle"))
-    of = cut(nodes.join(circle.join(least, ["scope", "label"]).select("scope", "node", "circle"), ["scope", "node"], "left").select("scope", "node", "circle", F.coalesce("circle", "node").alias("head")))
+    of = cut_loop(nodes.join(circle.join(least, ["scope", "label"]).select("scope", "node", "circle"), ["scope", "node"], "left").select("scope", "root", "node", "circle", F.coalesce("circle", "node").alias("head")))
     up = of.select("scope", F.col("node").alias("parent"), F.col("head").alias("top"))
     heads = links.join(of.select("scope", "node", "head"), ["scope", "node"]).join(up, ["scope", "parent"]).where("head <> top")
-    heads = cut(heads.select("scope", F.col("head").alias("node"), F.col("top").alias("parent")).distinct())
-    tops = of.select("scope", F.col("head").alias("node")).distinct().join(heads, ["scope", "node"], "left_anti")
-    if kind in ("descendants", "nodes"):
-        reach = _reach(heads.select("scope", "node", F.col("parent").alias("top")), heads)
-        lower = reach.select("scope", F.col("node").alias("low"), F.col("top").alias("head"))
+    heads = cut_loop(heads.select("scope", "root", F.col("head").alias("node"), F.col("top").alias("parent")).distinct())
+    if kind == "nodes":
+        several = cut_loop(heads.groupBy("scope", "root", "node").count().where("count > 1").select("scope", "root").distinct())
+        places = of.select("scope", "root", F.col("head").alias("node")).groupBy("scope", "root", "node").agg(F.count("*").alias("size"))
+        out = None
+        for how in ("left_anti", "left_semi"):  # trees, and components in which some place has several parents
+            part = cut_loop(places.join(several, ["scope", "root"], how).drop("root"))
+            if part.isEmpty():
+                continue
+            one = _summed(part.select("scope", "node"), heads.join(several, ["scope", "root"], how).drop("root"), part, task_links)
+            out = one if out is None else out.unionByName(one)
+        sized = places.select("scope", F.col("node").alias("head"), "size")
+        count = F.coalesce("below", F.lit(0)) + F.when(F.col("circle").isNotNull(), F.col("size")).otherwise(0)
+        return of.join(out, ["scope", "head"]).join(sized, ["scope", "head"]).select("scope", "node", F.col("circle").isNotNull().alias("in_circle"), "circle", "depth", "roots", "n_paths", count.cast("long").alias("n_descendants"))
+    if kind == "descendants":
+        lower = _pairs(heads).select("scope", F.col("node").alias("low"), F.col("top").alias("head"))
         own = of.where("circle is not null").select("scope", F.col("head").alias("low"), "head").distinct()
-        pairs = lower.unionByName(own).join(of.select("scope", "node", "head"), ["scope", "head"]).join(of.select("scope", F.col("node").alias("descendant"), F.col("head").alias("low")), ["scope", "low"]).select("scope", "node", "descendant")
-        if kind == "descendants":
-            return pairs
-    depth = cut(of.select("scope", F.col("head").alias("node")).distinct().withColumn("depth", F.lit(0)))
-    trails = cut(tops.select("scope", F.col("node").alias("at"), F.col("node").alias("root"), F.array("node").alias("path")))
-    out = trails
-    level = 0
-    while not trails.isEmpty():
-        level += 1
-        trails = cut(trails.join(heads.select("scope", F.col("node").alias("low"), F.col("parent").alias("at")), ["scope", "at"]).select("scope", F.col("low").alias("at"), "root", F.concat("path", F.array("low")).alias("path")))
-        out = out.unionByName(trails)
-    out = cut(out)
+        return lower.unionByName(own).join(of.select("scope", "node", "head"), ["scope", "head"]).join(of.select("scope", F.col("node").alias("descendant"), F.col("head").alias("low")), ["scope", "low"]).select("scope", "node", "descendant")
+    tops = of.select("scope", F.col("head").alias("node")).distinct().join(heads, ["scope", "node"], "left_anti")
+    trails = cut_loop(tops.select("scope", F.col("node").alias("at"), F.col("node").alias("root"), F.array("node").alias("path")))
+    done = [trails]
+    while not trails.isEmpty():  # every path is a row of the result, so they are listed
+        trails = cut_loop(trails.join(heads.select("scope", F.col("node").alias("low"), F.col("parent").alias("at")), ["scope", "at"]).select("scope", F.col("low").alias("at"), "root", F.concat("path", F.array("low")).alias("path")))
+        done.append(trails)
+        if len(done) > FRONTS:
+            done = [cut_loop(reduce(DataFrame.unionByName, done))]
+    out = reduce(DataFrame.unionByName, done)
     full = out.join(of.select("scope", "node", F.col("head").alias("at"), "circle"), ["scope", "at"])
-    if kind == "paths":
-        marks = of.where("circle is not null").select("scope", F.col("head").alias("step")).distinct()
-        steps = out.select("scope", "at", "path", F.explode("path").alias("step")).join(marks, ["scope", "step"], "left_semi").select("scope", "path").distinct().withColumn("hit", F.lit(True))
-        last = F.concat(F.slice("path", F.lit(1), F.size("path") - 1), F.array("node"))
-        return full.join(steps, ["scope", "path"], "left").select("scope", "node", "root", last.alias("path"), (F.size("path") - 1).cast("int").alias("depth"), F.coalesce("hit", F.lit(False)).alias("through_circle"))
-    per = full.groupBy("scope", "node").agg(F.first("circle").alias("circle"), F.max(F.size("path") - 1).cast("int").alias("depth"), F.array_sort(F.collect_set("root")).alias("roots"), F.count("*").cast("double").alias("n_paths"))
-    many = pairs.groupBy("scope", "node").agg(F.count("*").alias("n_descendants"))
-    return per.join(many, ["scope", "node"], "left").select("scope", "node", F.col("circle").isNotNull().alias("in_circle"), "circle", "depth", "roots", "n_paths", F.coalesce("n_descendants", F.lit(0)).cast("long").alias("n_descendants"))
+    marks = of.where("circle is not null").select("scope", F.col("head").alias("step")).distinct()
+    steps = out.select("scope", "at", "path", F.explode("path").alias("step")).join(marks, ["scope", "step"], "left_semi").select("scope", "path").distinct().withColumn("hit", F.lit(True))
+    last = F.concat(F.slice("path", F.lit(1), F.size("path") - 1), F.array("node"))
+    return full.join(steps, ["scope", "path"], "left").select("scope", "node", "root", last.alias("path"), (F.size("path") - 1).cast("int").alias("depth"), F.coalesce("hit", F.lit(False)).alias("through_circle"))
 
 
 # ------------------------------------------------------------------ operators
@@ -475,6 +629,7 @@ def hierarchy(rows: DataFrame, kind: str, scope: str = "manifest_id", node: str
     nodes, links = node_links(rows, scope, node, parents)
     links = cut(links)
     sets = cut(components(links, task_links))
+    bad = sets.where("conflict").select("scope", "root").distinct()
     if kind == "circles":  # offsets without contradiction prove that a component has no circle
         sets = sets.where("conflict")
     grouped = links.join(sets.select("scope", "node", "root"), ["scope", "node"]).select("scope", "root", "node", "parent")
@@ -487,4 +642,4 @@ def hierarchy(rows: DataFrame, kind: str, scope: str = "manifest_id", node: str
         return _walk(grouped, kind)
     grouped = cut(grouped)
     small = grouped.join(large, ["scope", "root"], "left_anti")
-    return _walk(small, kind).unionByName(_large(grouped.join(large, ["scope", "root"], "left_semi"), kind))
+    return _walk(small, kind).unionByName(_large(grouped.join(large, ["scope", "root"], "left_semi"), kind, bad, task_links))

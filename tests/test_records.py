@@ -18,7 +18,7 @@ def tree(depth, fan):
 
 
 def walk(nodes, parent=""):
-    for i, n in enumerate(nodes or []):
+    for i, n in enumerate(nodes if isinstance(nodes, list) else []):
         if isinstance(n, dict):
             yield parent, i, n.get("id")
             yield from walk(n.get("children"), n.get("id"))
