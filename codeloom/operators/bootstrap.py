@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import names, paths
 from codeloom.operators import graph
+from codeloom.runtime import is_small, ranked
 
 # Directories that hold packages, and directories that hold a package's code.
 WORKSPACES = ("crates", "packages", "apps", "modules", "services", "libs", "workspaces")
@@ -98,14 +99,20 @@ def capped(edges: DataFrame, source: str = "from", target: str = "to", per_sourc
 
 def connections(files: DataFrame, imports: DataFrame, subs: DataFrame) -> DataFrame:
     """(from, to, weight, label, type): imports between subsystems, counted and capped."""
-    ordered = subs.withColumn("ord", F.row_number().over(Window.orderBy("id"))) if "ord" not in subs.columns else subs  # subsystems of one manifest
+    ordered = ranked(subs, [F.asc("id")], "ord") if "ord" not in subs.columns else subs  # subsystems of one manifest
     here = path_subsystem(files, ordered).withColumnsRenamed({"path": "file", "id": "from"})
     edges = import_subsystem(imports, ordered).where("to is not null").join(here, "file").where("`from` <> `to`").groupBy("from", "to").agg(F.count("*").alias("weight"))
     return capped(edges).withColumn("label", F.concat_ws(" → ", "from", "to")).withColumn("type", F.lit("depends_on"))
 
 
+#: Subsystems that a manifest rendered as one text may have.
+MANIFEST_ROWS = 100_000
+
+
 def manifest(name: str, subs: DataFrame, links: DataFrame) -> str:
-    """The manifest as JSON text; a few rows by nature, so it is put together on the driver."""
+    """The manifest as one JSON text, put together on the driver; more than MANIFEST_ROWS subsystems are an error. Connections are capped by nature."""
+    if not is_small(subs, MANIFEST_ROWS):
+        raise ValueError(f"more than {MANIFEST_ROWS} subsystems; write them with sinks.write_ndjson")
     rows = subs.orderBy("id").collect()
     domains = sorted({r["domain"] for r in rows})
     human = lambda x: " ".join(w[:1].upper() + w[1:] for w in x.replace("_", "-").split("-") if w)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.runtime import ordered_parts
+
 
 def write(records: DataFrame, folder: str, now=None) -> None:
     stamped = records.withColumn("last_accessed", F.current_timestamp() if now is None else F.lit(now)).withColumn("shard", F.substring("content_hash", 1, 2))
@@ -41,15 +43,44 @@ def prune(store: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return store.join(here, "path", "left_semi"), store.join(here, "path", "left_anti")
 
 
-def evict(store: DataFrame, max_bytes: int, size: str = "size", buckets: int = 64) -> DataFrame:
-    """Records that stay when the longest unused go until the sizes fit.
+def evict(store: DataFrame, max_bytes: int, size: str = "size") -> DataFrame:
+    """Records that stay when the longest unused go until the sizes fit; of equal times those of the greater path go first.
 
-    The sum over all records runs over times first, in a table of distinct times, and within equal times by path.
+    Records never used go first, and a null size counts as none. Parts of the order, cut by sampled bounds, are summed up; only in
+    the part in which the budget ends are records looked at one by one, so equal times of a whole batch never meet in one task.
     """
-    per_time = store.groupBy("last_accessed").agg(F.sum(size).alias("t"))
-    later = per_time.withColumn("base", F.coalesce(F.sum("t").over(Window.orderBy(F.desc("last_accessed")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("t")
-    within = F.sum(size).over(Window.partitionBy("last_accessed").orderBy("path"))
-    return store.withColumn("run", within).join(later, "last_accessed").where(F.col("base") + F.col("run") <= max_bytes).drop("run", "base")
+    order = [F.desc_nulls_last("last_accessed"), F.asc("path")]
+    bytes_of = F.coalesce(F.col(size), F.lit(0))
+    parted = ordered_parts(store, order)
+    sums = parted.groupBy("part").agg(F.sum(bytes_of).alias("_sum"))
+    edges = sums.select("part", F.sum("_sum").over(Window.orderBy("part")).alias("_upto"), "_sum")  # one row per partition
+    placed = parted.join(F.broadcast(edges), "part")
+    whole = placed.where(F.col("_upto") <= max_bytes)
+    border = placed.where((F.col("_upto") > max_bytes) & (F.col("_upto") - F.col("_sum") <= max_bytes))
+    run = F.sum(bytes_of).over(Window.partitionBy("part").orderBy(*order))
+    some = border.withColumn("_run", run).where(F.col("_upto") - F.col("_sum") + F.col("_run") <= max_bytes)
+    return whole.select(*store.columns).unionByName(some.select(*store.columns))
+
+
+def get(store: DataFrame, keys: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
+    """(records, touched): the records of keys (content_hash, path), and the whole store with their last use set to now."""
+    wanted = keys.select("content_hash", "path").distinct()
+    stamp = F.current_timestamp() if now is None else F.lit(now)
+    hit = store.join(wanted, ["content_hash", "path"], "left_semi").withColumn("last_accessed", stamp)
+    return hit, hit.unionByName(store.join(wanted, ["content_hash", "path"], "left_anti"))
+
+
+def remove(store: DataFrame, keys: DataFrame) -> DataFrame:
+    """The store without the records of keys (content_hash)."""
+    return store.join(keys.select("content_hash").distinct(), "content_hash", "left_anti")
+
+
+def clear(spark: SparkSession, folder: str) -> int:
+    """Delete all records; how many there were."""
+    n = spark.read.option("ignoreCorruptFiles", True).parquet(folder).count()
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def dry_run(store: DataFrame, action: str, reason: str) -> DataFrame:

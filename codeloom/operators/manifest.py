@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
 from codeloom.runtime import broadcast_if_small
 
+#: Characters on which names meet before they are compared.
+GRAM = 4
+
 
 def flatten(manifest: dict | str) -> list[dict]:
     """The subsystems of one manifest in depth-first order, parents first; unknown fields are ignored, an unknown status is an error."""
@@ -79,16 +82,27 @@ def coverage(matched: DataFrame) -> DataFrame:
     return matched.agg(F.count("*").alias("total_entities"), hit.alias("n_matched")).withColumn("coverage_percent", F.when(F.col("total_entities") == 0, 100.0).otherwise(F.col("n_matched") * 100.0 / F.col("total_entities")))
 
 
+def _grams(text: Column) -> Column:
+    """All distinct parts of up to GRAM characters."""
+    cuts = lambda k: F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[cuts(k) for k in range(1, GRAM + 1)]))
+
+
 def candidates(unmatched: DataFrame, subsystems: DataFrame) -> DataFrame:
     """(manifest_id, name, candidates): subsystems of the manifest of whose id or name the entity's name is a part, or the other way round, in any case.
 
-    Compared within a manifest and over distinct names; the subsystems of one manifest are few.
+    A text that is a part of another begins with one of the other's parts of GRAM characters (or is such a part, if it is
+    shorter). So texts meet on a manifest and such a part, and only those that meet are compared; empty texts are part of none.
     """
-    ents = unmatched.select("manifest_id", "name").where("name <> ''").distinct()
-    subs = subsystems.select("manifest_id", "id", F.lower("id").alias("i"), F.lower("name").alias("s")).distinct()
-    e = F.lower(F.col("name"))
-    both = lambda c: F.contains(e, F.col(c)) | F.contains(F.col(c), e)
-    return ents.join(subs, "manifest_id").where(both("i") | both("s")).groupBy("manifest_id", "name").agg(F.array_sort(F.collect_set("id")).alias("candidates"))
+    ents = unmatched.select("manifest_id", "name", F.lower("name").alias("e")).where("name <> '' and manifest_id is not null").distinct()
+    labels = subsystems.select("manifest_id", "id", F.explode(F.array_distinct(F.array(F.lower("id"), F.lower("name")))).alias("s")).where("s <> ''").distinct()
+    words = ents.select("manifest_id", "e").distinct()
+    shown = labels.select("manifest_id", "s").distinct()
+    start = lambda c: F.substring(c, 1, GRAM).alias("g")
+    inside = shown.select("manifest_id", "s", start("s")).join(words.select("manifest_id", "e", F.explode(_grams(F.col("e"))).alias("g")), ["manifest_id", "g"]).where(F.contains("e", F.col("s")))
+    around = words.select("manifest_id", "e", start("e")).join(shown.select("manifest_id", "s", F.explode(_grams(F.col("s"))).alias("g")), ["manifest_id", "g"]).where(F.contains("s", F.col("e")))
+    met = inside.select("manifest_id", "e", "s").unionByName(around.select("manifest_id", "e", "s")).distinct()
+    return met.join(labels, ["manifest_id", "s"]).select("manifest_id", "e", "id").distinct().join(ents, ["manifest_id", "e"]).groupBy("manifest_id", "name").agg(F.array_sort(F.collect_set("id")).alias("candidates"))
 
 
 def rollup(subsystems: DataFrame, matched: DataFrame) -> DataFrame:

@@ -1,28 +1,25 @@
 """References to records that do not exist at the time of the reference.
 
 A reference is (ref_table, ref_field, manifest_id, source_key, ref_value, t); a target is a key with the spans in which it
-exists. References are pre-aggregated per key and time before anything is shuffled. Keys with more references than a share
-of all are heavy: their spans are broadcast, if there are few enough of them, and checked without a shuffle. The other
-keys go through a shuffled anti-join. Both orphan sets are united.
+exists. References are pre-aggregated per key and month, with their number and their first and last time, before anything
+is joined. A group that one span covers is live, one that no span meets is dead; only groups in whose time a span begins or
+ends are looked at reference by reference. Groups come back to their references by a split join: keys with more references
+than a task should get are heavy, their groups are broadcast if few enough, else salted by their size; the other keys are
+shuffled. The orphans of both are united.
 
 Defined cases. A null or empty value is no reference. A null scope or a null time matches no target, so such a reference
-is an orphan. A null end means that the target still exists; a target without a start never exists. Repeated rows count
-once. Empty tables give an empty result, or all references as orphans where only the targets are missing.
+is an orphan; it is taken out before any join. A null end means that the target still exists; a target without a start never
+exists. Repeated rows count once. Empty tables give an empty result, or all references as orphans where only the targets are missing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.runtime import cut, is_small
-
-#: A key with more than this share of the pre-aggregated references is heavy, so there are at most 1 / HEAVY_SHARE such keys.
-HEAVY_SHARE = 1 / 500
-#: Spans of heavy keys that may be broadcast; beyond it the heavy keys are salted and shuffled like the rest.
-HEAVY_SPANS = 20_000
-#: Parts of a heavy key where it has to be shuffled.
-SALTS = 32
+from codeloom.runtime import TASK_ROWS, broadcast_if_small, cut, lookup
 
 
 def references(subsystems: DataFrame, entities: DataFrame) -> DataFrame:
@@ -48,38 +45,44 @@ def _target_of(refs: DataFrame) -> DataFrame:
 
 
 KEY = ["target", "manifest_id", "ref_value"]
+GROUP = [*KEY, "month"]
+
+
+def _groups(refs: DataFrame) -> DataFrame:
+    """Per key and month: n references, the first and the last time."""
+    return refs.groupBy(*GROUP).agg(F.sum("n").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+def states(groups: DataFrame, spans: DataFrame) -> DataFrame:
+    """groups with state 'dead' or 'mixed'; the live ones, all of whose references lie in one span, are left out."""
+    key = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in KEY])
+    open_after = lambda t: F.col("s.until").isNull() | (F.col("s.until") > F.col(t))
+    covered = key("g", "s") & (F.col("s.since") <= F.col("g.first")) & open_after("g.last")
+    met = key("g", "s") & (F.col("s.since") <= F.col("g.last")) & open_after("g.first")
+    rest = cut(groups.alias("g").join(spans.alias("s"), covered, "left_anti"))
+    mixed = rest.alias("g").join(spans.alias("s"), met, "left_semi").withColumn("state", F.lit("mixed"))
+    return mixed.unionByName(rest.alias("g").join(spans.alias("s"), met, "left_anti").withColumn("state", F.lit("dead")))
 
 
-def dead(keys: DataFrame, spans: DataFrame, heavy_share: float = HEAVY_SHARE, heavy_spans: int = HEAVY_SPANS) -> DataFrame:
-    """Of keys (target, manifest_id, ref_value, t, n and more) the rows whose target does not exist at t.
+def dead(refs: DataFrame, spans: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Of refs (target, manifest_id, ref_value, t, n and more) the rows whose target does not exist at t.
 
-    n says how many references a row of keys stands for.
+    n says how many references a row of refs stands for.
     """
-    keys = cut(keys)
-    total = keys.agg(F.sum("n")).first()[0] or 0
-    counts = keys.groupBy(KEY).agg(F.sum("n").alias("refs"))
-    heavy = cut(counts.where(F.col("refs") > max(1, total * heavy_share)).select(KEY))
-    some = not heavy.isEmpty()
-    hot = F.broadcast(heavy.withColumn("hot", F.lit(True)))  # at most 1 / heavy_share rows
-    marked = keys.join(hot, KEY, "left") if some else keys.withColumn("hot", F.lit(None).cast("boolean"))
-    covers = lambda a, b: [F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in KEY] + [F.col(f"{b}.since") <= F.col(f"{a}.t"), F.col(f"{b}.until").isNull() | (F.col(f"{b}.until") > F.col(f"{a}.t"))]
-    every = lambda conditions: conditions[0] & every(conditions[1:]) if len(conditions) > 1 else conditions[0]
-    light = marked.where("hot is null").alias("k").join(spans.alias("s"), every(covers("k", "s")), "left_anti")
-    if not some:
-        return light.drop("hot")
-    of_heavy = cut(spans.join(hot, KEY, "left_semi"))
-    if is_small(of_heavy, heavy_spans):
-        checked = marked.where("hot").alias("k").join(F.broadcast(of_heavy).alias("s"), every(covers("k", "s")), "left_anti")
-    else:
-        salted = marked.where("hot").withColumn("salt", F.pmod(F.hash("t", F.monotonically_increasing_id()), F.lit(SALTS)))
-        spread = of_heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        checked = salted.alias("k").join(spread.alias("s"), every(covers("k", "s")) & (F.col("k.salt") == F.col("s.salt")), "left_anti").drop("salt")
-    return light.unionByName(checked).drop("hot")
+    known = F.col("manifest_id").isNotNull() & F.col("t").isNotNull()
+    live = refs.where(known).withColumn("month", F.date_format("t", "yyyy-MM"))
+    found = cut(states(_groups(live), spans).select(*GROUP, "state"))
+    marked = lookup(live, found, GROUP, task_rows, nulls=False).where("state is not null")
+    covers = reduce(lambda x, y: x & y, [F.col(f"k.{c}") == F.col(f"s.{c}") for c in KEY]) & (F.col("s.since") <= F.col("k.t")) & (F.col("s.until").isNull() | (F.col("s.until") > F.col("k.t")))
+    of_mixed = spans.join(found.where("state = 'mixed'").select(*KEY).distinct(), KEY, "left_semi")
+    single = marked.where("state = 'mixed'").alias("k").join(broadcast_if_small(cut(of_mixed)).alias("s"), covers, "left_anti")
+    gone = marked.where("state = 'dead'").unionByName(single)
+    return gone.select(*refs.columns).unionByName(refs.where(~known))
 
 
 def orphans(subsystems: DataFrame, domains: DataFrame, entities: DataFrame) -> DataFrame:
     """(ref_table, ref_field, manifest_id, source_key, ref_value): each distinct reference whose target did not exist at its time."""
-    refs = references(subsystems, entities).distinct().withColumn("n", F.lit(1))
+    refs = references(subsystems, entities).withColumn("n", F.lit(1).cast("long"))
     gone = dead(_target_of(refs), targets(subsystems, domains))
     return gone.select("ref_table", "ref_field", "manifest_id", "source_key", "ref_value").distinct()
 
@@ -90,11 +93,9 @@ def orphan_report(subsystems: DataFrame, domains: DataFrame, entities: DataFrame
     Repeated rows count once. Only counts per key and time are checked, so the sources are never joined.
     """
     refs = references(subsystems, entities).distinct()
-    keyed = _target_of(refs).groupBy("ref_table", "ref_field", *KEY, "t").agg(F.count("*").alias("n"))
-    keyed = cut(keyed)
+    keyed = cut(_target_of(refs).groupBy("ref_table", "ref_field", *KEY, "t").agg(F.count("*").alias("n")))
     month = F.date_format("t", "yyyy-MM").alias("month")
-    total = keyed.groupBy("ref_table", "ref_field", month).agg(F.sum("n").alias("references"))
-    gone = dead(keyed, targets(subsystems, domains)).groupBy("ref_table", "ref_field", month).agg(F.sum("n").alias("orphans"))
-    joined = total.alias("a").join(F.broadcast(gone).alias("b"), (F.col("a.ref_table") == F.col("b.ref_table")) & (F.col("a.ref_field") == F.col("b.ref_field")) & F.col("a.month").eqNullSafe(F.col("b.month")), "left")
-    count = F.coalesce("b.orphans", F.lit(0))
-    return joined.select("a.ref_table", "a.ref_field", "a.month", F.col("a.references").alias("n_references"), count.alias("n_orphans"), F.round(count / F.col("a.references"), 6).alias("orphan_rate"))
+    gone = dead(keyed, targets(subsystems, domains)).withColumn("lost", F.col("n"))
+    both = keyed.withColumn("lost", F.lit(0).cast("long")).unionByName(gone.withColumn("n", F.lit(0).cast("long")))
+    sums = both.groupBy("ref_table", "ref_field", month).agg(F.sum("n").alias("n_references"), F.sum("lost").alias("n_orphans"))
+    return sums.withColumn("orphan_rate", F.round(F.col("n_orphans") / F.col("n_references"), 6))

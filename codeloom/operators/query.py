@@ -101,3 +101,71 @@ def subsystem_filter(subsystems: DataFrame, domain: str | None = None, status: s
     if text:
         out = out.where(F.contains(F.lower("name"), F.lit(text.lower())) | F.contains(F.lower("id"), F.lit(text.lower())))
     return out
+
+
+def interfaces(ir: DataFrame, name: str | None = None, show_methods: bool = False) -> DataFrame:
+    """(name, file, language_kind, visibility, n_methods), with show_methods the names of the methods as well."""
+    rows = ir.select(F.col("path").alias("in_file"), F.explode("interfaces").alias("e"))
+    rows = rows if name is None else rows.where(F.contains(F.col("e.name"), F.lit(name)))
+    shown = [F.transform("e.methods", lambda m: m.getField("name")).alias("methods")] if show_methods else []
+    return rows.select(F.col("e.name").alias("name"), F.col("in_file").alias("file"), F.col("e.language_kind").alias("language_kind"), F.col("e.visibility").alias("visibility"), F.size("e.methods").alias("n_methods"), *shown)
+
+
+def service_table(ir: DataFrame, kind: str | None = None, show_routes: bool = False, show_dependencies: bool = False) -> DataFrame:
+    """(name, file, kind, n_methods), with the routes as 'VERB path' and the dependencies where asked for."""
+    rows = ir.select(F.col("path").alias("in_file"), F.explode("services").alias("e"))
+    rows = rows if kind is None else rows.where(F.col("e.kind") == kind)
+    more = [F.transform("e.routes", lambda r: F.concat_ws(" ", r.getField("method"), r.getField("path"))).alias("routes")] if show_routes else []
+    more += [F.col("e.dependencies").alias("dependencies")] if show_dependencies else []
+    return rows.select(F.col("e.name").alias("name"), F.col("in_file").alias("file"), F.col("e.kind").alias("kind"), F.size("e.methods").alias("n_methods"), *more)
+
+
+def impl_table(ir: DataFrame, trait: str | None = None, show_methods: bool = False) -> DataFrame:
+    """(target, trait_name, file, n_methods) of all implementations, or of those of one trait."""
+    rows = ir.select(F.col("path").alias("in_file"), F.explode("implementations").alias("e"))
+    rows = rows if trait is None else rows.where(F.col("e.trait_name") == trait)
+    shown = [F.transform("e.methods", lambda m: m.getField("name")).alias("methods")] if show_methods else []
+    return rows.select(F.col("e.target").alias("target"), F.col("e.trait_name").alias("trait_name"), F.col("in_file").alias("file"), F.size("e.methods").alias("n_methods"), *shown)
+
+
+def method_filter(methods: DataFrame, owner: str | None = None, name: str | None = None, is_async: bool | None = None, visibility: str | None = None) -> DataFrame:
+    """Rows of tables.methods for which all that is set holds; the owner is exact, the name a part."""
+    out = methods
+    if owner is not None:
+        out = out.where(F.col("owner_name") == owner)
+    if name is not None:
+        out = out.where(F.contains("name", F.lit(name)))
+    if is_async is not None:
+        out = out.where(F.col("is_async") == is_async)
+    return out if visibility is None else out.where(F.col("visibility") == visibility)
+
+
+def file_by_path(ir: DataFrame, path: str) -> DataFrame:
+    """The record of one file; a partition or row-group filter where the store has one."""
+    return ir.where(F.col("path") == path)
+
+
+def subsystem(subsystems: DataFrame, ident: str) -> DataFrame:
+    """Subsystems of an id, one per manifest that has it."""
+    return subsystems.where(F.col("id") == ident)
+
+
+def subsystem_entities(matched: DataFrame, subsystems: DataFrame, nested: bool = False) -> DataFrame:
+    """(manifest_id, id, name, kind, file, line): the entities matched to each subsystem; nested counts those of its direct children as well."""
+    of = matched.where("subsystem_id is not null").select("manifest_id", F.col("subsystem_id").alias("id"), "name", "kind", "file", "line")
+    own = of.join(subsystems.select("manifest_id", "id").distinct(), ["manifest_id", "id"], "left_semi")
+    if not nested:
+        return own
+    up = subsystems.where("parent_id is not null").select("manifest_id", "id", F.col("parent_id").alias("up")).distinct()
+    return own.unionByName(own.join(up, ["manifest_id", "id"]).select("manifest_id", F.col("up").alias("id"), "name", "kind", "file", "line"))
+
+
+def build_status_map(ir: DataFrame) -> DataFrame:
+    """(path, build_status) of each file."""
+    return ir.select("path", "build_status").distinct()
+
+
+def coverage_class(percent: Column) -> tuple[Column, Column]:
+    """(percent between 0 and 100, null as 0, and its class: high from 80, medium from 50, else low)."""
+    clamped = F.least(F.greatest(F.coalesce(percent.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(100.0))
+    return clamped, F.when(clamped >= 80, "high").when(clamped >= 50, "medium").otherwise("low")

@@ -84,10 +84,35 @@ def compact(totals: dict) -> str:
 
 
 def text_table(df: DataFrame, rows: int = 1000) -> str:
-    """Aligned columns for a terminal, of at most so many rows."""
-    data = [df.columns] + [["" if v is None else str(v) for v in r] for r in df.limit(rows).collect()]
+    """Aligned columns for a terminal; a last line says so where there are more than so many rows."""
+    found = df.limit(rows + 1).collect()
+    data = [df.columns] + [["" if v is None else str(v) for v in r] for r in found[:rows]]
     widths = [max(len(r[i]) for r in data) for i in range(len(df.columns))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in data)
+    more = [f"... more than {rows} rows"] if len(found) > rows else []
+    return "\n".join(["  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in data] + more)
+
+
+def table_lines(df: DataFrame) -> DataFrame:
+    """(value): all rows as aligned columns, without the driver; the widths come from one aggregate."""
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in df.columns]
+    rows = df.select(*text)
+    widths = rows.agg(*[F.greatest(F.coalesce(F.max(F.length(c)), F.lit(0)), F.lit(len(c))).alias(f"w_{i}") for i, c in enumerate(df.columns)])
+    padded = [F.rpad(F.col(c), F.col(f"w_{i}"), F.lit(" ")) for i, c in enumerate(df.columns)]
+    return rows.join(F.broadcast(widths)).select(F.rtrim(F.concat_ws("  ", *padded)).alias("value"))
+
+
+def write_single(df: DataFrame, path: str, form: str) -> None:
+    """One file in the form json (an array), ndjson, csv, markdown or table, for results of a size that people read."""
+    makers = {"ndjson": lambda: json_lines(df), "table": lambda: table_lines(df), "csv": lambda: csv_lines(df), "markdown": lambda: markdown_lines(df)}
+    if form == "json":
+        return write_text(pretty_json(df), path)
+    if form not in makers:
+        raise ValueError(f"unknown form {form!r}; known are json, {', '.join(makers)}")
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    with target.open("w", encoding="utf-8") as out:
+        for row in makers[form]().toLocalIterator():
+            out.write(row[0] + "\n")
 
 
 def write_text(text: str, path: str) -> None:

@@ -17,86 +17,90 @@ from codeloom.operators import resolve, tables
 GOD_INTERFACE, GOD_SERVICE = 10, 15
 
 
-def _violation(rows: DataFrame, rule: str, severity: str, message: Column, entity: Column, file: str, line: str) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"), entity.alias("entity_name"), F.col(file).alias("file"), F.col(line).cast("int").alias("line"))
-
-
-def _each(ir: DataFrame, column: str) -> DataFrame:
-    return ir.select("path", "language", F.posexplode(column).alias("ord", "e")).withColumn("line", F.col("e.span.start_line"))
-
-
 def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def pascal_case(ir: DataFrame) -> DataFrame:
-    rows = _each(ir, "interfaces").where(~names.is_pascal(F.col("e.name")))
-    return _violation(rows, "interfaces-pascal-case", "warn", _text("Interface '", F.col("e.name"), "' is not PascalCase"), F.col("e.name"), "path", "line")
+def _finding_of(rule: str, severity: str, message: Column, entity: Column, line: Column) -> Column:
+    return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"), entity.alias("entity_name"), F.col("path").alias("file"), line.cast("int").alias("line"))
 
 
-def method_naming(ir: DataFrame) -> DataFrame:
-    out = []
-    for column, kind in (("classes", "class"), ("interfaces", "interface")):
-        rows = _each(ir, column).select("path", "language", F.col("e.name").alias("owner"), F.explode("e.methods").alias("m")).withColumn("line", F.col("m.span.start_line"))
-        rows = rows.where(~names.follows_convention(F.col("m.name"), F.col("language")))
-        out.append(_violation(rows, "methods-naming-convention", "warn", _text("Method '", F.col("m.name"), f"' in {kind} '", F.col("owner"), "' doesn't follow ", names.convention(F.col("language")), " naming convention"), F.col("m.name"), "path", "line"))
-    return out[0].unionByName(out[1])
+def _per(column: str, fits, finding) -> Column:
+    """Findings of the entities of one array for which fits holds; both take the entity, its place and the array."""
+    array = F.coalesce(F.col(column), F.array())
+    return F.filter(F.transform(array, lambda e, i: F.when(fits(e, i, array), finding(e))), lambda x: x.isNotNull())
 
 
-def duplicate_interfaces(ir: DataFrame) -> DataFrame:
-    rows = _each(ir, "interfaces").withColumn("name", F.col("e.name"))
-    rows = resolve.duplicates_after_first(rows, ["path", "name"], ["ord"])
-    return _violation(rows, "no-duplicate-interface-names", "fail", _text("Duplicate interface name '", F.col("name"), "' in same file"), F.col("name"), "path", "line")
+def _line(e: Column) -> Column:
+    return e.getField("span").getField("start_line")
 
 
-def duplicate_methods(ir: DataFrame) -> DataFrame:
-    rows = resolve.duplicates_after_first(tables.interface_methods(ir), ["file", "iface_ord", "name"], ["method_ord"])
-    return _violation(rows, "no-duplicate-method-names", "fail", _text("Duplicate method '", F.col("name"), "' in interface '", F.col("interface"), "'"), F.col("name"), "file", "line")
+def _again(e: Column, i: Column, array: Column) -> Column:
+    """Whether an earlier element has the same name."""
+    return F.array_position(F.transform(array, lambda x: x.getField("name")), e.getField("name")) <= i
 
 
-def empty_interfaces(ir: DataFrame) -> DataFrame:
-    rows = _each(ir, "interfaces").where((F.size("e.methods") == 0) & (F.size("e.properties") == 0))
-    return _violation(rows, "interfaces-have-methods", "warn", _text("Interface '", F.col("e.name"), "' has no methods or properties"), F.col("e.name"), "path", "line")
+def _naming(column: str, kind: str) -> Column:
+    rule, label = "methods-naming-convention", names.convention(F.col("language"))
+    def of(e: Column) -> Column:
+        wrong = F.filter(e.getField("methods"), lambda m: ~names.follows_convention(m.getField("name"), F.col("language")))
+        return F.transform(wrong, lambda m: _finding_of(rule, "warn", _text("Method '", m.getField("name"), f"' in {kind} '", e.getField("name"), "' doesn't follow ", label, " naming convention"), m.getField("name"), _line(m)))
+    return F.flatten(F.transform(F.coalesce(F.col(column), F.array()), of))
 
 
-def empty_services(ir: DataFrame) -> DataFrame:
-    rows = _each(ir, "services").where((F.size("e.methods") == 0) & (F.size("e.routes") == 0))
-    return _violation(rows, "services-have-methods", "warn", _text("Service '", F.col("e.name"), "' has no methods or routes"), F.col("e.name"), "path", "line")
+def _duplicate_methods() -> Column:
+    def of(e: Column) -> Column:
+        held = e.getField("methods")
+        found = F.transform(held, lambda m, i: F.when(_again(m, i, held), _finding_of("no-duplicate-method-names", "fail", _text("Duplicate method '", m.getField("name"), "' in interface '", e.getField("name"), "'"), m.getField("name"), _line(m))))
+        return F.filter(found, lambda x: x.isNotNull())
+    return F.flatten(F.transform(F.coalesce(F.col("interfaces"), F.array()), of))
 
 
-def untyped_fields(ir: DataFrame) -> DataFrame:
-    rows = tables.fields(ir).where("type_annotation is null")
-    return _violation(rows, "schema-fields-have-types", "warn", _text("Field '", F.col("name"), "' in schema '", F.col("schema"), "' has no type annotation"), F.col("schema"), "file", "line")
+def _untyped_fields() -> Column:
+    def of(e: Column) -> Column:
+        bare = F.filter(e.getField("fields"), lambda f: f.getField("type_annotation").isNull())
+        return F.transform(bare, lambda f: _finding_of("schema-fields-have-types", "warn", _text("Field '", f.getField("name"), "' in schema '", e.getField("name"), "' has no type annotation"), e.getField("name"), _line(e)))
+    return F.flatten(F.transform(F.coalesce(F.col("schemas"), F.array()), of))
 
 
-def god_interfaces(ir: DataFrame) -> DataFrame:
-    rows = _each(ir, "interfaces").where(F.size("e.methods") > GOD_INTERFACE)
-    return _violation(rows, "no-god-interfaces", "warn", _text("Interface '", F.col("e.name"), "' has ", F.size("e.methods"), f" methods (max {GOD_INTERFACE})"), F.col("e.name"), "path", "line")
+def _sized(column: str, rule: str, severity: str, fits, *message) -> Column:
+    return _per(column, lambda e, i, a: fits(e), lambda e: _finding_of(rule, severity, _text(*[p(e) if callable(p) else p for p in message]), e.getField("name"), _line(e)))
 
 
-def god_services(ir: DataFrame) -> DataFrame:
-    rows = _each(ir, "services").where(F.size("e.methods") > GOD_SERVICE)
-    return _violation(rows, "no-god-services", "warn", _text("Service '", F.col("e.name"), "' has ", F.size("e.methods"), f" methods (max {GOD_SERVICE})"), F.col("e.name"), "path", "line")
+_NAME = lambda e: e.getField("name")
+_SIZE = lambda f: lambda e: F.size(e.getField(f))
+# The rules' names and messages as users know them.
+LOCAL = {
+    "interfaces-pascal-case": lambda: _sized("interfaces", "interfaces-pascal-case", "warn", lambda e: ~names.is_pascal(_NAME(e)), "Interface '", _NAME, "' is not PascalCase"),
+    "methods-naming-convention": lambda: F.concat(_naming("classes", "class"), _naming("interfaces", "interface")),
+    "no-duplicate-interface-names": lambda: _per("interfaces", _again, lambda e: _finding_of("no-duplicate-interface-names", "fail", _text("Duplicate interface name '", _NAME(e), "' in same file"), _NAME(e), _line(e))),
+    "no-duplicate-method-names": _duplicate_methods,
+    "interfaces-have-methods": lambda: _sized("interfaces", "interfaces-have-methods", "warn", lambda e: (_SIZE("methods")(e) == 0) & (_SIZE("properties")(e) == 0), "Interface '", _NAME, "' has no methods or properties"),
+    "services-have-methods": lambda: _sized("services", "services-have-methods", "warn", lambda e: (_SIZE("methods")(e) == 0) & (_SIZE("routes")(e) == 0), "Service '", _NAME, "' has no methods or routes"),
+    "schema-fields-have-types": _untyped_fields,
+    "no-god-interfaces": lambda: _sized("interfaces", "no-god-interfaces", "warn", lambda e: _SIZE("methods")(e) > GOD_INTERFACE, "Interface '", _NAME, "' has ", _SIZE("methods"), f" methods (max {GOD_INTERFACE})"),
+    "no-god-services": lambda: _sized("services", "no-god-services", "warn", lambda e: _SIZE("methods")(e) > GOD_SERVICE, "Service '", _NAME, "' has ", _SIZE("methods"), f" methods (max {GOD_SERVICE})"),
+}
+IMPLEMENTED = "interfaces-have-implementors"
+RULES = (*LOCAL, IMPLEMENTED)
 
 
 def without_implementors(ir: DataFrame) -> DataFrame:
-    rows = _each(ir, "interfaces").select(F.col("e.name").alias("name"), F.col("e.visibility").alias("visibility"), "path", "line")
+    rows = ir.select("path", F.explode("interfaces").alias("e")).select(F.col("e.name").alias("name"), F.col("e.visibility").alias("visibility"), "path", F.col("e.span.start_line").alias("line"))
     rows = resolve.unimplemented(rows, tables.implements(ir))
-    return _violation(rows, "interfaces-have-implementors", "fail", _text("Public interface '", F.col("name"), "' has no implementors"), F.col("name"), "path", "line")
-
-
-RULES = {
-    "interfaces-pascal-case": pascal_case, "methods-naming-convention": method_naming, "no-duplicate-interface-names": duplicate_interfaces,
-    "no-duplicate-method-names": duplicate_methods, "interfaces-have-methods": empty_interfaces, "services-have-methods": empty_services,
-    "schema-fields-have-types": untyped_fields, "no-god-interfaces": god_interfaces, "no-god-services": god_services, "interfaces-have-implementors": without_implementors,
-}
+    return rows.select(F.inline(F.array(_finding_of(IMPLEMENTED, "fail", _text("Public interface '", F.col("name"), "' has no implementors"), F.col("name"), F.col("line")))))
 
 
 def violations(ir: DataFrame, rules: list[str] | None = None) -> DataFrame:
+    """(rule, severity, message, entity_name, file, line). The rules that need one record each are found in one pass over the
+    records; only the search for implementors joins."""
     chosen = [r for r in (RULES if rules is None else rules) if r in RULES]
-    if not chosen:
-        return pascal_case(ir).limit(0)
-    return reduce(DataFrame.unionByName, [RULES[r](ir) for r in chosen])
+    local = [LOCAL[r]() for r in chosen if r in LOCAL]
+    out = ir.select(F.inline(F.concat(*local) if len(local) > 1 else local[0])) if local else None
+    if IMPLEMENTED in chosen or not chosen:
+        joined = without_implementors(ir)
+        out = joined if out is None else out.unionByName(joined)
+    return out if chosen else out.limit(0)
 
 
 def summary(found: DataFrame, rules_checked: int) -> DataFrame:
@@ -153,3 +157,9 @@ def manifest_references(subsystems: DataFrame, domains: DataFrame, connections:
             loose = connections.select("manifest_id", F.col(end).alias("id"), F.col(end).alias("v")).join(ids, ["manifest_id", "v"], "left_anti")
             out.append(_finding(loose, f"connections.{end}", F.col("v"), F.lit("existing subsystem id")))
     return reduce(DataFrame.unionByName, out)
+
+
+def manifest_report(naming: DataFrame, references: DataFrame) -> DataFrame:
+    """(manifest_id, field, n_naming, n_references, n_subsystems): findings of manifest_names and manifest_references, counted."""
+    rows = naming.withColumn("kind", F.lit("naming")).unionByName(references.withColumn("kind", F.lit("reference")))
+    return rows.groupBy("manifest_id", "field").agg(F.count_if(F.col("kind") == "naming").alias("n_naming"), F.count_if(F.col("kind") == "reference").alias("n_references"), F.countDistinct("subsystem_id").alias("n_subsystems"))

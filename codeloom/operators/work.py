@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
+from codeloom.runtime import ranked as number
 
 # What the five agents look at.
 CONCERNS = ("interfaces", "services", "methods", "decorators", "implementations")
@@ -51,7 +52,7 @@ def slices(files: DataFrame, agents: int = 5) -> DataFrame:
     """(agent, directory): top directories in order, cut into as many stretches as there are agents."""
     dirs = files.select(top_directory(F.col("path")).alias("directory")).distinct()
     counted = dirs.agg(F.count("*").alias("n"))
-    ranked = dirs.withColumn("i", F.row_number().over(Window.orderBy("directory")) - 1).join(F.broadcast(counted))  # directories right under one root
+    ranked = number(dirs, [F.asc("directory")]).join(F.broadcast(counted))  # a single row
     # agent k (from 0) has the places from floor(n k / a) to floor(n (k + 1) / a)
     agent = F.floor(((F.col("i") + 1) * agents - 1) / F.col("n")) + 1
     return ranked.select(agent.cast("int").alias("agent"), "directory")
@@ -60,8 +61,25 @@ def slices(files: DataFrame, agents: int = 5) -> DataFrame:
 def round_robin(files: DataFrame, agents: int = 5) -> DataFrame:
     """(agent, directory, n_files): top directories by falling number of files, dealt in turn."""
     dirs = files.groupBy(top_directory(F.col("path")).alias("directory")).agg(F.count("*").alias("n_files"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n_files"), "directory")) - 1
-    return dirs.select((F.pmod(rank, F.lit(max(agents, 1))) + 1).alias("agent"), "directory", "n_files")
+    rank = F.col("i")
+    return number(dirs, [F.desc("n_files"), F.asc("directory")]).select((F.pmod(rank, F.lit(max(agents, 1))) + 1).cast("int").alias("agent"), "directory", "n_files")
+
+
+def by_directory(files: DataFrame, agents: int = 5) -> DataFrame:
+    """(agent, directory, path, build_status): the files of the directories that round_robin deals to each agent."""
+    dealt = round_robin(files, agents).select("agent", "directory")
+    return files.withColumn("directory", top_directory(F.col("path"))).join(dealt, "directory").select("agent", "directory", "path", "build_status")
+
+
+def hybrid(ir: DataFrame, agents: int = 5) -> DataFrame:
+    """(agent, concern, directory, path, build_status): the files of each concern, the directories they lie in cut into stretches over the agents.
+
+    A file has a row for each concern it belongs to; decorated interfaces alone make no concern here.
+    """
+    flags = concern_flags(hybrid=True)
+    which = F.array(*[F.when(f, F.lit(CONCERNS[i])) for i, f in enumerate(flags)])
+    rows = ir.select("path", "build_status", F.explode(F.filter(which, lambda x: x.isNotNull())).alias("concern")).withColumn("directory", top_directory(F.col("path")))
+    return rows.join(slices(ir, agents), "directory").select("agent", "concern", "directory", "path", "build_status")
 
 
 def directories(files: DataFrame, keys: list[str]) -> DataFrame:

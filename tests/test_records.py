@@ -75,13 +75,16 @@ REFS = "target string, manifest_id long, ref_value string, t timestamp, n int, s
 SPANS = "target string, manifest_id long, ref_value string, since timestamp, until timestamp"
 
 
-@pytest.mark.parametrize(("share", "spans_bound"), [(1 / 500, 20_000), (0.05, 20_000), (0.05, 0), (2.0, 10)])
-def test_dead_against_brute_force(spark, share, spans_bound):
+@pytest.mark.parametrize(("task_rows", "few"), [(1_000_000, True), (5, True), (5, False)])
+def test_dead_against_brute_force(spark, task_rows, few, monkeypatch):
+    from codeloom import runtime
+
+    monkeypatch.setattr(runtime, "is_small", lambda df, rows=0: few)
     rnd = random.Random(3)
     day = lambda k: T0 + timedelta(days=k)
     spans = [("subsystem", rnd.randrange(3), f"k{rnd.randrange(6)}", day(a := rnd.randrange(50)), rnd.choice([None, day(a + rnd.randrange(30))])) for _ in range(40)]
     refs = [("subsystem", rnd.choice([0, 0, 0, 1, 2, None]), rnd.choice(["k0"] * 5 + [f"k{j}" for j in range(8)]), rnd.choice([None, *map(day, range(60))]), 1, str(i)) for i in range(400)]
-    gone = orphans.dead(spark.createDataFrame(refs, REFS), spark.createDataFrame(spans, SPANS), share, spans_bound)
+    gone = orphans.dead(spark.createDataFrame(refs, REFS), spark.createDataFrame(spans, SPANS), task_rows)
     alive = lambda r: any(s[:3] == r[:3] and r[3] is not None and s[3] <= r[3] and (s[4] is None or s[4] > r[3]) for s in spans)
     assert sorted(x["source_key"] for x in gone.collect()) == sorted(r[5] for r in refs if not alive(r))
 
