@@ -13,7 +13,7 @@ from codeloom.operators.hierarchy import _reach
 from codeloom.runtime import cut
 
 # Measures of a drawn map, and its colours.
-STATION_GAP, LINE_GAP, PER_ROW = 420, 320, 10
+STATION_GAP, LINE_GAP, PER_ROW, NODE_WIDTH = 420, 320, 10, 360
 PALETTE = ("#3b82f6", "#22c55e", "#f97316", "#a855f7", "#ef4444", "#eab308", "#06b6d4", "#ec4899", "#14b8a6", "#f59e0b", "#6366f1", "#84cc16")
 UNASSIGNED = "__unassigned__"
 #: Connections between two domains above which they are drawn as one bundle.
@@ -137,6 +137,22 @@ def line_offset(position: Column) -> tuple[Column, Column]:
     return (F.when(F.pmod(row, F.lit(2)) == 0, k).otherwise(PER_ROW - 1 - k) * STATION_GAP).cast("int"), (row * LINE_GAP).cast("int")
 
 
+def compact_layout(order: DataFrame, visible: DataFrame) -> DataFrame:
+    """(manifest_id, id, x, y): the visible stations of station_order put close together, each line centred and below the line before.
+
+    visible: (manifest_id, id). Stations on no line stand in a last row.
+    """
+    seen = visible.select("manifest_id", "id").distinct()
+    shown = order.join(seen, ["manifest_id", "id"], "left_semi")
+    lines = shown.groupBy("manifest_id", "domain").agg(F.count("*").alias("n"))
+    lines = lines.withColumn("row", F.row_number().over(Window.partitionBy("manifest_id").orderBy("domain")) - 1).withColumn("most", F.max("n").over(Window.partitionBy("manifest_id")))
+    place = F.row_number().over(Window.partitionBy("manifest_id", "domain").orderBy("position", "id")) - 1
+    on = shown.withColumn("i", place).join(lines, ["manifest_id", "domain"]).select("manifest_id", "id", ((F.col("most") - F.col("n")) * STATION_GAP / 2 + F.col("i") * STATION_GAP).alias("x"), (F.col("row") * LINE_GAP).cast("int").alias("y"))
+    rows = lines.groupBy("manifest_id").agg(F.count("*").alias("rows"))
+    off = seen.join(order, ["manifest_id", "id"], "left_anti").withColumn("i", F.row_number().over(Window.partitionBy("manifest_id").orderBy("id")) - 1).join(rows, "manifest_id", "left")
+    return on.unionByName(off.select("manifest_id", "id", (F.col("i") * (NODE_WIDTH + 40)).cast("double").alias("x"), (F.coalesce("rows", F.lit(0)) * LINE_GAP).cast("int").alias("y")))
+
+
 def palette_colors(domains: DataFrame) -> DataFrame:
     """(manifest_id, domain, color): the colours in turn by sorted name."""
     rank = F.row_number().over(Window.partitionBy("manifest_id").orderBy("domain")) - 1

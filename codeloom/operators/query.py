@@ -166,6 +166,6 @@ def build_status_map(ir: DataFrame) -> DataFrame:
 
 
 def coverage_class(percent: Column) -> tuple[Column, Column]:
-    """(percent between 0 and 100, null as 0, and its class: high from 80, medium from 50, else low)."""
-    clamped = F.least(F.greatest(F.coalesce(percent.cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(100.0))
+    """(percent of at most 100, null as 0, and its class: high from 80, medium from 50, else low)."""
+    clamped = F.least(F.coalesce(percent.cast("double"), F.lit(0.0)), F.lit(100.0))
     return clamped, F.when(clamped >= 80, "high").when(clamped >= 50, "medium").otherwise("low")

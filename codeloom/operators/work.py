@@ -72,14 +72,19 @@ def by_directory(files: DataFrame, agents: int = 5) -> DataFrame:
 
 
 def hybrid(ir: DataFrame, agents: int = 5) -> DataFrame:
-    """(agent, concern, directory, path, build_status): the files of each concern, the directories they lie in cut into stretches over the agents.
+    """(agent, concern, path, build_status): top directories in stretches over the agents, each with its concern.
 
-    A file has a row for each concern it belongs to; decorated interfaces alone make no concern here.
+    An agent that gets no directory gets the files of its concern instead; decorated interfaces alone make none here.
     """
-    flags = concern_flags(hybrid=True)
-    which = F.array(*[F.when(f, F.lit(CONCERNS[i])) for i, f in enumerate(flags)])
-    rows = ir.select("path", "build_status", F.explode(F.filter(which, lambda x: x.isNotNull())).alias("concern")).withColumn("directory", top_directory(F.col("path")))
-    return rows.join(slices(ir, agents), "directory").select("agent", "concern", "directory", "path", "build_status")
+    count = min(agents, len(CONCERNS))
+    dealt = slices(ir, count)
+    title = F.element_at(F.array(*[F.lit(c) for c in CONCERNS]), F.col("agent"))
+    out = ir.withColumn("directory", top_directory(F.col("path"))).join(dealt, "directory").select("agent", title.alias("concern"), "path", "build_status")
+    busy = {r["agent"] for r in dealt.select("agent").distinct().collect()}  # at most as many rows as there are concerns
+    for i, fits in enumerate(concern_flags(hybrid=True)[:count]):
+        if i + 1 not in busy:
+            out = out.unionByName(ir.where(fits).select(F.lit(i + 1).alias("agent"), F.lit(CONCERNS[i]).alias("concern"), "path", "build_status"))
+    return out
 
 
 def directories(files: DataFrame, keys: list[str]) -> DataFrame:
