@@ -80,12 +80,11 @@ def split(text: str, language: str | None) -> tuple[str, str, str, int]:
     whole: list[str] = []
     comments: list[str] = []
     at = longest = 0
-    for m in syntax._lexer(language).finditer(text):
-        kind = m.lastgroup
+    for start, end, kind in syntax.lexemes(text, language):
         if kind not in ("k", "s"):
             continue
-        before, found = text[at : m.start()], m[0]
-        at = m.end()
+        before, found = text[at:start], text[start:end]
+        at = end
         if kind == "k":
             comments.append(found)
             code += (before, "\n" if "\n" in found else " ")

@@ -4,7 +4,8 @@ Each file goes through the lexer of its language, which takes comments and liter
 ends. Lines of merge conflicts that are left then stand in code. A pushdown stack of delimiters (in Ruby, of block words
 as well) runs over the rest and reports what does not pair. The blocks it finds cut the file into declarations, whose
 heads are held against the forms the language has, so that text of another kind and files that end within a
-declaration show. Python's own parser looks at Python files that pass.
+declaration show. Literals that hold code, and comments that hold comments, are taken by a stack as well, to any depth. Python's
+own parser looks at Python files that pass; what only it finds has a fault of its own, 'python_parser'.
 
 Defined cases. Null content or a null or unknown language gives a null fault (unknown); empty content parses. A byte
 order mark and any line ends are accepted. Bytes that are not UTF-8 are a fault ('encoding'). Repeated files are judged
@@ -16,6 +17,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
@@ -23,18 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.extract.text import comment_end
 from codeloom.runtime import spread
 
 #: Faults a file can have.
-FAULTS = ("encoding", "unterminated", "conflict", "unbalanced", "premature_end", "foreign", "grammar")
+FAULTS = ("encoding", "unterminated", "conflict", "unbalanced", "premature_end", "foreign", "grammar", "python_parser")
 
 # --------------------------------------------------------------------------- lexers
-# Alternatives of a lexer: k comment, s literal, w a word to keep, u an opener without its end.
+# Alternatives of a lexer: k comment, b opener of comments that hold others, s literal, h literal up to its first hole, w a word
+# to keep, u an opener without its end.
 
 _LINE = r"//[^\n]*"
 _HASH = r"\#[^\n]*"
 _BLOCK = r"/\*[\s\S]*?\*/"
-_NESTED = r"/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/)*\*/"
 _DQ = r'"(?:[^"\\\n]|\\[\s\S])*"'
 _SQ = r"'(?:[^'\\\n]|\\[\s\S])*'"
 _DQ_LONG = r'"(?:[^"\\]|\\[\s\S])*"'
@@ -42,10 +45,9 @@ _SQ_LONG = r"'(?:[^'\\]|\\[\s\S])*'"
 _TRIPLE = r'"""[\s\S]*?"""+'
 _TRIPLE_ESC = r'"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""'
 _CHAR = r"'(?:[^'\\\n]|\\[^\n][^'\n]*)'"
-_FILLED = r'"(?:[^"\\\n$]|\\[\s\S]|\$\{(?:[^{}"\n]|"[^"\n]*"|\{[^{}\n]*\})*\}|\$(?!\{))*"'
-_SWIFT = r'"(?:[^"\\\n]|\\\((?:[^()"\n]|"[^"\n]*"|\((?:[^()"\n]|"[^"\n]*")*\))*\)|\\[^(\n])*"'
-_CS_FILLED = r'"(?<=\$")(?:[^"\\\n{]|\\[^\n]|\{\{|\{(?:[^{}"\n]|"[^"\n]*")*\})*"'
-_RB_FILLED = r'"(?:[^"\\#]|\\[\s\S]|\#\{(?:[^{}"]|"[^"]*"|\{[^{}]*\})*\}|\#(?!\{))*"'
+#: Literals without a hole; what has one is left to the pushdown stack of HOLES.
+_PLAIN = r'"(?!"")(?:[^"\\\n$]|\\[\s\S]|\$(?!\{))*"'
+_PLAIN_TRIPLE = r'"""(?:[^"$]|"(?!"")|\$(?!\{))*"""+'
 _OPEN = [r"/\*", '"', "'", "`"]
 
 #: language -> (comments, literals, kept words, unterminated openers). Each alternative starts with one plain character, and
@@ -55,35 +57,44 @@ LEXERS: dict[str, tuple[list[str], list[str], list[str], list[str]]] = {
     "Rust": ([_LINE, _BLOCK], [r'"(?<=r")[^"]*"', r'\#(?<=r\#)(?P<n1>\#*)"[\s\S]*?"\#(?P=n1)', _DQ_LONG, r"'(?:[^'\\\n]|\\(?:u\{[^}\n]*\}|x..|.))'"], [r"'[A-Za-z_]\w*"], _OPEN),
     "Go": ([_LINE, _BLOCK], [_DQ, r"`[^`]*`", _CHAR], [], _OPEN),
     "Java": ([_LINE, _BLOCK], [_TRIPLE_ESC, _DQ, _CHAR], [], _OPEN),
-    "Kotlin": ([_LINE, _BLOCK], [_TRIPLE, _FILLED, _CHAR], [r"`[^`\n]+`"], _OPEN),
-    "CSharp": ([_LINE, _BLOCK], [r'"""+[\s\S]*?"""+', r'"(?<=@")(?:[^"]|"")*"', r'"(?<=@\$")(?:[^"]|"")*"', _CS_FILLED, _DQ, _CHAR], [], _OPEN),
-    "Swift": ([_LINE, _BLOCK], [r'"""[\s\S]*?"""', r'\#(?P<n1>\#*)"""[\s\S]*?"""\#(?P=n1)', r'\#(?P<n2>\#*)"[^\n]*?"\#(?P=n2)', _SWIFT], [r"`\w+`"], [r"/\*", '"', "`"]),
+    "Kotlin": ([_LINE, _BLOCK], [_PLAIN_TRIPLE, _PLAIN, _CHAR], [r"`[^`\n]+`"], _OPEN),
+    "CSharp": ([_LINE, _BLOCK], [r'"""+[\s\S]*?"""+', r'"(?<=@")(?:[^"]|"")*"', r'"(?<=@\$")(?:[^"{]|""|\{\{)*"', r'"(?<=[^@]\$")(?:[^"\\\n{]|\\[^\n]|\{\{)*"', r'"(?<!\$")(?<!\$@")(?:[^"\\\n]|\\[\s\S])*"', _CHAR], [], _OPEN),
+    "Swift": ([_LINE, _BLOCK], [r'"""(?:[^"\\]|\\[^(]|"(?!""))*"""', r'\#(?P<n1>\#*)"""[\s\S]*?"""\#(?P=n1)', r'\#(?P<n2>\#*)"[^\n]*?"\#(?P=n2)', r'"(?!"")(?:[^"\\\n]|\\[^(\n])*"'], [r"`\w+`"], [r"/\*", '"', "`"]),
     "Cpp": ([_LINE, _BLOCK], [r'"(?<=R")(?P<n1>[^()\\\s]{0,16})\([\s\S]*?\)(?P=n1)"', _DQ, r"'(?<![0-9a-fA-F]')(?:[^'\\\n]|\\[^\n][^'\n]*)+'"], [r"'(?<=[0-9a-fA-F]')(?=[0-9a-fA-F])"], _OPEN),
     "PHP": ([_LINE, r"\#(?!\[)[^\n]*", _BLOCK], [r"<<<[ \t]*(?P<n1>[\"']?)(?P<n2>\w+)(?P=n1)\n[\s\S]*?\n?[ \t]*(?P=n2)\b", _DQ_LONG, _SQ_LONG, r"`[^`]*`"], [], _OPEN),
-    "Scala": ([_LINE, _BLOCK], [_TRIPLE, _FILLED, _CHAR], [r"`[^`\n]+`", r"'[A-Za-z_]\w*"], _OPEN),
+    "Scala": ([_LINE, _BLOCK], [_PLAIN_TRIPLE, r'"(?<!\w")""[\s\S]*?"""+', _PLAIN, r'"(?<!\w")(?:[^"\\\n]|\\[\s\S])*"', _CHAR], [r"`[^`\n]+`", r"'[A-Za-z_]\w*"], _OPEN),
     "Ruby": (
         [r"=(?<![^\n]=)begin\b[\s\S]*?\n=end\b[^\n]*", _HASH, r"_(?<![^\n]_)_END__(?=\n|\Z)[\s\S]*"],
-        [_RB_FILLED, _SQ_LONG, r"`[^`]*`", r"<<[~-]?(?P<n1>[\"'`]?)(?P<n2>[A-Z_]\w*)(?P=n1)[^\n]*\n(?:[\s\S]*?\n)??[ \t]*(?P=n2)\b", r"%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>|\|[^|]*\|)", r"/(?:(?<=[(,=~|&!]/)|(?<=[(,=~|&!] /)|(?<=if /)|(?<=when /)|(?<=unless /))(?:[^/\\\n]|\\.)+/[imxounse]*"],
+        [r'"(?:[^"\\#]|\\[\s\S]|\#(?!\{))*"', _SQ_LONG, r"`[^`]*`", r"<<[~-]?(?P<n1>[\"'`]?)(?P<n2>[A-Z_]\w*)(?P=n1)[^\n]*\n(?:[\s\S]*?\n)??[ \t]*(?P=n2)\b", r"%[wWiIqQ]?(?:\[[^\]]*\]|\([^)]*\)|\{[^}]*\}|<[^>]*>|\|[^|]*\|)", r"/(?:(?<=[(,=~|&!]/)|(?<=[(,=~|&!] /)|(?<=if /)|(?<=when /)|(?<=unless /))(?:[^/\\\n]|\\.)+/[imxounse]*"],
         [],
         [r"=(?<![^\n]=)begin\b", '"', "'", "`"],
     ),
     "Python": ([_HASH], [r"\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"", r"'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''", _DQ, _SQ], [], ['"', "'"]),
 }
+#: language -> literals that hold code: (what has to stand before and at the start, end, opener of a hole, its end, escapes, whether they run over lines).
+HOLES: dict[str, list[tuple[str, str, str, str, str, bool]]] = {
+    "Kotlin": [(r'"""', '"""', "${", "}", "", True), (r'"', '"', "${", "}", "\\", False)],
+    "Scala": [(r'(?<=\w)"""', '"""', "${", "}", "", True), (r'(?<=\w)"', '"', "${", "}", "\\", False)],
+    "Swift": [(r'"""', '"""', "\\(", ")", "\\", True), (r'"', '"', "\\(", ")", "\\", False)],
+    "CSharp": [(r'(?<=@\$)"', '"', "{", "}", '""', True), (r'(?<=\$@)"', '"', "{", "}", '""', True), (r'(?<=\$)"', '"', "{", "}", "\\", False)],
+    "Ruby": [(r'"', '"', "#{", "}", "\\", True)],
+}
 _NESTING = {"Rust", "Kotlin", "Swift", "Scala"}
-_NEST = re.compile(r"/\*(?:(?!\*/)[\s\S])*?/\*")
 _CONFLICT = re.compile(r"^(?:<{7}|>{7}|\|{7})(?: |$)|^={7}$", re.M)
 _DELIMITER = re.compile(r"[(){}\[\]]")
 _CLOSES = {")": "(", "]": "[", "}": "{"}
 
 
 @cache
-def _lexer(language: str, nested: bool = False) -> re.Pattern:
+def _lexer(language: str) -> re.Pattern:
     comments, literals, words, openers = LEXERS[language]
-    if nested:
-        comments = [_NESTED if x == _BLOCK else x for x in comments]
+    if language in _NESTING:
+        comments, block = [x for x in comments if x != _BLOCK], [r"/\*"]
+    else:
+        block = []
     firsts: set[str] = set()
     parts = []
-    for name, group in (("k", comments), ("s", literals), ("w", words), ("u", openers)):
+    for name, group in (("k", comments), ("b", block), ("s", literals), ("h", _hole_starts(language)), ("w", words), ("u", openers)):
         tails = []
         for x in group:
             first = re.match(r"\\?.", x)[0]
@@ -98,20 +109,132 @@ class Fault(Exception):
     """What is wrong with a file."""
 
 
+def lexemes(text: str, language: str, at: int = 0) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of each comment 'k', literal 's', kept word 'w' and opener without its end 'u', in order."""
+    find = _lexer(language).search
+    while m := find(text, at):
+        start, kind = m.start(), m.lastgroup
+        at = m.end()
+        if kind == "b":
+            end = comment_end(text, start)
+            kind, at = ("k", end) if end >= 0 else ("u", at)
+        elif kind == "h":
+            end = _filled_end(text, start, language)
+            kind, at = ("s", end) if end >= 0 else ("u", at)
+        yield start, at, kind
+
+
+def _filled_end(text: str, at: int, language: str) -> int:
+    """The end of a literal with holes, whose code may hold such literals again, by a pushdown stack; -1 if it has none."""
+    find, n = _lexer(language).search, len(text)
+    stack: list = [_hole_literal(text, at, language)]
+    at += len(stack[0][1])
+    while stack:
+        top = stack[-1]
+        if isinstance(top, tuple):  # within a literal
+            _, end, opener, close, escape, lines = top
+            m = _literal_stop(end, opener, escape, lines).search(text, at)
+            if not m or m[0] == "\n":
+                return -1
+            at = m.end()
+            if m[0] == opener:
+                stack.append(close)
+            elif m[0].startswith(end) and (m[0] == end or len(end) > 1):
+                stack.pop()
+                if not stack:
+                    return at
+        else:  # within a hole: stack holds the delimiters that have to close
+            d, m = _DELIMITER.search(text, at), find(text, at)
+            if m and (not d or m.start() <= d.start()):
+                kind = m.lastgroup
+                if kind == "h":
+                    inner = _hole_literal(text, m.start(), language)
+                    stack.append(inner)
+                    at = m.start() + len(inner[1])
+                elif kind == "u":
+                    return -1
+                elif kind == "b":
+                    at = comment_end(text, m.start())
+                    if at < 0:
+                        return -1
+                else:
+                    at = m.end()
+            elif not d:
+                return -1
+            else:
+                at = d.end()
+                if d[0] in "([{":
+                    stack.append({"(": ")", "[": "]", "{": "}"}[d[0]])
+                elif d[0] != stack.pop():
+                    return -1
+    return min(at, n)
+
+
+@cache
+def _hole_patterns(language: str) -> list[tuple[re.Pattern, tuple]]:
+    return [(re.compile(row[0]), row) for row in HOLES.get(language, [])]
+
+
+def _hole_literal(text: str, at: int, language: str) -> tuple:
+    return next(row for p, row in _hole_patterns(language) if p.match(text, at))
+
+
+@cache
+def _literal_stop(end: str, opener: str, escape: str, lines: bool) -> re.Pattern:
+    """What ends a literal, opens a hole, is an escape, or ends a line that it may not run over."""
+    skip = {"\\": r"\\(?!\()[\s\S]" if opener == "\\(" else r"\\[\s\S]", '""': '""', "": ""}[escape]
+    ends = re.escape(end) + ('"*' if len(end) > 1 else "")
+    parts = [re.escape(opener * 2)] * (opener == "{") + [re.escape(opener), skip, ends, "" if lines else r"\n"]
+    return re.compile("|".join(p for p in parts if p))
+
+
+def _hole_starts(language: str) -> list[str]:
+    """Starts of literals with holes for the lexer: they come after the alternatives without holes, so those did not fit."""
+    out = []
+    for start, end, opener, _, escape, lines in HOLES.get(language, []):
+        look = re.match(r"\(\?<=([^)]*)\)", start)
+        before = f"(?<={look[1]}{end[0]})" if look else ""
+        body = _literal_body(end, opener, escape, lines)
+        out.append(f"{end[0]}{before}{re.escape(end[1:])}{body}{re.escape(opener)}")
+    return out
+
+
+def _literal_body(end: str, opener: str, escape: str, lines: bool) -> str:
+    first = re.escape(opener[0])
+    stop = '"' + ("" if lines else r"\n")
+    parts = []
+    if escape == "\\":
+        parts.append(r"\\[^(]" if opener == "\\(" else r"\\[\s\S]")
+        stop += r"\\"
+    elif escape == '""':
+        parts.append('""')
+    if opener == "{":
+        parts.append(r"\{\{")
+    elif opener[0] != "\\":
+        parts.append(f"{first}(?!{re.escape(opener[1:])})")
+    if len(end) > 1:
+        parts.append('"(?!"")')
+    return f"(?:[^{stop}{first}]|{'|'.join(parts)})*"
+
+
 def lex(text: str, language: str) -> str:
     """text with comments blanked and literals as empty strings; raises Fault on what never ends."""
-
-    def blank(m: re.Match) -> str:
-        kind = m.lastgroup
-        if kind == "s":
-            return '""' if "\n" not in m[0] else '""' + "\n" * (language == "Ruby" and m[0].startswith("<<"))
-        if kind == "k":
-            return "\n" if "\n" in m[0] else " "
+    out, at = [], 0
+    for start, end, kind in lexemes(text, language):
+        if kind == "u":
+            raise Fault("unterminated")
+        out.append(text[at:start])
+        at = end
         if kind == "w":
-            return m[0].replace("'", "").replace("`", "") or "_"
-        raise Fault("unterminated")
-
-    return _lexer(language, language in _NESTING and "/*" in text and bool(_NEST.search(text))).sub(blank, text)
+            out.append(text[start:end].replace("'", "").replace("`", "") or "_")
+            continue
+        lines = text.find("\n", start, end) >= 0
+        if kind == "k":
+            out.append("\n" if lines else " ")
+        else:
+            out.append('""' + "\n" * (lines and language == "Ruby" and text.startswith("<<", start)))
+    out.append(text[at:])
+    return "".join(out)
 
 
 # --------------------------------------------------------------------------- pushdown stack
@@ -147,14 +270,13 @@ def blocks(text: str) -> Block:
 
 
 _NO_DELIMITER = re.compile(r"[^(){}\[\]]+")
-_INNER = [(re.compile(r"\{[^{}]*\}"), "\x01", "{}"), (re.compile(r"\([^()]*\)"), "\x02", "()"), (re.compile(r"\[[^\[\]]*\]"), "\x03", "[]")]
 
 
 def balance(text: str) -> None:
     """The pushdown stack alone, for languages where the top of the file is all that is looked at."""
-    marks, before = _NO_DELIMITER.sub("", text), ""
-    while marks != before:  # pairs that follow each other are what a push and a pop would meet
-        before, marks = marks, marks.replace("()", "").replace("[]", "").replace("{}", "")
+    marks = _NO_DELIMITER.sub("", text)
+    for _ in range(4):  # pairs that follow each other are what a push and a pop would meet; what is left takes the stack
+        marks = marks.replace("()", "").replace("[]", "").replace("{}", "")
     stack: list[str] = []
     for c in marks:
         if c in "([{":
@@ -174,14 +296,31 @@ def _balanced(text: str) -> bool:
 
 
 def flat(text: str) -> str:
-    """Balanced text with every outermost block as its empty pair of delimiters."""
-    for inner, mark, _ in _INNER:
-        n = 1
-        while n:
-            text, n = inner.subn(mark, text)
-    for _, mark, pair in _INNER:
-        text = text.replace(mark, pair)
-    return text
+    """Balanced text with every outermost block as its empty pair of delimiters, in one pass."""
+    out, depth, at = [], 0, 0
+    for m in _DELIMITER.finditer(text):
+        if m[0] in "([{":
+            if not depth:
+                out.append(text[at : m.end()])
+            depth += 1
+        elif depth:
+            depth -= 1
+            if not depth:
+                at = m.start()
+    return "".join([*out, text[at:] if not depth else ""])
+
+
+def type_bodies(text: str, block: Block) -> Iterator[tuple[Block, str]]:
+    """Each brace block right within a block with the head before it, from the end of the declaration before; blocks within the head as pairs."""
+    head, at = "", block.start + 1
+    for part in block.parts:
+        head += text[at : part.start]
+        at = part.end + 1
+        if part.kind == "{":
+            yield part, re.split(r"[;}]|\n\s*\n", head)[-1]
+            head = ""
+        else:
+            head += text[part.start] + text[part.end]
 
 
 def outline(text: str, block: Block) -> str:
@@ -348,9 +487,7 @@ def _declared(text: str, top: Block, language: str) -> None:
                 raise Fault("foreign")
             if (_UNDONE.search(line) and not line.startswith("import ")) or re.fullmatch(rf"(?:@[\w.:]+\s*(?:\(\))?\s*|(?:{_KT_MODS if language == 'Kotlin' else _SW_MODS if language == 'Swift' else _SC_MODS})\b\s*)+", line):
                 raise Fault("premature_end")
-        for part in block.parts:
-            if part.kind == "{" and _TYPE_HEAD.search(re.split(r"[;{}]|\n\s*\n", text[max(block.start + 1, part.start - 400) : part.start])[-1]):
-                todo.append((part, False))
+        todo += [(part, False) for part, head in type_bodies(text, block) if _TYPE_HEAD.search(head)]
 
 
 def _go(text: str) -> None:
@@ -404,18 +541,18 @@ _PHP_BAD = re.compile(r"(?:package|import|from|def|fn\s+\w|func|pub|impl|using|l
 def _php_part(text: str, at: int) -> tuple[str, int]:
     """(lexed code from at on, place after the tag that ends it or the end of the text)."""
     out: list[str] = []
-    for m in _lexer("PHP").finditer(text, at):
-        gap = text[at : m.start()]
+    for start, end, kind in lexemes(text, "PHP", at):
+        gap, found = text[at:start], text[start:end]
         if (k := gap.find("?>")) >= 0:
             out.append(gap[:k] + ";")
             return "".join(out), at + k + 2
         out.append(gap)
-        if m.lastgroup == "u":
+        if kind == "u":
             raise Fault("unterminated")
-        if m.lastgroup == "k" and not m[0].startswith("/*") and (k := m[0].find("?>")) >= 0:
-            return "".join(out) + ";", m.start() + k + 2  # a tag ends a comment of one line, too
-        out.append('""' if m.lastgroup == "s" else "\n" if "\n" in m[0] else " ")
-        at = m.end()
+        if kind == "k" and not found.startswith("/*") and (k := found.find("?>")) >= 0:
+            return "".join(out) + ";", start + k + 2  # a tag ends a comment of one line, too
+        out.append('""' if kind == "s" else "\n" if "\n" in found else " ")
+        at = end
     tail = text[at:]
     k = tail.find("?>")
     return "".join(out) + (tail if k < 0 else tail[:k] + ";"), len(text) if k < 0 else at + k + 2
@@ -449,6 +586,27 @@ _RB_TOKEN = re.compile(r"(?<![\w.:@$])(?:(?P<open>class|module|def|begin|case|do
 _RB_BAD_LINE = re.compile(r"^[ \t]*(?:[<>*=/?|%,]|&&|\|\||(?:package|import|using|namespace|use|from|export|const|let|var|function|fn|func|fun|pub|impl|public|final|static|interface|struct|enum|type)\b[^\n]*[;{]$|(?:func|fn|fun|impl|pub|interface)\s+\w+[^\n]*\{|import\s*\{|@@ |pub\s+static\b|from\s+\S+\s+import\b|(?:async\s+)?def\s[^\n]*:$|class\s[^\n;]*[:{]$|#include)", re.M)
 
 
+_RB_DEF = re.compile(r"def\s+(?:[\w?!=]+\.)*(?:\w+[?!]?|[^\s\w(]+)[ \t]*")
+_RB_BODY = re.compile(r"[ \t]*=\s*[^=~>\s]")
+
+
+def _endless(text: str, at: int) -> bool:
+    """Whether the method that starts at a place has its body behind a =, whatever its parameters."""
+    m = _RB_DEF.match(text, at)
+    if not m:
+        return False
+    end, depth = m.end(), 0
+    if text[end : end + 1] == "(":
+        for d in _DELIMITER.finditer(text, end):
+            depth += 1 if d[0] in "([{" else -1
+            if not depth:
+                end = d.end()
+                break
+        else:
+            return False
+    return bool(_RB_BODY.match(text, end))
+
+
 def _ruby(text: str) -> None:
     stack: list[str] = []
     fresh, loop, last = True, False, ""
@@ -466,7 +624,7 @@ def _ruby(text: str) -> None:
         elif kind == "open":
             if token == "do" and loop:
                 loop = False
-            elif not (token == "def" and re.match(r"def\s+[\w.?!=]+\s*(?:\([^()\n]*\))?\s*=\s*[^=~>\s]", text[m.start() : m.start() + 200])) and not (token == "class" and last == "<<"):
+            elif not (token == "def" and _endless(text, m.start())) and not (token == "class" and last == "<<"):
                 stack.append(token)
             loop = loop or token == "for"
             fresh = token in ("begin", "do")
@@ -502,6 +660,8 @@ def _ruby(text: str) -> None:
 
 _JS_TOKEN = re.compile(r"\s+|//[^\n]*|/\*[\s\S]*?\*/|" + _DQ + "|" + _SQ + r"|[A-Za-z_$\u0080-￿][\w$]*|\d[\w.]*|[(){}\[\]`]|[^\w\s(){}\[\]`\"'/<]+|[/<\"'`\\]|.")
 _JS_REGEX = re.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_TAG = re.compile(r"<(?:[A-Za-z_][\w.-]*|>)")
+_TYPE_PARAMETERS = re.compile(r"<\w+(?:\s+extends\b[^>]*|,)*,?>\s*\(")
 _JS_VALUE_WORDS = set("return typeof case in of delete void throw new else do instanceof yield await default".split())
 
 
@@ -549,7 +709,7 @@ def _js_slow(text: str, markup: bool) -> str:
                 raise Fault("unterminated")
             out.append(token)
             value = False
-        elif token == "<" and markup and not value and re.match(r"<(?:[A-Za-z_][\w.-]*|>)", text[at:]) and not re.match(r"<\w+(?:\s+extends\b[^>]*|,)*,?>\s*\(", text[at:]):
+        elif token == "<" and markup and not value and _TAG.match(text, at) and not _TYPE_PARAMETERS.match(text, at):
             at = _markup(text, at, out)
             out.append('""')
             value = True
@@ -647,11 +807,26 @@ _JS_FOREIGN = re.compile(r"\n[ \t]*(?:<[!?/\w]|\#(?![\w!])|\#include|\*[ \t]|nam
 _JS_ARROW = re.compile(r"->\s*[\w<>\[\]]+\s*[{;:]")
 
 
-_JS_BEFORE_REGEX = (*"=(,:[!&|?{};+", "return", "=>")
+_JS_VALUE_END = re.compile(r"[\w$)\]}\"'`\x80-\uffff]")
+
+
+def _starts_regex(text: str, at: int) -> bool:
+    """Whether a slash may begin a regular expression: no value stands before it, whatever blanks lie between."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    if not end or not _JS_VALUE_END.match(text[end - 1]):
+        return text[end - 1 : end] not in ("<", "/", "*") or text[end - 2 : end] == "*/"
+    start = end
+    while start and (text[start - 1].isalnum() or text[start - 1] in "_$"):
+        start -= 1
+    if text[start:end] in _JS_VALUE_WORDS or text[end - 1] == "}":
+        return True
+    return "\n" in text[end:at] and "//" in text[text.rfind("\n", 0, end) + 1 : end]  # a comment may stand between
 
 
 def _js(text: str, path_end: str) -> str:
-    slow = "`" in text or any(text[max(0, m.start() - 40) : m.start()].rstrip().endswith(_JS_BEFORE_REGEX) for m in _JS_SLASH.finditer(text)) or (path_end in ("tsx", "jsx", "js", "mjs") and "<" in text and re.search(r"</|/>", text))
+    slow = "`" in text or any(_starts_regex(text, m.start()) for m in _JS_SLASH.finditer(text)) or (path_end in ("tsx", "jsx", "js", "mjs") and "<" in text and re.search(r"</|/>", text))
     body = _js_slow(text, path_end not in ("ts",)) if slow else lex(text, "TypeScript")
     return body
 
@@ -662,7 +837,7 @@ def _javascript(body: str) -> None:
         raise Fault("foreign")
     if re.match(r'\s*\{\s*""\s*:', body):
         raise Fault("foreign")  # an object cannot stand as a statement
-    if _JS_END.search(body.rstrip()[-60:]):
+    if _JS_END.search(" ".join(body.rsplit(None, 3)[-3:])):
         raise Fault("premature_end")
     end = flat(body[body.rfind("}", 0, len(body.rstrip()) - 1) + 1 :]) if body.count("{") else body
     if re.search(r"(?:\b(?:import\s*(?:type\s*)?(?:\{\}|\*\s*as\s+\w+|\w+)\s*(?:from)?|class\s+\w+(?:\s+(?:extends|implements)\s+[\w.<>, ]+)?|interface\s+\w+(?:\s+extends\s+[\w.<>, ]+)?|function\s*\*?\s*\w+|export\s+(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:class|function)[^{}]*)|@\w+(?:\(\))?)\s*\Z", end) and not re.search(r"import\s+\w+\s*=", end):
@@ -725,8 +900,8 @@ def fault(content: bytes | None, language: str | None, path: str | None = None)
         return ""
     except Fault as e:
         return str(e)
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return "grammar"
+    except (SyntaxError, ValueError, MemoryError, RecursionError):  # lexer and stack found nothing
+        return "python_parser"
 
 
 @F.pandas_udf(T.StringType())
