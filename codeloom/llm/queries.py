@@ -52,5 +52,9 @@ def p8_canonical(spark: SparkSession, root: str) -> DataFrame:
     return canonical.canonical_rows(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p6_windows, p6_report, p7_mix, p7_report, p8_found, p8_canonical)}
+def p8_classes(spark: SparkSession, root: str) -> DataFrame:
+    return canonical.classes(read(spark, root, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p6_windows, p6_report, p7_mix, p7_report, p8_found, p8_canonical, p8_classes)}
 SQL: dict[str, str] = {}
