@@ -4,8 +4,12 @@ Deficit round-robin over one queue per source fills each window: at each window
 the capacity, the source that lacks most gives its largest document that still fits, and what a source lacks or has
 over is carried to the next window. Documents are spread over shards of bounded size; how far each source will be
 behind or ahead at the start of a shard follows from the totals of the shards before it, so deficits also carry across
-shards without running them one after the other. Windows that a shard leaves badly filled are opened again and packed
-together in fewer shards, until one shard is left or nothing is gained.
+shards without running them one after the other. Pieces of long documents fill windows of their own; they are charged to their
+source before the shard they belong to starts. Windows that a shard leaves badly filled are opened again and packed
+together in fewer shards, with the deficits that all closed windows have left, until one shard is left or nothing is gained.
+All documents are laid out, so the mix holds as long as every source still has documents; report and shares say how far it does.
+
+Items are numbered by document, text and copy, so windows depend neither on cores nor on files.
 
 Defined cases. Null and empty texts have no tokens and take no place. A document is cut only if it alone exceeds the
 capacity: into full windows and one rest. Sources without a share, the null source among them, are used to fill gaps.
@@ -18,7 +22,7 @@ import json
 from bisect import bisect_right, insort
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import tokens as T
@@ -33,7 +37,7 @@ FAN_IN = 16
 #: Rows that the tables of windows and of sources may have; both are read into the driver.
 MAX_CONFIG = 10_000
 
-_PLACED = "window_name string, round int, shard long, seq long, slot int, item long, doc_id long, source string, start long, end long, fill double"
+_PLACED = "window_name string, round int, shard long, seq long, slot int, item string, doc_id long, source string, start long, end long, fill double"
 
 
 class Queue:
@@ -90,17 +94,29 @@ def pack(sizes: list[int], sources: list[str | None], capacity: int, shares: dic
     return windows
 
 
-def _round(items: DataFrame, windows: list[tuple[str, int]], shares: dict[str, float], number: int, shards: dict[str, int]) -> DataFrame:
-    """Pack items (window_name, item, doc_id, source, start, end) once, in so many shards per window."""
+def _shard(number: int, shards: dict[str, int]) -> Column:
     many = F.create_map(*[F.lit(x) for pair in shards.items() for x in pair])
-    cut_items = items.withColumn("size", F.col("end") - F.col("start")).withColumn("shard", F.pmod(F.xxhash64("item", "start", F.lit(number)), many[F.col("window_name")]).cast("long"))
-    totals = cut_items.groupBy("window_name", "shard", "source").agg(F.sum("size").alias("supply"))
+    return F.pmod(F.xxhash64("item", "start", F.lit(number)), F.coalesce(many[F.col("window_name")], F.lit(1))).cast("long")
+
+
+def _gaps(totals: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(window_name, shard, source, gap): what each source of the mix lacks in a shard of totals (window_name, shard, source, supply)."""
     share = F.create_map(*[F.lit(x) for pair in (shares or {"": 0.0}).items() for x in pair])
-    before = Window.partitionBy("window_name", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     # one row per shard and source with a share, also where the source has nothing in the shard
     every = totals.groupBy("window_name", "shard").agg(F.sum("supply").alias("whole")).withColumn("source", F.explode(F.array(*[F.lit(s) for s in shares] or [F.lit("")])))
-    filled = every.join(totals, ["window_name", "shard", "source"], "left").select("window_name", "shard", "source", (F.col("whole") * F.coalesce(share[F.col("source")], F.lit(0.0)) - F.coalesce("supply", F.lit(0))).alias("gap"))
-    start = filled.withColumn("deficit", F.coalesce(F.sum("gap").over(before), F.lit(0.0)))
+    return every.join(totals, ["window_name", "shard", "source"], "left").select("window_name", "shard", "source", (F.col("whole") * F.coalesce(share[F.col("source")], F.lit(0.0)) - F.coalesce("supply", F.lit(0))).alias("gap"))
+
+
+def _round(items: DataFrame, windows: list[tuple[str, int]], shares: dict[str, float], number: int, shards: dict[str, int], prior: DataFrame) -> DataFrame:
+    """Pack items (window_name, item, doc_id, source, start, end) once, in so many shards per window.
+
+    prior (window_name, shard, source, supply) is what closed windows hold, before each shard starts; shard -1 is before all.
+    """
+    cut_items = items.withColumn("size", F.col("end") - F.col("start")).withColumn("shard", _shard(number, shards))
+    totals = cut_items.groupBy("window_name", "shard", "source").agg(F.sum("size").alias("supply"))
+    before = Window.partitionBy("window_name", "source").orderBy("shard", "own").rowsBetween(Window.unboundedPreceding, -1)
+    both = _gaps(prior, shares).withColumn("own", F.lit(0)).unionByName(_gaps(totals, shares).withColumn("own", F.lit(1)))
+    start = both.withColumn("deficit", F.coalesce(F.sum("gap").over(before), F.lit(0.0))).where("own = 1")
     start = start.groupBy("window_name", "shard").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "deficit")))).alias("deficits"))  # one entry per source of the mix
     capacities = dict(windows)
 
@@ -137,28 +153,34 @@ def windows(
     if any(c < 1 for _, c in caps):
         raise ValueError("a window needs a capacity of at least one token")
     shares = {r["source"]: float(r["target_share"]) for r in mix}
-    base = cut(T.sizes(documents, vocabulary).where("tokens > 0").select(F.monotonically_increasing_id().alias("item"), "doc_id", "source", "tokens"))
+    sized = T.sizes(documents, vocabulary).where("tokens > 0").groupBy("doc_id", "source", "digest", "tokens").agg(F.count("*").alias("n"))
+    text_key = F.substring(F.sha2(F.concat_ws("|", "digest", F.coalesce("source", F.lit("\0"))), 256), 1, 16)
+    copies = sized.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    base = cut(copies.select(F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_key, "copy").alias("item"), "doc_id", "source", "tokens"))
     if not caps:
         caps = [("", 1)]
         base = base.limit(0)
     each = base.withColumn("w", F.explode(F.array(*[F.struct(F.lit(n).alias("window_name"), F.lit(c).cast("long").alias("cap")) for n, c in caps]))).select("item", "doc_id", "source", "tokens", "w.window_name", "w.cap")
-    whole = each.where("tokens >= cap").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("tokens div cap") - 1)))
-    full = whole.select("window_name", F.lit(-1).alias("round"), F.lit(0).cast("long").alias("shard"), F.col("item").alias("seq"), F.lit(0).alias("slot"), "item", "doc_id", "source", (F.col("k") * F.col("cap")).alias("start"), ((F.col("k") + 1) * F.col("cap")).alias("end"), F.lit(1.0).alias("fill"))
     items = each.where("tokens % cap > 0").select("window_name", "item", "doc_id", "source", (F.col("tokens") - F.col("tokens") % F.col("cap")).alias("start"), F.col("tokens").alias("end"))
-    out = full
-    number, shards = 0, None
-    while True:
-        previous, shards = shards, _shards(items, [n for n, _ in caps], shards, shard_tokens, shard_docs)
-        if not shards:
-            break
-        placed = cut(_round(items, caps, shares, number, shards))
+    number, shards = 0, _shards(items, [n for n, _ in caps], None, shard_tokens, shard_docs)
+    whole = each.where("tokens >= cap").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("tokens div cap") - 1)))
+    whole = whole.select("window_name", "item", "doc_id", "source", (F.col("k") * F.col("cap")).alias("start"), ((F.col("k") + 1) * F.col("cap")).alias("end")).withColumn("shard", _shard(0, shards or {caps[0][0]: 1}))
+    full = whole.select("window_name", F.lit(-1).alias("round"), "shard", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("slot"), "item", "doc_id", "source", "start", "end", F.lit(1.0).alias("fill"))
+    held = lambda rows, shard: rows.groupBy("window_name", shard, "source").agg(F.sum(F.col("end") - F.col("start")).alias("supply"))
+    first = F.lit(-1).cast("long").alias("shard")
+    prior = cut(held(full, F.col("shard")))  # a few numbers per shard and source
+    out, previous = full, None
+    while shards:
+        placed = cut(_round(items, caps, shares, number, shards, prior))
         last = shards == previous  # no fewer shards than before: nothing is gained by another round
         open_again = F.col("fill") < WELL_FILLED
         alone = [n for n, k in shards.items() if k == 1]
         keep = ~open_again | F.col("window_name").isin(alone) | F.lit(last)
         out = out.unionByName(placed.where(keep))
         items = placed.where(~keep).select("window_name", "item", "doc_id", "source", "start", "end")
+        prior = cut(prior.select("window_name", first, "source", "supply").unionByName(held(placed.where(keep), first)).groupBy("window_name", "shard", "source").agg(F.sum("supply").alias("supply")))
         number += 1
+        previous, shards = shards, _shards(items, [n for n, _ in caps], shards, shard_tokens, shard_docs)
     window_id = F.when(F.col("round") < 0, F.concat_ws("-", F.lit("w"), "item", "start")).otherwise(F.concat_ws("-", "round", "shard", "seq"))
     return out.select("window_name", window_id.alias("window_id"), "slot", "doc_id", "source", F.col("start").alias("start_token"), F.col("end").alias("end_token"))
 
@@ -170,3 +192,24 @@ def report(packed: DataFrame, context_windows: DataFrame) -> DataFrame:
     per = per.groupBy("window_name").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_pieces"), F.sum("t").alias("tokens"))
     joined = per.join(F.broadcast(context_windows.select("window_name", "capacity_tokens").distinct()), "window_name")
     return joined.select("window_name", "capacity_tokens", "n_windows", "n_pieces", "tokens", F.round(F.col("tokens") / (F.col("n_windows") * F.col("capacity_tokens")), 6).alias("fill_rate"))
+
+
+def shares(packed: DataFrame, source_mix: DataFrame) -> DataFrame:
+    """(window_name, source, target_share, actual_share, mean_deviation, largest_deviation) of packed windows.
+
+    Deviations are those of a source's share of the tokens in a window from its target, over all windows of the name.
+    """
+    size = F.sum(F.col("end_token") - F.col("start_token"))
+    per = packed.groupBy("window_name", "window_id", "source").agg(size.alias("t"))
+    whole = packed.groupBy("window_name", "window_id").agg(size.alias("w"))
+    number = whole.groupBy("window_name").agg(F.count("*").alias("n"), F.sum("w").alias("all"))
+    target = source_mix.where("source is not null").select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share")).distinct()
+    held = per.join(whole, ["window_name", "window_id"]).join(F.broadcast(target), "source", "left").fillna(0.0, ["target_share"])
+    away = F.abs(F.col("t") / F.col("w") - F.col("target_share"))
+    sums = held.groupBy("window_name", "source").agg(F.sum("t").alias("t"), F.count("*").alias("k"), F.sum(away).alias("away"), F.max(away).alias("most"))
+    every = number.join(F.broadcast(target)).unionByName(number.join(sums.select("window_name", "source").join(target, "source", "left_anti").distinct(), "window_name").withColumn("target_share", F.lit(0.0)).select("window_name", "n", "all", "source", "target_share"))
+    both = every.alias("a").join(sums.alias("b"), (F.col("a.window_name") == F.col("b.window_name")) & F.col("a.source").eqNullSafe(F.col("b.source")), "left")
+    absent = F.col("a.n") - F.coalesce("b.k", F.lit(0))
+    mean = (F.coalesce("b.away", F.lit(0.0)) + absent * F.col("a.target_share")) / F.col("a.n")
+    most = F.greatest(F.coalesce("b.most", F.lit(0.0)), F.when(absent > 0, F.col("a.target_share")).otherwise(0.0))
+    return both.select("a.window_name", "a.source", "a.target_share", F.round(F.coalesce("b.t", F.lit(0)) / F.col("a.all"), 6).alias("actual_share"), F.round(mean, 6).alias("mean_deviation"), F.round(most, 6).alias("largest_deviation"))

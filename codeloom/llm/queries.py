@@ -36,6 +36,10 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return packing.report(_windows(spark, root), read(spark, root, "context_windows"))
 
 
+def p6_shares(spark: SparkSession, root: str) -> DataFrame:
+    return packing.shares(_windows(spark, root), read(spark, root, "source_mix"))
+
+
 def p7_mix(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(read(spark, root, "documents"), read(spark, root, "source_mix"))
 
@@ -56,5 +60,5 @@ def p8_classes(spark: SparkSession, root: str) -> DataFrame:
     return canonical.classes(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p6_windows, p6_report, p7_mix, p7_report, p8_found, p8_canonical, p8_classes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p6_windows, p6_report, p6_shares, p7_mix, p7_report, p8_found, p8_canonical, p8_classes)}
 SQL: dict[str, str] = {}

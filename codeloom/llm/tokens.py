@@ -45,16 +45,37 @@ def count(text: str | None, path: str = VOCABULARY) -> int:
     return total + len(known.encode_ordinary(text[at:]))
 
 
-def n_tokens(text: Column, path: str = VOCABULARY) -> Column:
-    """Tokens of a text; 0 for null and empty ones. Texts are counted whole."""
+#: Counts of texts that a worker keeps, by digest, so that copies of a text are counted once by each.
+MEMO = 200_000
+
+
+def n_tokens(text: Column, path: str = VOCABULARY, digest: Column | None = None) -> Column:
+    """Tokens of a text; 0 for null and empty ones. Texts are counted whole, copies of one digest once per worker."""
 
     @F.pandas_udf(T.LongType())
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([count(x, path) for x in texts], dtype="int64")
+    def counted(texts: pd.Series, digests: pd.Series) -> pd.Series:
+        known = _memo(path)
+        out = []
+        for text, key in zip(texts, digests):
+            n = known.get(key)
+            if n is None:
+                n = count(text, path)
+                if len(known) >= MEMO:
+                    known.clear()
+                known[key] = n
+            out.append(n)
+        return pd.Series(out, dtype="int64")
+
+    held = F.coalesce(text, F.lit(""))
+    return counted(held, F.sha2(held, 256) if digest is None else digest)
 
-    return counted(F.coalesce(text, F.lit("")))
+
+@cache
+def _memo(path: str) -> dict[str, int]:
+    return {}
 
 
 def sizes(documents: DataFrame, path: str = VOCABULARY, text: str = "text") -> DataFrame:
     """doc_id, source and tokens of each document, with the digest of its text."""
-    return spread(documents.select("doc_id", "source", text)).select("doc_id", "source", n_tokens(F.col(text), path).alias("tokens"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
+    rows = spread(documents.select("doc_id", "source", text)).withColumn("digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    return rows.select("doc_id", "source", n_tokens(F.col(text), path, F.col("digest")).alias("tokens"), "digest")

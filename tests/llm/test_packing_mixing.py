@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import mixing, packing, tokens
 
@@ -163,3 +164,50 @@ def test_documents_of_one_text_do_not_share_a_budget():
     assert sum(got.values()) == 600
     spread = mixing.route({(("a",), 0): 100, (("a",), 1): 100}, {"a": 1.0}, {"a": 4}, 100, apart=True)
     assert spread == {((("a",), 0), "a"): 100}  # texts come before their copies
+
+
+def test_many_patterns_are_routed_in_bounded_time():
+    rnd = random.Random(1)
+    names = [f"s{i}" for i in range(16)]
+    patterns = {}
+    while len(patterns) < 20_000:
+        patterns[tuple(sorted(rnd.sample(names, rnd.randrange(1, 7)))), rnd.randrange(4)] = rnd.randrange(1, 100_000)
+    shares = {s: rnd.random() for s in names}
+    repeats = {s: rnd.randrange(1, 5) for s in names}
+    import time
+
+    began = time.time()
+    got = mixing.route(patterns, shares, repeats, apart=True)
+    assert time.time() - began < 60
+    sums = {s: sum(f for (_, x), f in got.items() if x == s) for s in names}
+    whole = sum(sums.values())
+    assert all(abs(sums[s] / whole - shares[s] / sum(shares.values())) < 1e-6 for s in names)
+    assert all(f <= patterns[p] * repeats[s] for (p, s), f in got.items())
+
+
+def test_small_patterns_are_taken_apart_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_CELLS", 12)
+    rnd = random.Random(2)
+    texts = [f"text number {i} of some words" for i in range(40)]
+    rows = [(k * 100 + i, texts[i], s) for k, s in enumerate("abc") for i in range(40) if rnd.random() < 0.7]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 2), ("c", 0.25, 2)], "source string, target_share double, max_repeats int")).collect()
+    whole = sum(r["tokens"] for r in got)
+    for s, share in (("a", 0.5), ("b", 0.25), ("c", 0.25)):
+        assert abs(sum(r["tokens"] for r in got if r["source"] == s) / whole - share) < 0.06
+    assert max(r["use_no"] for r in got) <= 2
+    assert {r["doc_id"] for r in got} <= {r[0] for r in rows}
+
+
+def test_long_documents_are_charged_to_their_source(spark):
+    rows = [(i, "word " * 640, "long") for i in range(40)] + [(1_000 + i, "word " * 12, "long") for i in range(200)] + [(2_000 + i, "text " * 12, "short") for i in range(1_200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    caps = spark.createDataFrame([("w", 64)], "window_name string, capacity_tokens int")
+    mix = spark.createDataFrame([("long", 0.5, 1), ("short", 0.5, 1)], "source string, target_share double, max_repeats int")
+    packed = packing.windows(df, caps, mix, shard_tokens=100_000)
+    first = {r["source"]: r["n"] for r in packed.where("window_id like '0-0-%' and cast(substring_index(window_id, '-', -1) as int) < 60").groupBy("source").agg(F.sum(F.col("end_token") - F.col("start_token")).alias("n")).collect()}
+    assert first.get("long", 0) < 0.1 * first["short"]  # its full windows have put it ahead
+    again = packing.windows(df.repartition(3), caps, mix, shard_tokens=100_000)
+    assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, again.collect()))
+    shares = {r["source"]: r for r in packing.shares(packed, mix).collect()}
+    assert abs(sum(r["actual_share"] for r in shares.values()) - 1) < 1e-5 and all(0 <= r["mean_deviation"] <= r["largest_deviation"] <= 1 for r in shares.values())
