@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import syntax
-from codeloom.runtime import broadcast_if_small, cut, partitions, spread
+from codeloom.runtime import cut, lookup, partitions, spread
 
 #: Files the forest is trained on at most; the sample is by hash, so it is the same in every run.
 TRAIN_FILES = 30_000
@@ -41,15 +41,19 @@ COPY_CHARS = 60
 #: Labelled files of either kind below which no forest is trained.
 LEAST_LABELS = 20
 
-# What notices of tools say. Words about generators in other comments do not match.
+# Public conventions of notices, not values of any one project: who generated a file or that its changes get lost (the header
+# of Go tools, the marks of .NET and of Meta's tools, and their wordings in a few languages), source maps of bundlers, and the
+# notices of licences and package managers. Denials and mentions of generators in other comments do not match.
+_NO = r"(?<!\bnot )(?<!\bn't )(?<!\bnever )"
 GENERATED = re.compile(
-    r"(?im)(?:\bcode generated by\b|\bautomatically generated by\b|\bauto-?generated (?:from|by|file)\b|<auto-generated>|@generated\b|\bdo not (?:edit|modify)\W*$|\bhand edits will be overwritten\b|\bmanual changes? (?:is|are|will be) lost\b|\bplease regenerate with\b|\bmachine made: \S+ wrote this\b|\bgeneriert von\b.*\bnicht von hand bearbeiten\b)"
+    rf"(?im){_NO}\b(?:code|file|source|(?:this file|it) (?:was|is)|automatically|auto|machine)[- ]?generated[- ](?:by|from|with|using|file|code)\b|<auto-?generated\b|(?<!\S)@generated\b|\bdo not (?:edit|modify|change)(?: (?:this file|it|by hand|manually|directly))*\W*$"
+    r"|\b(?:edits?|changes?|modifications?) (?:to this file |made here )?(?:will be|is|are|may be|get|gets) (?:lost|overwritten|overridden|discarded)\b|\b(?:please )?re-?generate (?:it |this file )?(?:with|by|using)\b|\bmachine[- ](?:made|written)\b"
+    r"|\b(?:generiert|erzeugt) (?:von|durch|aus|mit)\b|\bnicht (?:von hand |manuell )(?:bearbeiten|ändern)\b|\bgénéré (?:automatiquement )?par\b|\bne pas modifier\W*$|\bgenerado (?:automáticamente )?por\b|\bno (?:editar|modificar)\W*$"
 )
-NOT_NOTICE = re.compile(r"(?im)^\W*(?:parses\b.*|.*\bdo not edit the\b.*|not generated\b.*|written by hand\b.*)$")
 MINIFIED = re.compile(r"[#@] sourceMappingURL=")
-# What notices of third-party projects say.
 THIRD_PARTY = re.compile(
-    r"(?im)(?:^\W*this file is part of \S+\.\s*$|\bis free software: you can redistribute it\b|^\W*!?\s*\S+ v?\d[\w.]* \| \(c\) \d{4}|^\W*copyright \(c\) \d{4} the \S+ (?:authors|contributors|developers)\b|\bSPDX-FileCopyrightText:|^\W*origin: \S+@\d|^\W*imported unchanged from \S+)"
+    r"(?im)^\W*this file is part of \S+\.?\s*$|\bis free software[:;] you can redistribute it\b|^\W*!?\s*\S+ v?\d+\.\d[\w.+-]* \| \(c\) |^\W*copyright (?:\(c\)|©) \d{4}(?:[-, ]+\d{4})* (?:the )?\S+ (?:authors|contributors|developers|project|foundation)\b|\bSPDX-FileCopyrightText:"
+    r"|^\W*(?:origin|upstream|vendored from|copied from|taken from)\W+\S+@v?\d|^\W*(?:imported|vendored|copied|taken) (?:unchanged|verbatim|unmodified) from\b|^\W*@license\b"
 )
 # Names of folders that hold third-party code.
 FOLDERS = r"(?i)(^|/)(vendor|vendored|_vendor|node_modules|bower_components|third_party|third-party|thirdparty|3rdparty|3rd_party|deps|external|extern|pods|carthage)/"
@@ -63,7 +67,6 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _MEMBER = re.compile(r"([^\W\d]\w*)\s*\(")
 _HEAD = re.compile(r"_*[A-Z]?[a-z]+(?=[A-Z_\d])")
 _DIGIT = re.compile(r"\d")
-_MAY_NOT = re.compile(r"(?i)parses\b|do not edit the|not generated|written by hand")
 _NAME_RUN = re.compile(r"[^\W\d]\w*")
 _NUMBER_RUN = re.compile(r"\d[\w.]*")
 FEATURES = (
@@ -111,9 +114,8 @@ def measure(content: bytes | None, language: str | None, path: str | None = None
     code, whole, comments, longest = split(text, language)
     label, foreign, shown = 0, False, comments
     if comments:
-        said = NOT_NOTICE.sub("", comments) if _MAY_NOT.search(comments) else comments
-        label = 1 if GENERATED.search(said) else 2 if MINIFIED.search(said) else 0
-        foreign = bool(THIRD_PARTY.search(said))
+        label = 1 if GENERATED.search(comments) else 2 if MINIFIED.search(comments) else 0
+        foreign = bool(THIRD_PARTY.search(comments))
         if label or foreign:
             shown = "".join(x for x in comments.split("\n") if not any(p.search(x) for p in (GENERATED, MINIFIED, THIRD_PARTY)))
     dense = "".join(code.split())
@@ -189,20 +191,60 @@ def _forest(rows: DataFrame, train_files: int):
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8, maxBins=48, maxMemoryInMB=64).fit(data)
 
 
+def _scored(rows: DataFrame, model) -> DataFrame:
+    if model is None:
+        return rows.withColumn("score", F.lit(None).cast("double")).drop("features")
+    vector = rows.withColumn("vector", array_to_vector("features")).drop("features").withColumnRenamed("vector", "features")
+    return model.transform(vector).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def _decided(scored: DataFrame, threshold: float) -> DataFrame:
+    """scored with sort and decided_by: the file's own notice, its folder, a copy of its code elsewhere, or the forest."""
+    marked = F.col("label").isin(1, 2)
+    by = F.when(F.col("notice"), "notice").when(F.col("folder"), "folder").when(F.col("copied"), "copy").when(marked, "notice").when(F.col("score") >= threshold, "forest")
+    sort = F.when(F.col("notice") | F.col("folder") | F.col("copied"), "third_party").when(marked | (F.col("score") >= threshold), "tool")
+    return scored.withColumn("sort", sort).withColumn("decided_by", by)
+
+
+def _with_copies(rows: DataFrame) -> DataFrame:
+    """rows with copied: whether code equal to a file's lies in a file with a third-party notice or folder.
+
+    Digests are looked up, not files: a file without one never takes part, and one that a large part of all files share is split.
+    """
+    origins = rows.where("(notice or folder) and code is not null").select("code").distinct().withColumn("copied", F.lit(True))
+    return lookup(rows, origins, ["code"])
+
+
 def sorts(files: DataFrame, train_files: int = TRAIN_FILES, threshold: float = THRESHOLD) -> DataFrame:
-    """(file_id, repo, path, sort, score): sort is 'tool' (generated, minified or data), 'third_party' or null for hand-written."""
+    """(file_id, repo, path, sort, decided_by, score): sort is 'tool' (generated, minified or data), 'third_party' or null for hand-written."""
     rows = measured(files)
-    model = _forest(rows, train_files)
-    if model is None:
-        scored = rows.withColumn("score", F.lit(None).cast("double"))
-    else:
-        scored = model.transform(rows.withColumn("vector", array_to_vector("features")).drop("features").withColumnRenamed("vector", "features"))
-        scored = scored.withColumn("score", vector_to_array("probability")[1])
-    origins = rows.where("(notice or folder) and code is not null").select("code").distinct()
-    copies = broadcast_if_small(origins.withColumn("copied", F.lit(True)), 100_000)
-    joined = scored.select("file_id", "repo", "path", "label", "notice", "folder", "score", "code").join(copies, "code", "left")
-    sort = F.when(F.col("notice") | F.col("folder") | F.col("copied"), "third_party").when((F.col("label").isin(1, 2)) | (F.col("score") >= threshold), "tool")
-    return joined.select("file_id", "repo", "path", sort.alias("sort"), F.round("score", 6).alias("score"))
+    decided = _decided(_scored(_with_copies(rows), _forest(rows, train_files)), threshold)
+    return decided.select("file_id", "repo", "path", "sort", "decided_by", F.round("score", 6).alias("score"))
+
+
+def deciders(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(sort, decided_by, n_files, n_forest): how many files each evidence decides, and how many of them the forest alone would find."""
+    return sorts(files, threshold=threshold).groupBy("sort", "decided_by").agg(F.count("*").alias("n_files"), F.count_if(F.col("score") >= threshold).alias("n_forest"))
+
+
+def held_out(files: DataFrame, train_files: int = TRAIN_FILES, threshold: float = THRESHOLD) -> DataFrame:
+    """One row on the half of the files that the forest has not seen: (n_files, n_tool, n_forest, n_both, recall, precision, labelled_recall).
+
+    n_tool are the files that the combined result, made from all files, calls a tool's, without third-party ones; n_forest those
+    that a forest trained on the other half finds without looking at notices; labelled_recall is its recall of files with a notice.
+    """
+    rows = _with_copies(measured(files))
+    half = F.pmod(F.xxhash64("file_id", F.lit(SEED + 1)), F.lit(2))
+    whole, seen = _forest(rows, train_files), _forest(rows.where(half == 0), train_files)
+    rest = rows.where(half == 1)
+    truth = _decided(_scored(rest, whole), threshold).where("sort is null or sort = 'tool'").select("file_id", "label", (F.col("sort") == "tool").alias("tool"))
+    found = _scored(rest, seen).select("file_id", (F.col("score") >= threshold).alias("forest"))
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    n = lambda c: F.count_if(c)
+    both, tool, forest, marked = yes(F.col("tool")) & yes(F.col("forest")), yes(F.col("tool")), yes(F.col("forest")), F.col("label").isin(1, 2)
+    sums = truth.join(found, "file_id").agg(F.count("*").alias("n_files"), n(tool).alias("n_tool"), n(forest).alias("n_forest"), n(both).alias("n_both"), n(marked & forest).alias("_m"), n(marked).alias("_k"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    return sums.select("n_files", "n_tool", "n_forest", "n_both", rate("n_both", "n_tool").alias("recall"), rate("n_both", "n_forest").alias("precision"), rate("_m", "_k").alias("labelled_recall"))
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:

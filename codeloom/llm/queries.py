@@ -24,6 +24,14 @@ def p5_report(spark: SparkSession, root: str) -> DataFrame:
     return handwritten.report(read(spark, root, "walked_files"))
 
 
+def p5_deciders(spark: SparkSession, root: str) -> DataFrame:
+    return handwritten.deciders(read(spark, root, "walked_files"))
+
+
+def p5_held_out(spark: SparkSession, root: str) -> DataFrame:
+    return handwritten.held_out(read(spark, root, "walked_files"))
+
+
 def _windows(spark: SparkSession, root: str) -> DataFrame:
     return packing.windows(*(read(spark, root, x) for x in ("documents", "context_windows", "source_mix")))
 
@@ -60,5 +68,5 @@ def p8_classes(spark: SparkSession, root: str) -> DataFrame:
     return canonical.classes(read(spark, root, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p6_windows, p6_report, p6_shares, p7_mix, p7_report, p8_found, p8_canonical, p8_classes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p5_found, p5_report, p5_deciders, p5_held_out, p6_windows, p6_report, p6_shares, p7_mix, p7_report, p8_found, p8_canonical, p8_classes)}
 SQL: dict[str, str] = {}
