@@ -366,7 +366,7 @@ _IMPORT = {k: re.compile(v, re.M) for k, v in _IMPORTS.items()}
 
 def _imports(src: Source, out: dict[str, list]) -> None:
     language = src.language
-    for m in _IMPORT[language].finditer(src.raw):
+    for m in _IMPORT[language].finditer(src.lined):
         if not src.code[m.start() : m.end()].strip():
             continue
         if language == "PHP" and src.depth(m.start()):

@@ -197,7 +197,7 @@ def scan_ruby(src: Source) -> dict[str, list]:
         _rb_close(src, stack.pop(), len(code), out)
     for key in ("interfaces", "classes"):
         out[key].sort(key=lambda x: x["span"]["byte_range"]["start"])
-    for m in _RB_IMPORT.finditer(src.raw):
+    for m in _RB_IMPORT.finditer(src.lined):
         if code[m.start() : m.start(2)].strip():
             wild = m[1] in ("include", "extend")
             out["imports"].append({"source": strip_quotes(m[2].strip()), "symbols": [], "is_wildcard": wild, "span": src.span(m.start(), m.end())})

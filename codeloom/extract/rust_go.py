@@ -255,7 +255,7 @@ def scan_go(src: Source) -> dict[str, list]:
     for owner in sorted(by_receiver):
         methods = by_receiver[owner]
         out["implementations"].append({"target": owner, "trait_name": None, "file": src.path, "span": methods[0]["span"], "methods": methods})
-    for m in _GO_IMPORT.finditer(src.raw):
+    for m in _GO_IMPORT.finditer(src.lined):
         if not code[m.start() : m.start() + 6] == "import":
             continue
         inner, base = (m["many"], m.start("many")) if m["many"] is not None else (m["one"], m.start("one"))

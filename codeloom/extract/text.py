@@ -62,10 +62,12 @@ class Source:
     def __init__(self, content: bytes, language: str, path: str) -> None:
         self.path, self.language = path, language
         self.raw = content.decode("utf-8", "replace")
-        if language in NESTING and _NESTED_COMMENT.search(self.raw):
+        #: The same with any line end as a line feed, place by place.
+        self.lined = self.raw.replace("\r", "\n") if "\r" in self.raw else self.raw
+        if language in NESTING and _NESTED_COMMENT.search(self.lined):
             self.code = self._blank_nested()
         else:
-            self.code = _SKIPPERS[language].sub(self._blank, self.raw)
+            self.code = _SKIPPERS[language].sub(self._blank, self.lined)
 
     @staticmethod
     def _blank(m: re.Match) -> str:
@@ -76,16 +78,16 @@ class Source:
 
     def _blank_nested(self) -> str:
         out, at, find = [], 0, _SKIPPERS[self.language].search
-        while m := find(self.raw, at):
-            out.append(self.raw[at : m.start()])
+        while m := find(self.lined, at):
+            out.append(self.lined[at : m.start()])
             at = m.end()
             if m[0].startswith("/*"):
-                end = comment_end(self.raw, m.start())
-                at = end if end >= 0 else len(self.raw)
-                out.append(_NOT_NEWLINE.sub(" ", self.raw[m.start() : at]))
+                end = comment_end(self.lined, m.start())
+                at = end if end >= 0 else len(self.lined)
+                out.append(_NOT_NEWLINE.sub(" ", self.lined[m.start() : at]))
             else:
                 out.append(self._blank(m))
-        return "".join([*out, self.raw[at:]])
+        return "".join([*out, self.lined[at:]])
 
     @cached_property
     def close(self) -> dict[int, int]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.extract import scanner
-from codeloom.operators import query, resolve, sinks, tables, validate, work
+from codeloom.operators import bootstrap, cache, query, resolve, sinks, tables, validate, work
 from codeloom.runtime import read, stored, text
 
 METHODS = 13
@@ -32,6 +32,13 @@ SMALL = {
 }
 
 
+#: Extension -> how a line that imports looks like in the languages that write each import on a line; whether its last part is a symbol.
+IMPORT_LINES = {
+    "java": (r"import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", True), "kt": (r"import\s+([\w.]+(?:\.\*)?)(?:\s+as\s+\w+)?[ \t]*;?[ \t]*$", True),
+    "cs": (r"(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;", False), "swift": (r"(?:@\w+\s+)?import\s+([\w.]+)", False), "php": (r"use\s+([\w\\]+)(?:\s+as\s+\w+)?\s*;", False),
+}
+
+
 def _suppliers(spark: SparkSession, root: str) -> DataFrame:
     nations = read(spark, root, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("dir"))
     return read(spark, root, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nations), "s_nationkey")  # nation is a fixed table of 25 rows
@@ -73,6 +80,34 @@ def small_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.concat(F.lit("small/k"), text("s_suppkey"), F.lit("."), F.col("ext")).alias("path"), "language", F.encode(F.regexp_replace("body", "(?<![A-Z])([ABRTOf])K", F.concat(F.lit("$1"), text("s_suppkey"))), "utf-8").alias("content"))
 
 
+def barrel_files(spark: SparkSession, root: str) -> DataFrame:
+    """One file per directory that exports the interfaces of its files again."""
+    line = F.concat(F.lit("export { IS"), text("s_suppkey"), F.lit(' } from "./s'), text("s_suppkey"), F.lit('";\n'))
+    rows = _suppliers(spark, root).groupBy("dir").agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("body"))
+    return rows.select(F.concat(F.lit("src/"), F.col("dir"), F.lit("/index.ts")).alias("path"), F.lit("TypeScript").alias("language"), F.encode("body", "utf-8").alias("content"))
+
+
+#: A file that breaks eight of the rules, and one that breaks the ninth, with K for the key.
+BAD = "export interface bad_K {\n  run_K(a: string): void;\n}\ninterface DupK {\n  a(): void;\n  a(): void;\n}\ninterface DupK {\n  b(): void;\n}\n@Controller(\"/x\")\nexport class EmptyK {\n}\n@Injectable()\nexport class GodK {\n" + "".join(f"  m{i}() {{ return 1; }}\n" for i in range(16)) + "}\nexport interface None_K {\n}\n"
+BAD_PY = "@dataclass\nclass DK:\n    x: int = 0\n"
+#: (file, rule, severity, message, entity, line) of what they break.
+BROKEN = [
+    ("ts", "interfaces-pascal-case", "warn", "Interface 'bad_K' is not PascalCase", "bad_K", 0), ("ts", "interfaces-pascal-case", "warn", "Interface 'None_K' is not PascalCase", "None_K", 32),
+    ("ts", "methods-naming-convention", "warn", "Method 'run_K' in interface 'bad_K' doesn't follow camelCase naming convention", "run_K", 1),
+    ("ts", "no-duplicate-interface-names", "fail", "Duplicate interface name 'DupK' in same file", "DupK", 7), ("ts", "no-duplicate-method-names", "fail", "Duplicate method 'a' in interface 'DupK'", "a", 5),
+    ("ts", "interfaces-have-methods", "warn", "Interface 'None_K' has no methods or properties", "None_K", 32), ("ts", "services-have-methods", "warn", "Service 'EmptyK' has no methods or routes", "EmptyK", 11),
+    ("ts", "no-god-services", "warn", "Service 'GodK' has 16 methods (max 15)", "GodK", 14), ("ts", "interfaces-have-implementors", "fail", "Public interface 'bad_K' has no implementors", "bad_K", 0),
+    ("ts", "interfaces-have-implementors", "fail", "Public interface 'None_K' has no implementors", "None_K", 32), ("py", "schema-fields-have-types", "warn", "Field 'x' in schema 'DK' has no type annotation", "DK", 1),
+]
+
+
+def broken_files(spark: SparkSession, root: str) -> DataFrame:
+    forms = F.array(*[F.struct(F.lit(x).alias("language"), F.lit(e).alias("ext"), F.lit(t).alias("body")) for x, e, t in (("TypeScript", "ts", BAD), ("Python", "py", BAD_PY))])
+    rows = _suppliers(spark, root).select("s_suppkey", F.inline(forms))
+    body = F.regexp_replace("body", "(?<=bad_|run_|None_|Dup|Empty|God|D)K", text("s_suppkey"))
+    return rows.select(F.concat(F.lit("bad/k"), text("s_suppkey"), F.lit("."), F.col("ext")).alias("path"), "language", F.encode(body, "utf-8").alias("content"))
+
+
 def _types(spark: SparkSession, root: str) -> DataFrame:
     return stored(scanner.ir_files(types_files(spark, root)))
 
@@ -140,6 +175,45 @@ def rule_violations(spark: SparkSession, root: str) -> DataFrame:
     return validate.violations(_types(spark, root))
 
 
+def rule_violations_broken(spark: SparkSession, root: str) -> DataFrame:
+    """Over files that break every rule but the one on interfaces with too many methods, which rule_violations shows."""
+    return validate.violations(stored(scanner.ir_files(broken_files(spark, root))))
+
+
+def validation_summary_broken(spark: SparkSession, root: str) -> DataFrame:
+    return validate.summary(rule_violations_broken(spark, root), len(validate.RULES))
+
+
+def exports_resolved(spark: SparkSession, root: str) -> DataFrame:
+    ir = stored(scanner.ir_files(types_files(spark, root).unionByName(barrel_files(spark, root))))
+    return _exports(ir).select("file", "name", "origin_file", "via_file")
+
+
+def _exports(ir: DataFrame) -> DataFrame:
+    exports = tables.exports(ir)
+    return resolve.resolve_exports(exports, resolve.resolve_imports(resolve.export_sources(exports), resolve.path_index(ir)))
+
+
+def services_with_routes(spark: SparkSession, root: str) -> DataFrame:
+    rows = query.service_table(scanner.ir_files(service_files(spark, root)), "http_controller", show_routes=True, show_dependencies=True)
+    return rows.select("name", "file", "n_methods", F.array_join("routes", ",").alias("routes"), F.array_join("dependencies", ",").alias("dependencies"))
+
+
+def interfaces_with_methods(spark: SparkSession, root: str) -> DataFrame:
+    return query.interfaces(_types(spark, root), "IS1", show_methods=True).select("name", "file", "visibility", "n_methods", F.array_join("methods", ",").alias("methods"))
+
+
+def implementations_with_methods(spark: SparkSession, root: str) -> DataFrame:
+    rows = query.impl_table(scanner.ir_files(small_files(spark, root)), show_methods=True)
+    return rows.select("target", "trait_name", "file", F.array_join("methods", ",").alias("methods"))
+
+
+def partition_hybrid(spark: SparkSession, root: str) -> DataFrame:
+    """Files of one top directory: the last agent has it, the others their concerns."""
+    ir = stored(scanner.ir_files(types_files(spark, root).unionByName(service_files(spark, root))))
+    return work.hybrid(ir).groupBy("agent", "concern").agg(F.count("*").alias("n_files"))
+
+
 def validation_summary(spark: SparkSession, root: str) -> DataFrame:
     return validate.summary(validate.violations(_types(spark, root)), len(validate.RULES))
 
@@ -162,14 +236,90 @@ def children_listing(spark: SparkSession, root: str) -> DataFrame:
     return tables.children(_types(spark, root)).groupBy("kind", "child_kind").agg(F.count("*").alias("n"))
 
 
-def scan_walked_entities(spark: SparkSession, root: str) -> DataFrame:
+def _walked(spark: SparkSession, root: str) -> DataFrame:
     files = read(spark, root, "walked_files").select(F.concat_ws("/", "repo", "path").alias("path"), "language", "content", "content_hash")
-    return tables.entities(stored(scanner.ir_files(files)))
+    return scanner.ir_files(files)
+
+
+def scan_walked_entities(spark: SparkSession, root: str) -> DataFrame:
+    return tables.entities(stored(_walked(spark, root)))
 
 
 def scan_walked_stats(spark: SparkSession, root: str) -> DataFrame:
-    files = read(spark, root, "walked_files").select(F.concat_ws("/", "repo", "path").alias("path"), "language", "content", "content_hash")
-    return tables.stats(scanner.ir_files(files))
+    return tables.stats(_walked(spark, root))
+
+
+def _walked_imports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    ir = stored(_walked(spark, root))
+    return ir, resolve.resolve_imports(tables.imports(ir), resolve.path_index(ir))
+
+
+def walked_imports(spark: SparkSession, root: str) -> DataFrame:
+    """Imports of every real source file in the languages that write each on a line of its own."""
+    rows = tables.imports(_walked(spark, root))
+    return rows.where(F.substring_index("file", ".", -1).isin(*IMPORT_LINES)).groupBy("file", "source").agg(F.count("*").alias("n"))
+
+
+def walked_imports_resolved(spark: SparkSession, root: str) -> DataFrame:
+    return _walked_imports(spark, root)[1].select("file", "source", "resolved_path", F.array_join("symbols", ",").alias("symbols"), "import_ord")
+
+
+def walked_exports_resolved(spark: SparkSession, root: str) -> DataFrame:
+    return _exports(stored(_walked(spark, root)))
+
+
+def walked_connections(spark: SparkSession, root: str) -> DataFrame:
+    """Connections between the directories of one repository tree, inferred from the imports of its files."""
+    ir = stored(_walked(spark, root))
+    files = ir.select("path")
+    subs = bootstrap.subsystems(files, 3)
+    return bootstrap.connections(files, tables.imports(ir).select("file", "source"), subs)
+
+
+def walked_rule_violations(spark: SparkSession, root: str) -> DataFrame:
+    return validate.violations(stored(_walked(spark, root)))
+
+
+def walked_routes(spark: SparkSession, root: str) -> DataFrame:
+    return tables.routes(_walked(spark, root))
+
+
+def walked_schema_fields(spark: SparkSession, root: str) -> DataFrame:
+    return tables.fields(_walked(spark, root)).withColumn("constraints", F.array_join("constraints", ","))
+
+
+def walked_async_methods(spark: SparkSession, root: str) -> DataFrame:
+    return query.method_filter(tables.methods(stored(_walked(spark, root))), is_async=True).select("owner_kind", "owner_name", "file", "name", "line", "visibility")
+
+
+def walked_completeness(spark: SparkSession, root: str) -> DataFrame:
+    ir = stored(_walked(spark, root))
+    return resolve.missing_methods(tables.implements(ir), tables.interface_methods(ir), tables.methods(ir)).withColumn("missing", F.array_join("missing", ","))
+
+
+def walked_links(spark: SparkSession, root: str) -> DataFrame:
+    ir, imports = _walked_imports(spark, root)
+    return resolve.implementation_links(tables.implements(ir), tables.entities(ir).where("kind = 'interface'").select("name", "file"), imports).select("interface_name", "implementor", "impl_file", "interface_file")
+
+
+def walked_partition_concern(spark: SparkSession, root: str) -> DataFrame:
+    return work.by_concern(_walked(spark, root)).groupBy("agent", "concern").agg(F.count("*").alias("n_files"))
+
+
+def walked_partition_hybrid(spark: SparkSession, root: str) -> DataFrame:
+    return work.hybrid(stored(_walked(spark, root))).groupBy("agent", "concern").agg(F.count("*").alias("n_files"))
+
+
+def partition_by_directory(spark: SparkSession, root: str) -> DataFrame:
+    files = read(spark, root, "walked_files").select(F.concat_ws("/", "repo", "path").alias("path"), F.lit("built").alias("build_status"))
+    return work.by_directory(files).select("agent", "directory", "path")
+
+
+def cache_rescan(spark: SparkSession, root: str) -> DataFrame:
+    """Totals of a second scan: records of known content come from the store, only the others are scanned."""
+    files = read(spark, root, "walked_files").select(F.concat_ws("/", "repo", "path").alias("path"), "language", "content", F.sha2("content", 256).alias("content_hash"))
+    store = stored(scanner.ir_files(files))
+    return tables.stats(cache.rescan(files, store, scanner.ir_files))
 
 
 QUERIES = {
@@ -177,6 +327,9 @@ QUERIES = {
     for f in (
         scan_types_entities, scan_types_stats, scan_types_methods, scan_methods_by_owner, scan_small_entities, scan_services, scan_routes, scan_schema_fields, imports_resolved, exports_by_symbol,
         implementors_map, implementation_links, impl_completeness, rule_violations, validation_summary, partition_concern, focus_filter, field_mask, children_listing, scan_walked_entities, scan_walked_stats,
+        rule_violations_broken, validation_summary_broken, exports_resolved, services_with_routes, interfaces_with_methods, implementations_with_methods, partition_hybrid, walked_imports, walked_imports_resolved,
+        walked_exports_resolved, walked_connections, walked_rule_violations, walked_routes, walked_schema_fields, walked_async_methods, walked_completeness, walked_links, walked_partition_concern,
+        walked_partition_hybrid, partition_by_directory, cache_rescan,
     )
 }
 
@@ -192,7 +345,39 @@ SELECT 'no-god-interfaces' AS rule, 'warn' AS severity, 'Interface ''IS' || t ||
 UNION ALL SELECT 'interfaces-have-methods', 'warn', 'Interface ''IS' || t || ''' has no methods or properties', 'IS' || t, file, 1 FROM s WHERE n = 0"""
 
 
+def _broken_sql() -> str:
+    rows = ", ".join("(" + ", ".join("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in BROKEN)
+    put = lambda c: f"replace(regexp_replace({c}, '(bad_|run_|None_|Dup|Empty|God|D)K', '\\1~', 'g'), '~', t)"
+    return _S + f"SELECT rule, severity, {put('message')} AS message, {put('entity')} AS entity_name, 'bad/k' || t || '.' || ext AS file, CAST(line AS INTEGER) AS line FROM s, (VALUES {rows}) v(ext, rule, severity, message, entity, line)"
+
+
+def _imports_sql() -> str:
+    """Lines of the decoded files; those within block comments or literals would differ, and there are none."""
+    parts = []
+    for ext, (line, symbol) in IMPORT_LINES.items():
+        source = "regexp_replace(m, '\\.[^.]+$', '')" if symbol else "m"
+        parts.append(f"SELECT file, {source} AS source FROM (SELECT repo || '/' || path AS file, unnest(regexp_extract_all(replace(decode(content), chr(13), chr(10)), '(?m)^[ \\t]*{line}', 1)) AS m FROM walked_files WHERE path LIKE '%.{ext}')")
+    return "SELECT file, source, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") x GROUP BY 1, 2"
+
+
+def _impl_rows() -> str:
+    found = [(e, n) for e, (e, _, ents) in ((x, SMALL[x]) for x in SMALL) for k, n, _ in ents if k == "impl"]
+    return ", ".join(f"('{e}', '{n}', '{'M' if e == 'go' else 'm'}')" for e, n in found)
+
+
 SQL = {
+    "walked_imports": _imports_sql(),
+    "rule_violations_broken": _broken_sql(),
+    "validation_summary_broken": f"SELECT CAST(10 AS BIGINT) AS rules_checked, count(*) FILTER (severity = 'warn') AS warn_count, count(*) FILTER (severity = 'fail') AS fail_count, CAST(8 AS BIGINT) AS pass_count FROM ({_broken_sql()}) v",
+    "exports_resolved": _S + """SELECT file, 'IS' || t AS name, file AS origin_file, NULL AS via_file FROM s UNION ALL SELECT file, 'CS' || t, file, NULL FROM s
+UNION ALL SELECT dir || '/index.ts', 'IS' || t, file, dir || '/index.ts' FROM s""",
+    "services_with_routes": _S + "SELECT 'Svc' || t AS name, svc AS file, CAST(2 AS INTEGER) AS n_methods, 'GET /g' || t || ',POST /c' AS routes, 'Dep' || CAST(k % 7 AS VARCHAR) AS dependencies FROM s WHERE k % 5 = 0",
+    "interfaces_with_methods": _S + "SELECT 'IS' || t AS name, file, 'public' AS visibility, CAST(n AS INTEGER) AS n_methods, coalesce(array_to_string(list_transform(range(n), lambda i: 'm' || CAST(i AS VARCHAR)), ','), '') AS methods FROM s WHERE t LIKE '1%'",
+    "implementations_with_methods": _S + f"""SELECT replace(CASE WHEN contains(w, ' for ') THEN split_part(w, ' for ', 2) ELSE w END, 'K', t) AS target, CASE WHEN contains(w, ' for ') THEN replace(split_part(w, ' for ', 1), 'K', t) END AS trait_name, 'small/k' || t || '.' || ext AS file, m AS methods
+FROM s, (VALUES {_impl_rows()}) v(ext, w, m)""",
+    "partition_hybrid": _S + """SELECT CAST(1 AS INTEGER) AS agent, 'interfaces' AS concern, count(*) AS n_files FROM s UNION ALL SELECT 2, 'services', count(*) FROM s UNION ALL SELECT 3, 'methods', 2 * count(*) FROM s UNION ALL SELECT 4, 'decorators', count(*) FROM s
+UNION ALL SELECT 5, 'implementations', 2 * count(*) FROM s""",
+    "partition_by_directory": "WITH d AS (SELECT directory, CAST((row_number() OVER (ORDER BY n DESC, directory) - 1) % 5 + 1 AS INTEGER) AS agent FROM (SELECT split_part(repo || '/' || path, '/', 1) AS directory, count(*) AS n FROM walked_files GROUP BY 1)) SELECT d.agent, d.directory, w.repo || '/' || w.path AS path FROM walked_files w JOIN d ON d.directory = split_part(w.repo || '/' || w.path, '/', 1)",
     "scan_types_entities": _S + """SELECT 'IS' || t AS name, 'interface' AS kind, file, CAST(1 AS INTEGER) AS line, 'TypeScript' AS language, 'built' AS build_status, 'high' AS confidence, 'public' AS visibility FROM s
 UNION ALL SELECT 'CS' || t, 'class', file, CAST(n + 3 AS INTEGER), 'TypeScript', 'built', 'high', 'public' FROM s""",
     "scan_types_stats": _S + """SELECT count(*) AS total_files, count(*) AS total_interfaces, CAST(0 AS BIGINT) AS total_services, count(*) AS total_classes, CAST(0 AS BIGINT) AS total_functions, CAST(0 AS BIGINT) AS total_schemas,

@@ -38,6 +38,11 @@ def _subsystems(spark: SparkSession, root: str) -> DataFrame:
     return read(spark, root, "subsystems").withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn")
 
 
+def _placed(spark: SparkSession, root: str) -> DataFrame:
+    """Subsystems with those of no known domain in the synthetic one."""
+    return graph.normalize_orphans(_subsystems(spark, root), read(spark, root, "subsystem_domains"))
+
+
 def _connections(spark: SparkSession, root: str) -> DataFrame:
     subs = _subsystems(spark, root)
     return subs.select("manifest_id", F.col("id").alias("from"), F.explode("dependencies").alias("to")).where("to <> ''").distinct()
@@ -93,12 +98,6 @@ def build_status_of_tree(spark, root):
 
 
 def cache_hit_miss(spark, root):
-    files = _files(spark, root).withColumn("content_hash", F.sha2("content", 256))
-    hits, misses = cache.split(files, files.where("file_id % 2 = 0").select("content_hash", "path"))
-    return hits.agg(F.count("*").alias("hits")).join(misses.agg(F.count("*").alias("misses")))
-
-
-def cache_hit_miss_scanned(spark, root):
     """Against a store of the files that entity_summaries names as scanned."""
     files = _files(spark, root).withColumn("content_hash", F.sha2("content", 256))
     scanned = _entities(spark, root).select(F.col("file").alias("path")).distinct()
@@ -107,7 +106,7 @@ def cache_hit_miss_scanned(spark, root):
 
 
 def cache_lru_evict(spark, root):
-    store = _files(spark, root).where("mtime is not null").select("path", F.col("mtime").alias("last_accessed"), "size")
+    store = _files(spark, root).select("path", F.col("mtime").alias("last_accessed"), "size")
     return cache.evict(store, BUDGET).select("path", "size")
 
 
@@ -152,11 +151,6 @@ def export_csv_lines(spark, root):
 
 
 def export_markdown_lines(spark, root):
-    return sinks.markdown_lines(_entities(spark, root).where("line is not null"))
-
-
-def export_markdown_all_lines(spark, root):
-    """With the entities that have no line."""
     return sinks.markdown_lines(_entities(spark, root))
 
 
@@ -177,30 +171,31 @@ def _manifest_entities(spark, root):
     return rows.select("manifest_id", "name", "kind", at.alias("file")).distinct()
 
 
-def manifest_match(spark, root):
+def manifest_match_listed(spark, root):
+    """Entities made from the lists of the subsystems they are matched to, which all match."""
     return manifest.match(_manifest_entities(spark, root), _subsystems(spark, root)).select("manifest_id", "name", "kind", "file", "subsystem_id", "match_strategy")
 
 
-def manifest_coverage(spark, root):
+def manifest_coverage_listed(spark, root):
     return manifest.coverage(manifest.match(_manifest_entities(spark, root), _subsystems(spark, root)))
 
 
-def manifest_match_scanned(spark, root):
+def _id():
+    """manifest_id as text, '' for none."""
+    return F.coalesce(F.col("manifest_id").cast("string"), F.lit("")).alias("manifest_id")
+
+
+def manifest_match(spark, root):
     """The scanned entities with their subsystems; one without a manifest is unmatched."""
     matched = manifest.match(_scanned(spark, root), _subsystems(spark, root))
-    return matched.select("entity_id", "manifest_id", "repo", "file", "name", "kind", "subsystem_id", "match_strategy")
+    return matched.select("entity_id", _id(), "repo", "file", "name", "kind", "subsystem_id", "match_strategy")
 
 
-def manifest_coverage_scanned(spark, root):
-    return manifest.coverage(manifest_match_scanned(spark, root))
+def manifest_coverage(spark, root):
+    return manifest.coverage(manifest_match(spark, root))
 
 
 def manifest_candidates(spark, root):
-    ents = _entities(spark, root).where("subsystem_id is not null").select("manifest_id", "name")
-    return manifest.candidates(ents, _subsystems(spark, root)).select("manifest_id", "name", F.array_join("candidates", ",").alias("candidates"))
-
-
-def manifest_candidates_unmatched(spark, root):
     """Candidates for the entities that match leaves without a subsystem; one without a manifest is held against all manifests of its repository."""
     rows = _scanned(spark, root)
     left = manifest.match(rows, _subsystems(spark, root)).where("subsystem_id is null").select("manifest_id", "repo", "name").distinct()
@@ -248,10 +243,9 @@ def bootstrap_subsystems(spark, root):
 
 
 def bootstrap_edges_capped(spark, root):
-    trade = read(spark, root, "orders").join(read(spark, root, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_nationkey").alias("to"))
-    lines = read(spark, root, "lineitem").join(read(spark, root, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", F.col("s_nationkey").alias("from"))
-    edges = lines.join(trade, F.col("l_orderkey") == F.col("o_orderkey")).where("`from` <> `to`").groupBy("from", "to").agg(F.count("*").alias("weight"))
-    return bootstrap.capped(edges)
+    """Connections between domains over all manifests, counted and capped."""
+    edges = graph.domain_edges(_connections(spark, root), _placed(spark, root))
+    return bootstrap.capped(edges.groupBy(F.col("after").alias("from"), F.col("before").alias("to")).agg(F.sum("weight").alias("weight")))
 
 
 def unique_ids(spark, root):
@@ -260,7 +254,7 @@ def unique_ids(spark, root):
 
 
 def palette_cycle(spark, root):
-    return graph.palette_colors(_subsystems(spark, root).where("domain <> ''"))
+    return graph.palette_colors(_placed(spark, root))
 
 
 def _starts(spark, root):
@@ -297,16 +291,62 @@ def station_fan_out(spark, root):
 
 
 def station_positions(spark, root):
-    subs = _subsystems(spark, root).where("domain is not null")
+    subs = _placed(spark, root)
     order = graph.station_order(graph.station_depths(subs, _connections(spark, root)), graph.fan_out(subs, _connections(spark, root)))
     x, y = graph.line_offset(F.col("position"))
     return order.select("manifest_id", "domain", "id", "topo_depth", "position", x.alias("x"), y.alias("y"))
 
 
 def line_positions(spark, root):
-    rows = read(spark, root, "customer").select("c_custkey", (F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1).alias("position"))
+    line = Window.partitionBy("manifest_id", "domain").orderBy("id")
+    rows = _placed(spark, root).select("manifest_id", "id", (F.row_number().over(line) - 1).alias("position"))
     x, y = graph.line_offset(F.col("position"))
-    return rows.select("c_custkey", x.alias("x"), y.alias("y"))
+    return rows.select("manifest_id", "id", x.alias("x"), y.alias("y"))
+
+
+def compact_positions(spark, root):
+    """The stations of subsystems that are built, put close together."""
+    subs = _placed(spark, root)
+    line = Window.partitionBy("manifest_id", "domain").orderBy("id")
+    order = subs.select("manifest_id", "domain", "id", (F.row_number().over(line) - 1).alias("position"))
+    return graph.compact_layout(order, subs.where("status = 'built'"))
+
+
+def subsystem_entities(spark, root):
+    """Entities of each subsystem and of its direct children, from what the scanner matched."""
+    return query.subsystem_entities(_entities(spark, root), _subsystems(spark, root), nested=True).groupBy("manifest_id", "id").agg(F.count("*").alias("n_entities"), F.countDistinct("file").alias("n_files"))
+
+
+def subsystem_by_id(spark, root):
+    """The subsystems that share the most frequent id, the first by name."""
+    subs = _subsystems(spark, root)
+    most = subs.groupBy("id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(1)
+    return subs.join(F.broadcast(most), "id").select("manifest_id", "id", "name", "n")
+
+
+def manifest_report(spark, root):
+    return validate.manifest_report(manifest_names(spark, root), manifest_references(spark, root))
+
+
+def coverage_classes(spark, root):
+    per = manifest_match(spark, root).groupBy("manifest_id").agg((F.count("subsystem_id") * 100.0 / F.count("*")).alias("p"))
+    percent, kind = query.coverage_class(F.col("p"))
+    return per.select("manifest_id", F.round(percent, 6).alias("percent"), kind.alias("class"))
+
+
+def table_export(spark, root):
+    """Domains as a text table."""
+    return sinks.table_lines(read(spark, root, "subsystem_domains").select("domain_id", "label"))
+
+
+def cache_get_remove(spark, root):
+    """A store of all files of which the scanned ones are used again and those of equal content as an earlier file are removed."""
+    store = _files(spark, root).select("path", F.sha2("content", 256).alias("content_hash"), F.col("mtime").alias("last_accessed"))
+    scanned = _entities(spark, root).select(F.col("file").alias("path")).distinct()
+    hit, touched = cache.get(store, store.join(scanned, "path", "left_semi"), F.lit("2030-01-01").cast("timestamp"))
+    again = store.groupBy("content_hash").count().where("count > 1")
+    kept = cache.remove(touched, again)
+    return kept.agg(F.count("*").alias("kept"), F.count_if(F.col("last_accessed") == F.lit("2030-01-01").cast("timestamp")).alias("touched"))
 
 
 def visible_edges(spark, root):
@@ -317,7 +357,7 @@ def visible_edges(spark, root):
 
 
 def visible_lines(spark, root):
-    return graph.visible_lines(_subsystems(spark, root).where("domain <> ''"))
+    return graph.visible_lines(_placed(spark, root))
 
 
 def partition_slices(spark, root):
@@ -335,11 +375,11 @@ def dirs_collect(spark, root):
 QUERIES = {
     f.__name__: f
     for f in (
-        file_inventory_by_language, language_of_path, path_parts, path_prefix_component, path_normalized, path_ancestors, glob_filter, content_hash_dups, source_slices, build_status_of_tree, cache_hit_miss, cache_hit_miss_scanned,
-        cache_lru_evict, cache_prune, cache_stats, entity_kinds, entity_filter_multi, entity_search, entity_detail_last_wins, naming_of_entities, humanized_ids, export_csv_lines, export_markdown_lines, export_markdown_all_lines,
-        export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_match_scanned, manifest_coverage_scanned, manifest_candidates, manifest_candidates_unmatched, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
+        file_inventory_by_language, language_of_path, path_parts, path_prefix_component, path_normalized, path_ancestors, glob_filter, content_hash_dups, source_slices, build_status_of_tree, cache_hit_miss, cache_get_remove,
+        cache_lru_evict, cache_prune, cache_stats, entity_kinds, entity_filter_multi, entity_search, entity_detail_last_wins, naming_of_entities, humanized_ids, export_csv_lines, export_markdown_lines, table_export,
+        export_json_lines, language_stats, manifest_match, manifest_coverage, manifest_match_listed, manifest_coverage_listed, manifest_candidates, manifest_report, coverage_classes, subsystem_entities, subsystem_by_id, manifest_rollup, manifest_names, manifest_references, manifest_writeback, subsystem_filter, domain_siblings,
         bootstrap_dir_groups, bootstrap_common_prefix, bootstrap_subsystems, bootstrap_edges_capped, unique_ids, palette_cycle, graph_closure_nodes, graph_closure_edges, orphan_domains, domain_layers,
-        domain_grid, edge_bundles, station_fan_out, station_positions, line_positions, visible_edges, visible_lines, partition_slices, partition_round_robin, dirs_collect,
+        domain_grid, edge_bundles, station_fan_out, station_positions, line_positions, compact_positions, visible_edges, visible_lines, partition_slices, partition_round_robin, dirs_collect,
     )
 }
 
@@ -361,6 +401,8 @@ nm AS (SELECT manifest_id, name, kind, id FROM (SELECT me.manifest_id, me.name,
   FROM (SELECT DISTINCT manifest_id, name, kind FROM me) me JOIN lists ON lists.manifest_id = me.manifest_id AND lists.n = me.name AND (lists.only IS NULL OR lists.only = me.kind)) WHERE rn = 1),
 mm AS (SELECT me.*, coalesce(pm.id, nm.id) AS subsystem_id, CASE WHEN pm.id IS NOT NULL THEN 'file_path' WHEN nm.id IS NOT NULL THEN 'name_match' END AS match_strategy
   FROM me LEFT JOIN pm ON pm.manifest_id = me.manifest_id AND pm.file = me.file LEFT JOIN nm ON nm.manifest_id = me.manifest_id AND nm.name = me.name AND nm.kind = me.kind)"""
+_SMENT = _MENT[: _MENT.index(", me AS (")] + """, me AS (SELECT entity_id, manifest_id, repo, file, name, kind FROM (SELECT DISTINCT entity_id, manifest_id, repo, regexp_replace(file, '^\\./', '') AS file, name, kind, line, language, build_status, confidence, subsystem_id FROM entity_summaries)),
+""" + _MENT[_MENT.index("tgt AS ("):]
 _NORM = _SUB + """, od AS (SELECT s.manifest_id, s.id, CASE WHEN s.domain <> '' AND EXISTS (SELECT 1 FROM subsystem_domains d WHERE d.manifest_id = s.manifest_id AND d.domain_id = s.domain) THEN s.domain ELSE '__unassigned__' END AS domain FROM sub s)"""
 _WORD = "upper(left({0}, 1)) || substr({0}, 2)"
 _CAMEL = "array_to_string(list_transform(string_split(kind, '_'), lambda w: upper(left(w, 1)) || substr(w, 2)), '')"
@@ -381,8 +423,9 @@ SQL = {
     "path_ancestors": "SELECT prefix, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(string_split(path, '/')) + 1), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS prefix FROM walked_files) GROUP BY 1",
     "glob_filter": "SELECT file_id, path FROM walked_files WHERE (path LIKE '%.ts' OR path LIKE '%.rs') AND NOT (path LIKE 'tests/%' OR path LIKE '%/tests/%')",
     "content_hash_dups": "SELECT sha256(content) AS content_hash, count(*) AS n, min(file_id) AS first_id FROM walked_files GROUP BY 1 HAVING count(*) > 1",
-    "cache_hit_miss": f"WITH f AS (SELECT sha256(content) AS h, {_FULL} AS p, file_id FROM walked_files), k AS (SELECT DISTINCT h, p FROM f WHERE file_id % 2 = 0) SELECT count(*) FILTER (k.h IS NOT NULL) AS hits, count(*) FILTER (k.h IS NULL) AS misses FROM f LEFT JOIN k ON k.h = f.h AND k.p = f.p",
-    "cache_lru_evict": f"SELECT path, size FROM (SELECT {_FULL} AS path, size, sum(size) OVER (ORDER BY mtime DESC, {_FULL}) AS run FROM walked_files WHERE mtime IS NOT NULL) WHERE run <= {BUDGET}",
+    "cache_hit_miss": _ENT + f"SELECT count(*) FILTER (p IN (SELECT file FROM e)) AS hits, count(*) FILTER (p NOT IN (SELECT file FROM e)) AS misses FROM (SELECT {_FULL} AS p FROM walked_files)",
+    "cache_get_remove": _ENT + f"SELECT count(*) AS kept, count(*) FILTER (p IN (SELECT file FROM e)) AS touched FROM (SELECT {_FULL} AS p, count(*) OVER (PARTITION BY sha256(content)) AS n FROM walked_files) WHERE n = 1",
+    "cache_lru_evict": f"SELECT path, size FROM (SELECT {_FULL} AS path, size, sum(coalesce(size, 0)) OVER (ORDER BY mtime DESC NULLS LAST, {_FULL}) AS run FROM walked_files) WHERE run <= {BUDGET}",
     "cache_prune": _ENT + f"SELECT DISTINCT file AS path FROM e WHERE file NOT IN (SELECT {_FULL} FROM walked_files WHERE language <> 'Java')",
     "cache_stats": f"SELECT count(*) AS entries, CAST(sum(size) AS BIGINT) AS disk_size_bytes, CAST({BUDGET} AS BIGINT) AS max_size_bytes FROM walked_files",
     "entity_kinds": _ENT + "SELECT language, kind, count(*) AS n FROM e GROUP BY ALL",
@@ -392,13 +435,23 @@ SQL = {
     "naming_of_entities": _ENT + f"SELECT entity_id, regexp_matches(name, '^[A-Z][A-Za-z0-9]*$') AS pascal, {_FITS} AS fits, CASE WHEN language IN ('Rust', 'Go', 'Python', 'Ruby', 'PHP') THEN 'snake_case' ELSE 'camelCase' END AS convention FROM e",
     "humanized_ids": "SELECT DISTINCT id, array_to_string(list_transform(list_filter(regexp_split_to_array(id, '[-_]'), lambda w: w <> ''), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') AS label FROM subsystems",
     "export_csv_lines": _ENT + f"""SELECT '"' || replace(name, '"', '""') || '",' || {_CAMEL} || ',"' || replace(file, '"', '""') || '",' || coalesce(CAST(line AS VARCHAR), '') || ',' || language || ',' || {_WORD.format('build_status')} AS line FROM e""",
-    "export_markdown_lines": _ENT + "SELECT '| ' || name || ' | ' || kind || ' | ' || file || ' | ' || CAST(line AS VARCHAR) || ' | ' || language || ' | ' || build_status || ' |' AS line FROM e WHERE line IS NOT NULL",
+    "export_markdown_lines": _ENT + "SELECT '| ' || name || ' | ' || kind || ' | ' || file || ' | ' || coalesce(CAST(line AS VARCHAR), '') || ' | ' || language || ' | ' || build_status || ' |' AS line FROM e",
+    "table_export": "SELECT rtrim(rpad(domain_id, w, ' ') || '  ' || label) AS value FROM (SELECT domain_id, coalesce(label, '') AS label, CAST(max(greatest(len(domain_id), 9)) OVER () AS INTEGER) AS w FROM subsystem_domains)",
     "export_json_lines": _ENT + """SELECT '{"file":"' || file || '","kind":"' || kind || '","name":"' || name || '"}' AS value FROM e""",
     "language_stats": "SELECT language, count(*) AS n_files FROM walked_files GROUP BY 1",
-    "manifest_match": "WITH " + _MENT + " SELECT manifest_id, name, kind, file, subsystem_id, match_strategy FROM mm",
-    "manifest_coverage": "WITH " + _MENT + " SELECT count(*) AS total_entities, count(subsystem_id) AS n_matched, CASE WHEN count(*) = 0 THEN 100.0 ELSE count(subsystem_id) * 100.0 / count(*) END::DOUBLE AS coverage_percent FROM mm",
-    "manifest_candidates": _ENT.rstrip() + ", " + _SUB + """ SELECT e.manifest_id, e.name, array_to_string(list_sort(list(DISTINCT s.id)), ',') AS candidates FROM (SELECT DISTINCT manifest_id, name, lower(name) AS l FROM e WHERE subsystem_id IS NOT NULL AND name <> '') e
-JOIN sub s ON s.manifest_id = e.manifest_id AND (contains(e.l, lower(s.id)) OR contains(lower(s.id), e.l) OR contains(e.l, lower(s.name)) OR contains(lower(s.name), e.l)) GROUP BY 1, 2""",
+    "manifest_match_listed": "WITH " + _MENT + " SELECT manifest_id, name, kind, file, subsystem_id, match_strategy FROM mm",
+    "manifest_coverage_listed": "WITH " + _MENT + " SELECT count(*) AS total_entities, count(subsystem_id) AS n_matched, CASE WHEN count(*) = 0 THEN 100.0 ELSE count(subsystem_id) * 100.0 / count(*) END::DOUBLE AS coverage_percent FROM mm",
+    "manifest_match": "WITH " + _SMENT + " SELECT entity_id, coalesce(CAST(manifest_id AS VARCHAR), '') AS manifest_id, repo, file, name, kind, subsystem_id, match_strategy FROM mm",
+    "manifest_coverage": "WITH " + _SMENT + " SELECT count(*) AS total_entities, count(subsystem_id) AS n_matched, CASE WHEN count(*) = 0 THEN 100.0 ELSE count(subsystem_id) * 100.0 / count(*) END::DOUBLE AS coverage_percent FROM mm",
+    "coverage_classes": "WITH " + _SMENT + ", p AS (SELECT coalesce(CAST(manifest_id AS VARCHAR), '') AS manifest_id, count(subsystem_id) * 100.0 / count(*) AS p FROM mm GROUP BY 1) SELECT manifest_id, round(CAST(p AS DOUBLE), 6) AS percent, CASE WHEN p >= 80 THEN 'high' WHEN p >= 50 THEN 'medium' ELSE 'low' END AS class FROM p",
+    "manifest_candidates": "WITH " + _SMENT + """, l AS (SELECT DISTINCT manifest_id, repo, name FROM mm WHERE subsystem_id IS NULL AND name <> ''),
+u AS (SELECT manifest_id, name FROM l WHERE manifest_id IS NOT NULL UNION SELECT m.manifest_id, l.name FROM l JOIN (SELECT DISTINCT repo, manifest_id FROM me WHERE manifest_id IS NOT NULL) m ON m.repo = l.repo WHERE l.manifest_id IS NULL)
+SELECT u.manifest_id, u.name, array_to_string(list_sort(list(DISTINCT s.id)), ',') AS candidates FROM (SELECT *, lower(name) AS l FROM u) u
+JOIN (SELECT DISTINCT manifest_id, id, lower(v) AS v FROM (SELECT manifest_id, id, id AS v FROM sub UNION ALL SELECT manifest_id, id, name FROM sub) WHERE v <> '') s ON s.manifest_id = u.manifest_id AND (contains(u.l, s.v) OR contains(s.v, u.l)) GROUP BY 1, 2""",
+    "subsystem_entities": _ENT.rstrip() + ", " + _SUB + """, o AS (SELECT e.manifest_id, e.subsystem_id AS id, e.file, e.entity_id FROM e WHERE EXISTS (SELECT 1 FROM sub s WHERE s.manifest_id = e.manifest_id AND s.id = e.subsystem_id)),
+n AS (SELECT manifest_id, id, file FROM o UNION ALL SELECT o.manifest_id, u.parent_id, o.file FROM o JOIN (SELECT DISTINCT manifest_id, id, parent_id FROM sub WHERE parent_id IS NOT NULL) u ON u.manifest_id = o.manifest_id AND u.id = o.id)
+SELECT manifest_id, id, count(*) AS n_entities, count(DISTINCT file) AS n_files FROM n GROUP BY 1, 2""",
+    "subsystem_by_id": "WITH " + _SUB + ", m AS (SELECT id, count(*) AS n FROM sub GROUP BY 1 ORDER BY n DESC, id LIMIT 1) SELECT s.manifest_id, s.id, s.name, m.n FROM sub s JOIN m ON m.id = s.id",
     "manifest_rollup": _ENT.rstrip() + ", " + _SUB + """, c AS (SELECT manifest_id, subsystem_id AS id, count(*) AS m, count(*) FILTER (kind = 'interface') AS i, count(*) FILTER (kind IN ('function', 'method')) AS o, count(*) FILTER (kind = 'schema') AS t FROM e WHERE subsystem_id IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT manifest_id, parent_id AS id, count(*) AS n FROM sub WHERE parent_id IS NOT NULL GROUP BY 1, 2)
 SELECT s.manifest_id, s.id, s.name, s.domain, s.status, s.dfs_ord, coalesce(c.m, 0) AS matched_entity_count, coalesce(c.i, 0) AS interface_count, coalesce(c.o, 0) AS operation_count, coalesce(c.t, 0) AS table_count, CAST(0 AS BIGINT) AS event_count, coalesce(k.n, 0) AS child_count, CAST(coalesce(len(s.dependencies), 0) AS INTEGER) AS dependency_count
@@ -420,10 +473,10 @@ LEFT JOIN l o ON o.manifest_id = s.manifest_id AND o.id = s.id AND o.c = 'operat
     "bootstrap_common_prefix": """WITH d AS (SELECT repo, CASE WHEN contains(path, '/') THEN string_split(regexp_replace(path, '/[^/]*$', ''), '/') ELSE [''] END AS p FROM walked_files),
 m AS (SELECT repo, min(p) AS lo, max(p) AS hi FROM d GROUP BY 1), x AS (SELECT repo, lo, coalesce(list_max(list_filter(range(1, least(len(lo), len(hi)) + 1), lambda i: lo[1:i] = hi[1:i])), 0) AS k FROM m)
 SELECT repo, CASE WHEN array_to_string(lo[1:k], '/') = '' OR k = 0 THEN '.' ELSE array_to_string(lo[1:k], '/') END AS prefix FROM x""",
-    "bootstrap_edges_capped": """WITH w AS (SELECT s_nationkey AS "from", c_nationkey AS "to", count(*) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
+    "bootstrap_edges_capped": "WITH " + _CON + ", " + _NORM[len(_SUB) + 2 :] + """, w AS (SELECT a.domain AS "from", b.domain AS "to", count(*) AS weight FROM con JOIN od a ON a.manifest_id = con.manifest_id AND a.id = con."from" JOIN od b ON b.manifest_id = con.manifest_id AND b.id = con."to" WHERE a.domain <> b.domain GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY "from" ORDER BY weight DESC, "to") AS rn FROM w) SELECT "from", "to", weight FROM r WHERE rn <= 8 ORDER BY weight DESC, "from", "to" LIMIT 50""",
     "unique_ids": "SELECT p_partkey, lower(p_brand) || CASE WHEN rn = 1 THEN '' ELSE '-' || CAST(rn AS VARCHAR) END AS id FROM (SELECT *, row_number() OVER (PARTITION BY lower(p_brand) ORDER BY p_partkey) AS rn FROM part)",
-    "palette_cycle": "WITH " + _SUB + f" SELECT manifest_id, domain, ({_PAL})[(rn - 1) % 12 + 1] AS color FROM (SELECT manifest_id, domain, row_number() OVER (PARTITION BY manifest_id ORDER BY domain) AS rn FROM (SELECT DISTINCT manifest_id, domain FROM sub WHERE domain <> ''))",
+    "palette_cycle": "WITH " + _NORM + f" SELECT manifest_id, domain, ({_PAL})[(rn - 1) % 12 + 1] AS color FROM (SELECT manifest_id, domain, row_number() OVER (PARTITION BY manifest_id ORDER BY domain) AS rn FROM (SELECT DISTINCT manifest_id, domain FROM od))",
     "graph_closure_nodes": "WITH RECURSIVE " + _CON + """, s AS (SELECT manifest_id, id FROM sub WHERE dfs_ord = 0), dn AS (SELECT manifest_id, id FROM s UNION SELECT dn.manifest_id, con."to" FROM dn JOIN con ON con.manifest_id = dn.manifest_id AND con."from" = dn.id),
 up AS (SELECT manifest_id, id FROM s UNION SELECT up.manifest_id, con."from" FROM up JOIN con ON con.manifest_id = up.manifest_id AND con."to" = up.id) SELECT manifest_id, id FROM dn UNION SELECT manifest_id, id FROM up""",
     "graph_closure_edges": "WITH RECURSIVE " + _CON + """, dn AS (SELECT manifest_id, id FROM sub WHERE dfs_ord = 0 UNION SELECT dn.manifest_id, con."to" FROM dn JOIN con ON con.manifest_id = dn.manifest_id AND con."from" = dn.id)
@@ -433,11 +486,14 @@ SELECT con.manifest_id, con."from", con."to" FROM con JOIN dn ON dn.manifest_id
 WHERE a.domain <> b.domain GROUP BY 1, 2, 3""",
     "station_fan_out": "WITH " + _CON + """, x AS (SELECT con.manifest_id, con."from", con."to" FROM con JOIN sub a ON a.manifest_id = con.manifest_id AND a.id = con."from" JOIN sub b ON b.manifest_id = con.manifest_id AND b.id = con."to" WHERE a.domain <> b.domain),
 y AS (SELECT manifest_id, "from" AS id FROM x UNION ALL SELECT manifest_id, "to" FROM x) SELECT s.manifest_id, s.id, count(y.id) AS fan_out FROM (SELECT DISTINCT manifest_id, id FROM sub) s LEFT JOIN y ON y.manifest_id = s.manifest_id AND y.id = s.id GROUP BY 1, 2""",
-    "line_positions": f"SELECT c_custkey, {_XY} FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS position FROM customer)",
+    "line_positions": "WITH " + _NORM + f" SELECT manifest_id, id, {_XY} FROM (SELECT manifest_id, id, row_number() OVER (PARTITION BY manifest_id, domain ORDER BY id) - 1 AS position FROM od)",
+    "compact_positions": "WITH " + _NORM + """, v AS (SELECT o.*, row_number() OVER (PARTITION BY o.manifest_id, o.domain ORDER BY o.id) - 1 AS i, count(*) OVER (PARTITION BY o.manifest_id, o.domain) AS n FROM od o JOIN sub s ON s.manifest_id = o.manifest_id AND s.id = o.id WHERE s.status = 'built')
+SELECT manifest_id, id, CAST((max(n) OVER (PARTITION BY manifest_id) - n) * 420 / 2.0 + i * 420 AS DOUBLE) AS x, CAST((dense_rank() OVER (PARTITION BY manifest_id ORDER BY domain) - 1) * 320 AS INTEGER) AS y FROM v""",
     "visible_edges": "WITH " + _CON + """ SELECT CAST(con.manifest_id AS VARCHAR) || '/' || con."from" AS source, CAST(con.manifest_id AS VARCHAR) || '/' || con."to" AS target FROM con
 WHERE EXISTS (SELECT 1 FROM sub s WHERE s.manifest_id = con.manifest_id AND s.id = con."from" AND s.status = 'built') AND EXISTS (SELECT 1 FROM sub s WHERE s.manifest_id = con.manifest_id AND s.id = con."to" AND s.status = 'built')""",
-    "visible_lines": "WITH " + _SUB + " SELECT manifest_id, domain FROM sub WHERE domain <> '' GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2",
+    "visible_lines": "WITH " + _NORM + " SELECT manifest_id, domain FROM od GROUP BY 1, 2 HAVING count(DISTINCT id) >= 2",
     "partition_slices": f"WITH d AS (SELECT DISTINCT {_TOP} AS directory FROM walked_files), r AS (SELECT directory, row_number() OVER (ORDER BY directory) - 1 AS i, count(*) OVER () AS n FROM d), a AS (SELECT unnest(range(5)) AS a) SELECT CAST(a + 1 AS INTEGER) AS agent, directory FROM r, a WHERE i >= (n * a) // 5 AND i < (n * (a + 1)) // 5",
     "partition_round_robin": f"WITH d AS (SELECT {_TOP} AS directory, count(*) AS n_files FROM walked_files GROUP BY 1) SELECT CAST((row_number() OVER (ORDER BY n_files DESC, directory) - 1) % 5 + 1 AS INTEGER) AS agent, directory, n_files FROM d",
     "dirs_collect": "SELECT repo, string_agg(d, ', ' ORDER BY d) AS directories FROM (SELECT DISTINCT repo, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS d FROM walked_files) GROUP BY 1",
 }
+SQL["manifest_report"] = f"""WITH a AS ({SQL['manifest_names']}), b AS ({SQL['manifest_references']}) SELECT manifest_id, field, count(*) FILTER (k = 1) AS n_naming, count(*) FILTER (k = 2) AS n_references, count(DISTINCT subsystem_id) AS n_subsystems FROM (SELECT manifest_id, subsystem_id, field, 1 AS k FROM a UNION ALL SELECT manifest_id, subsystem_id, field, 2 FROM b) GROUP BY 1, 2"""
