@@ -71,12 +71,12 @@ def dead(refs: DataFrame, spans: DataFrame, task_rows: int = TASK_ROWS) -> DataF
     """
     known = F.col("manifest_id").isNotNull() & F.col("t").isNotNull()
     live = refs.where(known).withColumn("month", F.date_format("t", "yyyy-MM"))
-    found = cut(states(_groups(live), spans).select(*GROUP, "state"))
-    marked = lookup(live, found, GROUP, task_rows, nulls=False).where("state is not null")
+    found = cut(states(_groups(live), spans).select(*GROUP, "n", "state"))
+    heavy = found.where(F.col("n") > task_rows).select(*GROUP, F.ceil(F.col("n") / task_rows).cast("int").alias("_salts"))
+    marked = lookup(live, found.select(*GROUP, "state"), GROUP, task_rows, nulls=False, heavy=heavy).where("state is not null")
     covers = reduce(lambda x, y: x & y, [F.col(f"k.{c}") == F.col(f"s.{c}") for c in KEY]) & (F.col("s.since") <= F.col("k.t")) & (F.col("s.until").isNull() | (F.col("s.until") > F.col("k.t")))
     of_mixed = spans.join(found.where("state = 'mixed'").select(*KEY).distinct(), KEY, "left_semi")
-    single = marked.where("state = 'mixed'").alias("k").join(broadcast_if_small(cut(of_mixed)).alias("s"), covers, "left_anti")
-    gone = marked.where("state = 'dead'").unionByName(single)
+    gone = marked.alias("k").join(broadcast_if_small(cut(of_mixed)).alias("s"), covers, "left_anti")  # no span meets a dead group
     return gone.select(*refs.columns).unionByName(refs.where(~known))
 
 

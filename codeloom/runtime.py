@@ -103,14 +103,15 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], task_rows: int = TASK_ROWS, nulls: bool = True) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], task_rows: int = TASK_ROWS, nulls: bool = True, heavy: DataFrame | None = None) -> DataFrame:
     """left with the columns of right, which has one row per key, or nulls; rows of left with a null key have none, and are left out without nulls.
 
     A key of more than task_rows rows of left is heavy. There are few of them, at most one per task_rows rows; their rows of
     right are broadcast if counted to be within the bound, so that no task gets all rows of a heavy key, else salted. The others are shuffled.
+    heavy (keys, _salts) may be given where it is known.
     """
     there = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    heavy = cut(left.where(there).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > task_rows).select(*keys, F.ceil(F.col("_n") / task_rows).cast("int").alias("_salts")))
+    heavy = cut(heavy) if heavy is not None else cut(left.where(there).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > task_rows).select(*keys, F.ceil(F.col("_n") / task_rows).cast("int").alias("_salts")))
     added = [c for c in right.columns if c not in keys]
     columns = [*left.columns, *added]
     if heavy.isEmpty():
