@@ -50,6 +50,8 @@ GENERATED = re.compile(
     r"|\b(?:edits?|changes?|modifications?) (?:to this file |made here )?(?:will be|is|are|may be|get|gets) (?:lost|overwritten|overridden|discarded)\b|\b(?:please )?re-?generate (?:it |this file )?(?:with|by|using)\b|\bmachine[- ](?:made|written)\b"
     r"|\b(?:generiert|erzeugt) (?:von|durch|aus|mit)\b|\bnicht (?:von hand |manuell )(?:bearbeiten|ändern)\b|\bgénéré (?:automatiquement )?par\b|\bne pas modifier\W*$|\bgenerado (?:automáticamente )?por\b|\bno (?:editar|modificar)\W*$"
 )
+#: Parts, in lower case, of which every match of GENERATED has one.
+_GENERATED_PARTS = ("generat", "generi", "génér", "edit", "modif", "change", "machine", "erzeugt", "bearbeiten", "ändern")
 MINIFIED = re.compile(r"[#@] sourceMappingURL=")
 THIRD_PARTY = re.compile(
     r"(?im)^\W*this file is part of \S+\.?\s*$|\bis free software[:;] you can redistribute it\b|^\W*!?\s*\S+ v?\d+\.\d[\w.+-]* \| \(c\) |^\W*copyright (?:\(c\)|©) \d{4}(?:[-, ]+\d{4})* (?:the )?\S+ (?:authors|contributors|developers|project|foundation)\b|\bSPDX-FileCopyrightText:"
@@ -64,7 +66,7 @@ FOLDER_MARK = re.compile(r"(?i)(?:^|/)(?:generated|__generated__|autogen|src_man
 
 _TOKEN = re.compile(r'""|[^\W\d]\w*|\d[\w.]*|[^\s\w]')
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-_MEMBER = re.compile(r"([^\W\d]\w*)\s*\(")
+_MEMBER = re.compile(r"(?<![^\W\d])([^\W\d]\w*+)\s*+\(")
 _HEAD = re.compile(r"_*[A-Z]?[a-z]+(?=[A-Z_\d])")
 _DIGIT = re.compile(r"\d")
 _NAME_RUN = re.compile(r"[^\W\d]\w*")
@@ -114,7 +116,8 @@ def measure(content: bytes | None, language: str | None, path: str | None = None
     code, whole, comments, longest = split(text, language)
     label, foreign, shown = 0, False, comments
     if comments:
-        label = 1 if GENERATED.search(comments) else 2 if MINIFIED.search(comments) else 0
+        low = comments.lower()
+        label = 1 if any(map(low.__contains__, _GENERATED_PARTS)) and GENERATED.search(comments) else 2 if MINIFIED.search(comments) else 0
         foreign = bool(THIRD_PARTY.search(comments))
         if label or foreign:
             shown = "".join(x for x in comments.split("\n") if not any(p.search(x) for p in (GENERATED, MINIFIED, THIRD_PARTY)))
