@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -48,10 +50,24 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="codeloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 
 
+#: What cut and stored have written and clean has not removed yet.
+_WRITTEN: list[str] = []
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove all that cut and stored have written so far; how many places. Call it when the results of the queries so far are written."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from there: the lineage ends, and a lost executor loses nothing.
 
@@ -62,6 +78,9 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     done = df.checkpoint(eager=True)
     try:
+        file = done._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            _WRITTEN.append(file.get())
         rows = done._jdf.queryExecution().toRdd()
         return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
     except (AttributeError, TypeError, Py4JError):  # another version of Spark
@@ -86,6 +105,7 @@ def stored(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read from there, so that several readers each take the columns they need."""
     place = f"{shared_dir(df.sparkSession).rstrip('/')}/codeloom-{uuid.uuid4().hex}"
     df.write.parquet(place)
+    _WRITTEN.append(place)
     return df.sparkSession.read.parquet(place)
 
 
