@@ -38,25 +38,25 @@ def root(spark, tmp_path_factory):
 
 
 def test_candidates_of_unmatched(spark, root):
-    got = {(r["manifest_id"], r["name"]): r["candidates"] for r in relations.QUERIES["manifest_candidates_unmatched"](spark, root).collect()}
+    got = {(r["manifest_id"], r["name"]): r["candidates"] for r in relations.QUERIES["manifest_candidates"](spark, root).collect()}
     # helper and the first Ledger are matched; Unlike and the Ledger of manifest 3 are like no subsystem; ledger_audit and Quarry have no manifest
     assert got == {(1, "LedgerStore"): "ledger", (1, "ledger_audit"): "ledger", (2, "Quarry"): "quarry"}
 
 
 def test_markdown_of_all_entities(spark, root):
-    got = sorted(r["line"] for r in relations.QUERIES["export_markdown_all_lines"](spark, root).collect())
+    got = sorted(r["line"] for r in relations.QUERIES["export_markdown_lines"](spark, root).collect())
     rows = {(e, n, k, f"{repo}/{f.removeprefix('./')}", x, lang, b) for e, repo, n, k, f, x, lang, b, *_ in ROWS}
     assert got == sorted(f"| {n} | {k} | {f} | {'' if x is None else x} | {lang} | {b} |" for _, n, k, f, x, lang, b in rows)
     assert sum(" |  | " in line for line in got) == 2
 
 
 def test_scanned_entities_are_matched_or_not(spark, root):
-    out = relations.QUERIES["manifest_match_scanned"](spark, root).collect()
+    out = relations.QUERIES["manifest_match"](spark, root).collect()
     assert len(out) == len(set(ROWS))  # the row stored twice counts once
     got = {r["entity_id"]: (r["subsystem_id"], r["match_strategy"]) for r in out}
     none = (None, None)
     assert got == {1: ("ledger", "name_match"), 2: ("ledger", "file_path"), 3: none, 4: none, 5: none, 6: none, 7: none}
-    (total,) = relations.QUERIES["manifest_coverage_scanned"](spark, root).collect()
+    (total,) = relations.QUERIES["manifest_coverage"](spark, root).collect()
     assert (total["total_entities"], total["n_matched"]) == (7, 2) and abs(total["coverage_percent"] - 200 / 7) < 1e-9
 
 
@@ -70,5 +70,5 @@ def test_slices_are_entities(spark, root):
 
 
 def test_hits_of_scanned_files(spark, root):
-    (got,) = relations.QUERIES["cache_hit_miss_scanned"](spark, root).collect()
+    (got,) = relations.QUERIES["cache_hit_miss"](spark, root).collect()
     assert (got["hits"], got["misses"]) == (1, 1)
