@@ -102,7 +102,30 @@ WITH RECURSIVE t AS (
   SELECT t.record_id, t.node ->> '$.id', CAST(j.key AS BIGINT), j.value FROM t, json_each(t.node, '$.children') j WHERE j.key IS NOT NULL)
 """
 
+_TRAILS = (
+    _REACH.rstrip()
+    + """,
+c AS (SELECT a.manifest_id, a.child AS id, min(a.parent) AS circle FROM r a JOIN r b ON b.manifest_id = a.manifest_id AND b.child = a.parent AND b.parent = a.child GROUP BY 1, 2),
+o AS (SELECT n.manifest_id, n.id, c.circle, coalesce(c.circle, n.id) AS head FROM n LEFT JOIN c ON c.manifest_id = n.manifest_id AND c.id = n.id),
+k AS (SELECT DISTINCT manifest_id, head, circle IS NOT NULL AS ring FROM o),
+h AS (SELECT DISTINCT e.manifest_id, a.head AS node, b.head AS up FROM e JOIN o a ON a.manifest_id = e.manifest_id AND a.id = e.child JOIN o b ON b.manifest_id = e.manifest_id AND b.id = e.parent WHERE a.head <> b.head),
+t AS (SELECT manifest_id, head AS place, head AS root, [head] AS path, ring AS hit FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.manifest_id = k.manifest_id AND h.node = k.head)
+  UNION ALL SELECT t.manifest_id, h.node, t.root, list_append(t.path, h.node), t.hit OR k.ring FROM t JOIN h ON h.manifest_id = t.manifest_id AND h.up = t.place JOIN k ON k.manifest_id = h.manifest_id AND k.head = h.node)
+"""
+)
+_LIST = "CASE WHEN json_type(node, '$.{0}') = 'ARRAY' THEN coalesce(array_to_string(json_extract_string(node, '$.{0}[*]'), ','), '') END AS {0}"
+
 SQL = {
+    "p1_nodes": _TRAILS
+    + """, s AS (SELECT manifest_id, place, CAST(max(len(path)) - 1 AS INTEGER) AS depth, array_to_string(list_sort(list_distinct(list(root))), ',') AS roots, CAST(count(*) AS DOUBLE) AS n_paths FROM t GROUP BY 1, 2),
+d AS (SELECT manifest_id, parent AS id, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT o.manifest_id, o.id, o.circle IS NOT NULL AS in_circle, o.circle, s.depth, s.roots, s.n_paths, coalesce(d.n, 0) AS n_descendants FROM o JOIN s ON s.manifest_id = o.manifest_id AND s.place = o.head LEFT JOIN d ON d.manifest_id = o.manifest_id AND d.id = o.id""",
+    "p1_paths": _TRAILS
+    + "SELECT o.manifest_id, o.id, t.root, array_to_string(list_append(t.path[1:len(t.path) - 1], o.id), '/') AS path, CAST(len(t.path) - 1 AS INTEGER) AS depth, t.hit AS through_circle FROM t JOIN o ON o.manifest_id = t.manifest_id AND o.head = t.place",
+    "p2_subsystems": _TREE.replace("j.value AS node", "j.value AS node, 0 AS depth").replace("CAST(j.key AS BIGINT), j.value FROM t", "CAST(j.key AS BIGINT), j.value, t.depth + 1 FROM t")
+    + "SELECT DISTINCT record_id, parent_key, pos, node ->> '$.id' AS child_key, CAST(depth AS INTEGER) AS depth, node ->> '$.name' AS name, node ->> '$.domain' AS domain, node ->> '$.status' AS status, node ->> '$.filePath' AS file_path, "
+    + ", ".join(_LIST.format(x) for x in ("interfaces", "operations", "tables", "events", "dependencies"))
+    + " FROM t",
     "p1_found": _REACH + "SELECT DISTINCT manifest_id, child AS id FROM r WHERE child = parent",
     "p1_descendants": _REACH + "SELECT manifest_id, parent AS id, child AS descendant FROM r",
     "p2_found": _TREE
