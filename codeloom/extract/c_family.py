@@ -374,19 +374,21 @@ def _imports(src: Source, out: dict[str, list]) -> None:
         symbols, wild = [], False
         if language in ("Java", "Kotlin"):
             wild = bool(m[2])
-            source, _, last = (m[1], "", "") if wild else m[1].rpartition(".")
-            if not wild:
+            dotted = not wild and "." in m[1]
+            source, _, last = m[1].rpartition(".") if dotted else (m[1], "", "")
+            if dotted:
                 symbols = [symbol(last, m[3] if language == "Kotlin" else None)]
         elif language == "Scala":
             wild = m[2] in ("_", "*")
-            source, _, last = (m[1], "", "") if m[2] else m[1].rpartition(".")
+            dotted = not m[2] and "." in m[1]
+            source, _, last = m[1].rpartition(".") if dotted else (m[1], "", "")
             if m[2] and m[2].startswith("{"):
                 for one in split_top(m[2][1:-1]):
                     name, _, alias = re.sub(r"\s*=>\s*|\s+as\s+", "\0", one).partition("\0")
                     wild |= name in ("_", "*")
                     if name not in ("_", "*"):
                         symbols.append(symbol(name, alias or None))
-            elif not m[2]:
+            elif dotted:
                 symbols = [symbol(last)]
         elif language == "CSharp":
             source, wild = m[2], "." not in m[2]

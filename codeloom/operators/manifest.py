@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
-from codeloom.runtime import broadcast_if_small
+from codeloom.runtime import broadcast_if_small, cut
 
 #: Characters on which names meet before they are compared.
 GRAM = 4
@@ -82,27 +82,30 @@ def coverage(matched: DataFrame) -> DataFrame:
     return matched.agg(F.count("*").alias("total_entities"), hit.alias("n_matched")).withColumn("coverage_percent", F.when(F.col("total_entities") == 0, 100.0).otherwise(F.col("n_matched") * 100.0 / F.col("total_entities")))
 
 
-def _grams(text: Column) -> Column:
-    """All distinct parts of up to GRAM characters."""
+def _parts_of(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(n, h) of the texts n of needles that are a part of a text h of hay.
+
+    A needle begins with one of the parts of GRAM characters of a text it is a part of, or is such a shorter part itself; they meet on it.
+    """
+    lengths = sorted(r[0] for r in needles.select(F.least(F.length("n"), F.lit(GRAM))).distinct().collect())  # at most GRAM rows
+    text = F.col("h")
     cuts = lambda k: F.when(F.length(text) >= k, F.transform(F.sequence(F.lit(1), F.length(text) - k + 1), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[cuts(k) for k in range(1, GRAM + 1)]))
+    grams = F.array_distinct(F.concat(F.array().cast("array<string>"), *[cuts(k) for k in lengths]))
+    return needles.withColumn("g", F.substring("n", 1, GRAM)).join(hay.withColumn("g", F.explode(grams)), "g").where(F.contains("h", F.col("n"))).select("n", "h")
 
 
 def candidates(unmatched: DataFrame, subsystems: DataFrame) -> DataFrame:
     """(manifest_id, name, candidates): subsystems of the manifest of whose id or name the entity's name is a part, or the other way round, in any case.
 
-    A text that is a part of another begins with one of the other's parts of GRAM characters (or is such a part, if it is
-    shorter). So texts meet on a manifest and such a part, and only those that meet are compared; empty texts are part of none.
+    Distinct texts are compared once, whatever manifests they are in, and only those that meet on a part; empty texts are part of none.
     """
     ents = unmatched.select("manifest_id", "name", F.lower("name").alias("e")).where("name <> '' and manifest_id is not null").distinct()
-    labels = subsystems.select("manifest_id", "id", F.explode(F.array_distinct(F.array(F.lower("id"), F.lower("name")))).alias("s")).where("s <> ''").distinct()
-    words = ents.select("manifest_id", "e").distinct()
-    shown = labels.select("manifest_id", "s").distinct()
-    start = lambda c: F.substring(c, 1, GRAM).alias("g")
-    inside = shown.select("manifest_id", "s", start("s")).join(words.select("manifest_id", "e", F.explode(_grams(F.col("e"))).alias("g")), ["manifest_id", "g"]).where(F.contains("e", F.col("s")))
-    around = words.select("manifest_id", "e", start("e")).join(shown.select("manifest_id", "s", F.explode(_grams(F.col("s"))).alias("g")), ["manifest_id", "g"]).where(F.contains("s", F.col("e")))
-    met = inside.select("manifest_id", "e", "s").unionByName(around.select("manifest_id", "e", "s")).distinct()
-    return met.join(labels, ["manifest_id", "s"]).select("manifest_id", "e", "id").distinct().join(ents, ["manifest_id", "e"]).groupBy("manifest_id", "name").agg(F.array_sort(F.collect_set("id")).alias("candidates"))
+    labels = subsystems.select("manifest_id", "id", F.explode(F.array_distinct(F.array(F.lower("id"), F.lower("name")))).alias("s")).where("s <> '' and manifest_id is not null").distinct()
+    words, shown = cut(ents.select("e").distinct()), cut(labels.select("s").distinct())
+    inside = _parts_of(shown.select(F.col("s").alias("n")), words.select(F.col("e").alias("h"))).select(F.col("h").alias("e"), F.col("n").alias("s"))
+    around = _parts_of(words.select(F.col("e").alias("n")), shown.select(F.col("s").alias("h"))).select(F.col("n").alias("e"), F.col("h").alias("s"))
+    met = inside.unionByName(around).distinct()
+    return met.join(ents, "e").join(labels, ["manifest_id", "s"]).groupBy("manifest_id", "name").agg(F.array_sort(F.collect_set("id")).alias("candidates"))
 
 
 def rollup(subsystems: DataFrame, matched: DataFrame) -> DataFrame:
