@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import tomllib
+from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
+from codeloom.runtime import ranked
 
 # Defaults of a scan, artifact directories by language, and files whose conflicts show a broken state.
 DEFAULT_EXCLUDES = ("**/node_modules/**", "**/target/**", "**/dist/**", "**/build/**", "**/.git/**", "**/vendor/**", "**/__pycache__/**")
@@ -56,6 +59,47 @@ def walk(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     return known.select("path", "language", "content", F.sha2("content", 256).alias("content_hash"), "mtime", "size")
 
 
+def ignore_files(files: DataFrame, root: str, name: str = ".gitignore") -> DataFrame:
+    """(path, content) of the ignore files in the directories of files and above, root being a folder that all executors see.
+
+    Spark's own readers leave hidden files out, so each directory is asked by the task that has it; from a table, take the rows of that name.
+    """
+    dirs = files.select(F.explode(F.array_union(F.array(F.lit("")), paths.ancestors(paths.parent(F.col("path"))))).alias("dir")).distinct()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(f"{d}/{name}" if d else name, f.read_bytes()) for d in pdf["dir"] if (f := Path(root, d, name)).is_file()]
+            yield pd.DataFrame(found, columns=["path", "content"])
+
+    return dirs.mapInPandas(run, "path string, content binary")
+
+
+def ignore_rules(ignoring: DataFrame) -> DataFrame:
+    """(dir, ignored, kept) of ignore files (path, content): their directory, and regular expressions on paths from there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rules = [ignore_pattern(bytes(c or b"").decode("utf-8", "replace").splitlines()) for c in pdf["content"]]
+            yield pd.DataFrame({"dir": pdf["dir"], "ignored": [r[0] for r in rules], "kept": [r[1] for r in rules]})
+
+    return ignoring.select(paths.parent(F.col("path")).alias("dir"), "content").mapInPandas(run, "dir string, ignored string, kept string")
+
+
+def without_ignored(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """files (path and more) that no ignore file in a directory above names; of several that speak about a file the deepest decides."""
+    dirs = F.array_union(F.array(F.lit("")), paths.ancestors(paths.parent(F.col("path"))))
+    above = files.select("path").distinct().withColumn("dir", F.explode(dirs))
+    met = above.join(rules, "dir").withColumn("rest", F.when(F.col("dir") == "", F.col("path")).otherwise(F.substring("path", F.length("dir") + 2, F.length("path"))))
+    keeps, drops = F.expr("rest rlike kept"), F.expr("rest rlike ignored")
+    verdict = met.where(keeps | drops).groupBy("path").agg(F.max(F.struct(F.length("dir").alias("deep"), keeps.alias("kept"))).alias("v"))
+    return files.join(verdict.where("not v.kept").select("path"), "path", "left_anti")
+
+
+def in_walk_order(files: DataFrame) -> DataFrame:
+    """files with walk_ord: their place when directories are walked in order of names, component by component."""
+    return ranked(files, [F.asc(F.split("path", "/"))], "walk_ord")
+
+
 def in_repositories(files: DataFrame) -> DataFrame:
     """A table of files of several repositories as one tree: path becomes repo/path."""
     return files.withColumn("path", F.concat_ws("/", "repo", "path"))

@@ -250,3 +250,28 @@ def test_streaming(spark, tmp_path):
         spark.createDataFrame(part, kind).write.mode("append").parquet(folder)
         ingest.ingest(spark, folder, kind, str(tmp_path / "store"), str(tmp_path / "check")).awaitTermination()
     assert cache.load(spark, str(tmp_path / "store")).count() == 3
+
+
+def test_nested_ignore_files_and_walk_order(spark, tmp_path):
+    for name in ("a/x.ts", "a/gen/y.ts", "a/gen/keep.ts", "a.b/z.ts", "b/gen/y.ts", "b/skip.ts", "b/c/skip.ts"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("export class A {}")
+    (tmp_path / ".gitignore").write_text("# all\nskip.ts\n")
+    (tmp_path / "a/.gitignore").write_text("gen/\n!keep.ts\n")
+    (tmp_path / "b/c/.gitignore").write_text("!skip.ts\n")
+    found = sources.walk(spark, str(tmp_path))
+    left = sources.without_ignored(found, sources.ignore_rules(sources.ignore_files(found, str(tmp_path))))
+    assert [r["path"] for r in sources.in_walk_order(left).orderBy("walk_ord").collect()] == ["a/gen/keep.ts", "a/x.ts", "a.b/z.ts", "b/c/skip.ts", "b/gen/y.ts"]
+
+
+def test_further_lookups(spark):
+    ir = scanner.ir_files(spark.createDataFrame([("src/a.ts", "TypeScript", b"@Controller('/p')\nexport class S { @Get('/x')\n async go(): Promise<void> {} }\nexport interface I { m(): void }\n"), ("lib/b.rs", "Rust", b"impl T for X { fn m(&self) {} }")], "path string, language string, content binary"))
+    from codeloom.operators import query, sinks, tables, work
+
+    assert [tuple(r) for r in query.service_table(ir, show_routes=True).collect()] == [("S", "src/a.ts", "http_controller", 1, ["GET /x"])]
+    assert query.impl_table(ir, "T", True).first()["methods"] == ["m"] and query.interfaces(ir, "I", True).first()["methods"] == ["m"]
+    assert {r["owner_kind"] for r in query.method_filter(tables.methods(ir), is_async=True).collect()} == {"class", "service"}
+    assert query.file_by_path(ir, "lib/b.rs").count() == 1 and query.build_status_map(ir).count() == 2
+    dealt = {(r["agent"], r["path"]) for r in work.hybrid(ir, 3).collect()}
+    assert {a for a, _ in dealt} >= {1, 2, 3} and {p for _, p in dealt} == {"src/a.ts", "lib/b.rs"}
+    assert [r[0] for r in sinks.table_lines(spark.createDataFrame([("a", None), ("bbbbbbb", 2)], "name string, n int")).collect()] == ["a", "bbbbbbb  2"]
