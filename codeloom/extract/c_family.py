@@ -14,7 +14,7 @@ SWIFT_SERVICES = {"Service": "microservice", "Controller": "http_controller", "R
 JAVA_VERBS = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "PatchMapping": "PATCH", "DeleteMapping": "DELETE", "RequestMapping": "GET"}
 CSHARP_VERBS = {"HttpGet": "GET", "HttpPost": "POST", "HttpPut": "PUT", "HttpPatch": "PATCH", "HttpDelete": "DELETE"}
 
-_MODS = r"(?P<mods>(?:(?:public|private|protected|internal|fileprivate|open|package|static|final|abstract|sealed|non-sealed|partial|readonly|data|enum|annotation|inline|value|inner|companion|override|suspend|virtual|async|case|implicit|lazy|indirect|mutating|class|required|convenience|unsafe|new|extern|file|strictfp|default|native|synchronized|transient|volatile|const|tailrec|operator|infix|external|lateinit|var|weak|unowned)(?:\[\w*\]|\(set\))?\s++)*?)"
+_MODS = r"(?P<mods>(?:(?:public|private|protected|internal|fileprivate|open|package|static|final|abstract|sealed|non-sealed|partial|readonly|data|enum|annotation|inline|value|inner|companion|override|suspend|virtual|async|case|implicit|lazy|indirect|mutating|class|required|convenience|unsafe|new|extern|file|strictfp|default|native|synchronized|transient|volatile|const|tailrec|operator|infix|external|lateinit|var|weak|unowned)(?:\[\w*\]|\(set\))?\s++)*)"
 _KEYWORDS = {
     "Java": "class|interface|@interface|enum|record", "CSharp": "class|interface|struct|enum|record(?:\\s+(?:struct|class))?", "Kotlin": "class|interface|object", "Scala": "class|trait|object",
     "Swift": "class|struct|enum|protocol|extension|actor", "Cpp": "class|struct", "PHP": "class|interface|trait",

@@ -80,6 +80,25 @@ def small_files(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(F.concat(F.lit("small/k"), text("s_suppkey"), F.lit("."), F.col("ext")).alias("path"), "language", F.encode(F.regexp_replace("body", "(?<![A-Z])([ABRTOf])K", F.concat(F.lit("$1"), text("s_suppkey"))), "utf-8").alias("content"))
 
 
+#: What the members of the small files are: (extension, owner, name, line, visibility, static, parameters, return type) of methods,
+#: (extension, interface, method, has a default), (extension, schema, framework, field, type, optional, key), (extension, source, symbols, wildcard).
+MEMBERS = [
+    ("py", "BK", "run", 7, "unknown", False, 1, "int"), ("rs", "BK", "m", 10, "private", False, 1, "i32"), ("go", "BK", "M", 12, "public", False, 2, "error"), ("java", "BK", "m", 10, "public", False, 1, "int"),
+    ("scala", "BK", "m", 8, "public", False, 1, "Int"), ("cs", "BK", "M", 11, "public", False, 1, "int"), ("swift", "BKService", "m", 11, "internal", False, 1, "Int"), ("cpp", "AK", "m", 4, "public", False, 1, "int"),
+    ("php", "BK", "m", 13, "public", False, 1, "int"), ("rb", "BK", "run", 9, "public", True, 2, None),
+]
+SIGNATURES = [(e, "AK", "M" if e in ("go", "cs") else "m", e == "rb") for e in ("rs", "go", "java", "kt", "scala", "cs", "swift", "cpp", "php", "rb")]
+FIELDS = [
+    ("py", "BK", "pydantic", "x", None, False, False), ("rs", "BK", "serde", "x", "Option<i32>", True, False), ("go", "BK", "go-tags", "X", "int", False, False), ("java", "RK", "java-record", "a", "int", False, False),
+    ("java", "RK", "java-record", "b", "String", False, False), ("kt", "BK", "kotlin-data-class", "x", "Int", False, False), ("kt", "BK", "kotlin-data-class", "y", "String?", True, False),
+    ("cs", "BK", "ef-core", "X", "int", False, True), ("swift", "BKService", "codable", "x", "Int?", True, False), ("cpp", "BK", "cpp-struct", "x", "int", False, False), ("cpp", "BK", "cpp-struct", "y", "double", False, False),
+]
+IMPORTED = [
+    ("py", "os", "", False), ("rs", "std::fmt", "Display", False), ("go", "fmt", "fmt", False), ("java", "java.util", "List", False), ("kt", "a.b", "C", False), ("scala", "a", "B,C as D", False),
+    ("cs", "System", "", True), ("swift", "Foundation", "", True), ("cpp", "vector", "", True), ("php", "A\\B", "B", False), ("rb", "set", "", False),
+]
+
+
 def barrel_files(spark: SparkSession, root: str) -> DataFrame:
     """One file per directory that exports the interfaces of its files again."""
     line = F.concat(F.lit("export { IS"), text("s_suppkey"), F.lit(' } from "./s'), text("s_suppkey"), F.lit('";\n'))
@@ -132,6 +151,24 @@ def scan_small_entities(spark: SparkSession, root: str) -> DataFrame:
     return tables.entities(stored(scanner.ir_files(small_files(spark, root)))).select("language", "kind", "name", "file", "line")
 
 
+def scan_small_members(spark: SparkSession, root: str) -> DataFrame:
+    rows = tables.methods(stored(scanner.ir_files(small_files(spark, root)))).where("owner_kind <> 'service'")
+    return rows.select("file", "owner_name", "name", "line", "visibility", "is_static", "n_parameters", "return_type")
+
+
+def scan_small_signatures(spark: SparkSession, root: str) -> DataFrame:
+    return tables.interface_methods(scanner.ir_files(small_files(spark, root))).select("file", "interface", "name", "has_default")
+
+
+def scan_small_fields(spark: SparkSession, root: str) -> DataFrame:
+    return tables.fields(scanner.ir_files(small_files(spark, root))).select("file", "schema", "source_framework", "name", "type_annotation", "is_optional", "is_primary_key")
+
+
+def scan_small_imports(spark: SparkSession, root: str) -> DataFrame:
+    named = F.transform("symbols", lambda x: F.concat_ws(" as ", x.getField("name"), x.getField("alias")))
+    return tables.imports(scanner.ir_files(small_files(spark, root))).select("file", "source", F.array_join(named, ",").alias("symbols"), "is_wildcard")
+
+
 def scan_services(spark: SparkSession, root: str) -> DataFrame:
     ir = scanner.ir_files(service_files(spark, root))
     rows = ir.select("path", F.explode("services").alias("s")).select("path", "s.*")
@@ -325,7 +362,7 @@ def cache_rescan(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_types_entities, scan_types_stats, scan_types_methods, scan_methods_by_owner, scan_small_entities, scan_services, scan_routes, scan_schema_fields, imports_resolved, exports_by_symbol,
+        scan_types_entities, scan_types_stats, scan_types_methods, scan_methods_by_owner, scan_small_entities, scan_small_members, scan_small_signatures, scan_small_fields, scan_small_imports, scan_services, scan_routes, scan_schema_fields, imports_resolved, exports_by_symbol,
         implementors_map, implementation_links, impl_completeness, rule_violations, validation_summary, partition_concern, focus_filter, field_mask, children_listing, scan_walked_entities, scan_walked_stats,
         rule_violations_broken, validation_summary_broken, exports_resolved, services_with_routes, interfaces_with_methods, implementations_with_methods, partition_hybrid, walked_imports, walked_imports_resolved,
         walked_exports_resolved, walked_connections, walked_rule_violations, walked_routes, walked_schema_fields, walked_async_methods, walked_completeness, walked_links, walked_partition_concern,
@@ -360,12 +397,26 @@ def _imports_sql() -> str:
     return "SELECT file, source, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") x GROUP BY 1, 2"
 
 
+def _small_sql(rows: list[tuple], names: str) -> str:
+    """Each row for each supplier; the first column is the extension, K in the second the key."""
+    shown = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v + "'" if isinstance(v, str) else str(v).lower()
+    values = ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
+    first, *others = names.split(", ")
+    kept = ", ".join(f"CAST({x} AS INTEGER) AS {x}" if x in ("line", "n_parameters") else x for x in others)
+    put = f"replace({first}, 'K', t) AS {first}" if first != "source" else first
+    return _S + f"SELECT 'small/k' || t || '.' || ext AS file, {put}, {kept} FROM s, (VALUES {values}) v(ext, {names})"
+
+
 def _impl_rows() -> str:
     found = [(e, n) for e, (e, _, ents) in ((x, SMALL[x]) for x in SMALL) for k, n, _ in ents if k == "impl"]
     return ", ".join(f"('{e}', '{n}', '{'M' if e == 'go' else 'm'}')" for e, n in found)
 
 
 SQL = {
+    "scan_small_members": _small_sql(MEMBERS, "owner_name, name, line, visibility, is_static, n_parameters, return_type"),
+    "scan_small_signatures": _small_sql(SIGNATURES, "interface, name, has_default"),
+    "scan_small_fields": _small_sql(FIELDS, "schema, source_framework, name, type_annotation, is_optional, is_primary_key"),
+    "scan_small_imports": _small_sql(IMPORTED, "source, symbols, is_wildcard"),
     "walked_imports": _imports_sql(),
     "rule_violations_broken": _broken_sql(),
     "validation_summary_broken": f"SELECT CAST(10 AS BIGINT) AS rules_checked, count(*) FILTER (severity = 'warn') AS warn_count, count(*) FILTER (severity = 'fail') AS fail_count, CAST(8 AS BIGINT) AS pass_count FROM ({_broken_sql()}) v",

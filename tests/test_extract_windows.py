@@ -83,3 +83,12 @@ def test_many_declarations_take_linear_time():
 
     took(100)
     assert took(4_000) < 40 * max(took(400), 0.01)
+
+
+def test_modifiers_are_no_part_of_types():
+    java = scanner.scan(b"public class A {\n  private static final int x = 1;\n  protected synchronized List<String> m(int a) { return null; }\n  @Override public A() {}\n}\n", "Java", "a")["classes"][0]
+    assert [(p["name"], p["type_annotation"], p["visibility"], p["is_readonly"]) for p in java["properties"]] == [("x", "int", "private", True)]
+    assert [(m["name"], m["return_type"], m["visibility"]) for m in java["methods"]][0] == ("m", "List<String>", "protected")
+    cs = scanner.scan(b"class A {\n  public static async Task<int> M(string a) { }\n  internal readonly string X;\n}\n", "CSharp", "a")["classes"][0]
+    assert [(m["return_type"], m["visibility"], m["is_async"], m["is_static"]) for m in cs["methods"]] == [("Task<int>", "public", True, True)]
+    assert [(p["type_annotation"], p["visibility"]) for p in cs["properties"]] == [("string", "internal")]
