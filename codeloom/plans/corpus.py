@@ -32,10 +32,15 @@ SMALL = {
 }
 
 
-#: Extension -> how a line that imports looks like in the languages that write each import on a line; whether its last part is a symbol.
+_LAST = "regexp_replace(m, '\\.[^.]+$', '')"
+_JS_IMPORT = r"import\b[^;\"'']*?[\"'']([^\"''\n]*)[\"'']"
+_CPP_IMPORT = r"(?:#[ \t]*include[ \t]*[<\"]|(?:export\s+)?import\s+)([^>\"\n;]+)[>\";]"
+#: Extension -> how an import looks like in SQL, from the start of a line, and what of the match is its source.
 IMPORT_LINES = {
-    "java": (r"import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", True), "kt": (r"import\s+([\w.]+(?:\.\*)?)(?:\s+as\s+\w+)?[ \t]*;?[ \t]*$", True),
-    "cs": (r"(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;", False), "swift": (r"(?:@\w+\s+)?import\s+([\w.]+)", False), "php": (r"use\s+([\w\\]+)(?:\s+as\s+\w+)?\s*;", False),
+    "java": (r"import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", _LAST), "kt": (r"import\s+([\w.]+(?:\.\*)?)(?:\s+as\s+\w+)?[ \t]*;?[ \t]*$", _LAST),
+    "scala": (r"import\s+([\w.]+(?:\.(?:\{[^}]*\}|\*))?)[ \t]*;?[ \t]*$", "regexp_replace(m, '\\.(\\{[^}]*\\}|[^.]+)$', '')"), "cs": (r"(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([\w.]+)\s*;", "m"),
+    "swift": (r"(?:@\w+\s+)?import\s+([\w.]+)", "m"), "php": (r"use\s+([\w\\]+)(?:\s+as\s+\w+)?\s*;", "m"), "rs": (r"(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", "CASE WHEN contains(m, '{') THEN rtrim(split_part(m, '{', 1), ':') ELSE regexp_replace(m, '::[^:]*$', '') END"),
+    "rb": (r"(?:require_relative|require|include|extend|load)[ \t(]+([^\n#;)]+)", "trim(trim(m), '\"''`')"), "cpp": (_CPP_IMPORT, "m"), "hpp": (_CPP_IMPORT, "m"), "ts": (_JS_IMPORT, "m"), "tsx": (_JS_IMPORT, "m"), "js": (_JS_IMPORT, "m"),
 }
 
 
@@ -292,7 +297,7 @@ def _walked_imports(spark: SparkSession, root: str) -> tuple[DataFrame, DataFram
 
 
 def walked_imports(spark: SparkSession, root: str) -> DataFrame:
-    """Imports of every real source file in the languages that write each on a line of its own."""
+    """Imports of every real source file in the languages in which a pattern can tell an import."""
     rows = tables.imports(_walked(spark, root))
     return rows.where(F.substring_index("file", ".", -1).isin(*IMPORT_LINES)).groupBy("file", "source").agg(F.count("*").alias("n"))
 
@@ -391,8 +396,7 @@ def _broken_sql() -> str:
 def _imports_sql() -> str:
     """Lines of the decoded files; those within block comments or literals would differ, and there are none."""
     parts = []
-    for ext, (line, symbol) in IMPORT_LINES.items():
-        source = "regexp_replace(m, '\\.[^.]+$', '')" if symbol else "m"
+    for ext, (line, source) in IMPORT_LINES.items():
         parts.append(f"SELECT file, {source} AS source FROM (SELECT repo || '/' || path AS file, unnest(regexp_extract_all(replace(decode(content), chr(13), chr(10)), '(?m)^[ \\t]*{line}', 1)) AS m FROM walked_files WHERE path LIKE '%.{ext}')")
     return "SELECT file, source, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") x GROUP BY 1, 2"
 
