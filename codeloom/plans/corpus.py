@@ -44,6 +44,16 @@ IMPORT_LINES = {
 }
 
 
+_TYPE_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|data|open|case|export|default|declare|partial|readonly|fileprivate|indirect|inner|value|annotation|override|implicit|lazy)\s+)*"
+#: (extension, kind) -> how the line looks on which a type is declared, where a pattern can tell.
+TYPE_LINES = {
+    ("rs", "class"): r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|union)\s+(\w+)", ("rs", "interface"): r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)",
+    ("go", "class"): r"^type\s+(\w+)(?:\[[^\]]*\])?\s+struct\s*\{", ("go", "interface"): r"^type\s+(\w+)(?:\[[^\]]*\])?\s+interface\s*\{",
+    ("rb", "class"): r"^[ \t]*class\s+([\w:]+)", ("rb", "interface"): r"^[ \t]*module\s+([\w:]+)",
+    **{(e, k): rf"^[ \t]*{_TYPE_MODS}(?:{w})\s+(\w+)" for e, k, w in (("java", "class", "class|record"), ("java", "interface", "interface"), ("kt", "class", "class|object"), ("kt", "interface", "interface"), ("scala", "class", "class|object"), ("scala", "interface", "trait"), ("php", "class", "class"), ("php", "interface", "interface|trait"), ("cs", "interface", "interface"), ("swift", "interface", "protocol"), ("ts", "interface", "interface"))},
+}
+
+
 def _suppliers(spark: SparkSession, root: str) -> DataFrame:
     nations = read(spark, root, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))).alias("dir"))
     return read(spark, root, "supplier").select("s_suppkey", "s_nationkey").join(F.broadcast(nations), "s_nationkey")  # nation is a fixed table of 25 rows
@@ -302,6 +312,12 @@ def walked_imports(spark: SparkSession, root: str) -> DataFrame:
     return rows.where(F.substring_index("file", ".", -1).isin(*IMPORT_LINES)).groupBy("file", "source").agg(F.count("*").alias("n"))
 
 
+def walked_types(spark: SparkSession, root: str) -> DataFrame:
+    """Types of every real source file, of the kinds in which a pattern can tell them."""
+    known = F.concat_ws(" ", F.substring_index("file", ".", -1), "kind").isin(*[" ".join(x) for x in TYPE_LINES])
+    return tables.entities(stored(_walked(spark, root))).where(known).groupBy("file", "kind", "name").agg(F.count("*").alias("n"))
+
+
 def walked_imports_resolved(spark: SparkSession, root: str) -> DataFrame:
     return _walked_imports(spark, root)[1].select("file", "source", "resolved_path", F.array_join("symbols", ",").alias("symbols"), "import_ord")
 
@@ -369,7 +385,7 @@ QUERIES = {
     for f in (
         scan_types_entities, scan_types_stats, scan_types_methods, scan_methods_by_owner, scan_small_entities, scan_small_members, scan_small_signatures, scan_small_fields, scan_small_imports, scan_services, scan_routes, scan_schema_fields, imports_resolved, exports_by_symbol,
         implementors_map, implementation_links, impl_completeness, rule_violations, validation_summary, partition_concern, focus_filter, field_mask, children_listing, scan_walked_entities, scan_walked_stats,
-        rule_violations_broken, validation_summary_broken, exports_resolved, services_with_routes, interfaces_with_methods, implementations_with_methods, partition_hybrid, walked_imports, walked_imports_resolved,
+        rule_violations_broken, validation_summary_broken, exports_resolved, services_with_routes, interfaces_with_methods, implementations_with_methods, partition_hybrid, walked_imports, walked_types, walked_imports_resolved,
         walked_exports_resolved, walked_connections, walked_rule_violations, walked_routes, walked_schema_fields, walked_async_methods, walked_completeness, walked_links, walked_partition_concern,
         walked_partition_hybrid, partition_by_directory, cache_rescan,
     )
@@ -401,6 +417,11 @@ def _imports_sql() -> str:
     return "SELECT file, source, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") x GROUP BY 1, 2"
 
 
+def _types_sql() -> str:
+    parts = [f"SELECT file, '{kind}' AS kind, name FROM (SELECT repo || '/' || path AS file, unnest(regexp_extract_all(replace(decode(content), chr(13), chr(10)), '(?m){line}', 1)) AS name FROM walked_files WHERE path LIKE '%.{ext}')" for (ext, kind), line in TYPE_LINES.items()]
+    return "SELECT file, kind, name, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") x GROUP BY 1, 2, 3"
+
+
 def _small_sql(rows: list[tuple], names: str) -> str:
     """Each row for each supplier; the first column is the extension, K in the second the key."""
     shown = lambda v: "CAST(NULL AS VARCHAR)" if v is None else "'" + v + "'" if isinstance(v, str) else str(v).lower()
@@ -422,6 +443,7 @@ SQL = {
     "scan_small_fields": _small_sql(FIELDS, "schema, source_framework, name, type_annotation, is_optional, is_primary_key"),
     "scan_small_imports": _small_sql(IMPORTED, "source, symbols, is_wildcard"),
     "walked_imports": _imports_sql(),
+    "walked_types": _types_sql(),
     "rule_violations_broken": _broken_sql(),
     "validation_summary_broken": f"SELECT CAST(10 AS BIGINT) AS rules_checked, count(*) FILTER (severity = 'warn') AS warn_count, count(*) FILTER (severity = 'fail') AS fail_count, CAST(8 AS BIGINT) AS pass_count FROM ({_broken_sql()}) v",
     "exports_resolved": _S + """SELECT file, 'IS' || t AS name, file AS origin_file, NULL AS via_file FROM s UNION ALL SELECT file, 'CS' || t, file, NULL FROM s
