@@ -23,10 +23,7 @@ def path_index(files: DataFrame, root: str = "") -> DataFrame:
 
 def _candidates():
     exact = lambda x: [x] + [F.concat(x, F.lit(f".{e}")) for e in EXTENSIONS] + [F.concat(x, F.lit(f"/index.{e}")) for e in INDEX_EXTENSIONS]
-    source = F.col("source")
-    relative = source.rlike(r"^\.\.?/")
-    at = paths.normalized(F.concat_ws("/", F.when(paths.parent(F.col("file")) != "", paths.parent(F.col("file"))), source))
-    return F.when(relative, F.array(source, *exact(at))).otherwise(F.array(*exact(source)))
+    return F.when(F.col("at").isNotNull(), F.array("source", *exact(F.col("at")))).otherwise(F.array(*exact(F.col("source"))))
 
 
 def resolve_imports(imports: DataFrame, index: DataFrame) -> DataFrame:
@@ -34,12 +31,15 @@ def resolve_imports(imports: DataFrame, index: DataFrame) -> DataFrame:
 
     A source is looked up as it stands; else one that starts with ./ or ../ from its file's directory, with and without
     each extension, and any other with each extension and as a directory's index. The first key that exists wins.
+    What several imports would look up alike is looked up once. Spark guesses these tables by the bytes of compressed
+    files, however many rows each gives, so they are merged and never sent to the driver for a broadcast.
     """
-    keyed = imports.withColumn("uid", F.struct("file", "import_ord"))
-    tries = keyed.select("uid", F.posexplode(_candidates()).alias("priority", "key"))
-    hits = tries.join(index.withColumnRenamed("file", "target"), "key").groupBy("uid").agg(F.min(F.struct("priority", "target")).alias("best"))
+    keyed = imports.withColumn("dir", F.when(F.col("source").rlike(r"^\.\.?/"), paths.parent(F.col("file"))).otherwise(""))
+    asked = keyed.select("source", "dir").distinct().withColumn("at", F.when(F.col("source").rlike(r"^\.\.?/"), paths.normalized(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "source"))))
+    tries = asked.select("source", "dir", F.posexplode(_candidates()).alias("priority", "key"))
+    hits = tries.join(index.withColumnRenamed("file", "target").hint("merge"), "key").groupBy("source", "dir").agg(F.min(F.struct("priority", "target")).alias("best"))
     names = F.when(F.col("is_wildcard"), F.array(F.lit("*"))).otherwise(F.transform("symbols", lambda s: F.when(s.getField("alias").isNotNull(), F.concat(s.getField("name"), F.lit(" as "), s.getField("alias"))).otherwise(s.getField("name"))))
-    return keyed.join(hits, "uid", "left").select("file", "source", F.col("best.target").alias("resolved_path"), names.alias("symbols"), "is_wildcard", "import_ord")
+    return keyed.join(hits.hint("merge"), ["source", "dir"], "left").select("file", "source", F.col("best.target").alias("resolved_path"), names.alias("symbols"), "is_wildcard", "import_ord")
 
 
 def resolve_exports(exports: DataFrame, imports_resolved: DataFrame) -> DataFrame:
