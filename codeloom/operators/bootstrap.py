@@ -53,8 +53,8 @@ def subsystems(files: DataFrame, min_files: int = 1) -> DataFrame:
     groups = directory_groups(files)
     fine = groups.groupBy("domain", "subsystem").agg(F.count("*").alias("n_files")).where(F.col("n_files") >= min_files)
     ident = F.when(F.col("domain") == F.col("subsystem"), F.col("domain")).otherwise(F.concat_ws("-", "domain", "subsystem"))
-    made = fine.join(common_prefix(groups, ["domain", "subsystem"]), ["domain", "subsystem"]).select(ident.alias("base"), names.humanized(F.col("subsystem")).alias("name"), "domain", "prefix", "n_files")
-    coarse = groups.groupBy("domain").agg(F.count("*").alias("n_files")).join(common_prefix(groups, ["domain"]), "domain").select(F.col("domain").alias("base"), names.humanized(F.col("domain")).alias("name"), "domain", "prefix", "n_files")
+    made = fine.join(common_prefix(groups, ["domain", "subsystem"]).hint("merge"), ["domain", "subsystem"]).select(ident.alias("base"), names.humanized(F.col("subsystem")).alias("name"), "domain", "prefix", "n_files")
+    coarse = groups.groupBy("domain").agg(F.count("*").alias("n_files")).join(common_prefix(groups, ["domain"]).hint("merge"), "domain").select(F.col("domain").alias("base"), names.humanized(F.col("domain")).alias("name"), "domain", "prefix", "n_files")
     none = fine.limit(1).agg(F.count("*").alias("k"))
     both = made.unionByName(coarse.join(F.broadcast(none)).where("k = 0").drop("k"))
     return unique_ids(both, "base", ["domain", "prefix"]).select("id", "name", "domain", F.lit("new").alias("status"), F.col("prefix").alias("file_path"), "n_files")
@@ -67,10 +67,14 @@ def unique_ids(rows: DataFrame, base: str, order: list[str]) -> DataFrame:
 
 
 def path_subsystem(files: DataFrame, subs: DataFrame) -> DataFrame:
-    """(path, id): the subsystem with the deepest path above a file; paths are taken as they are."""
+    """(path, id): the subsystem with the deepest path above a file; paths are taken as they are.
+
+    Spark guesses the directories above all files as small as the compressed column of paths. Only the subsystems are ever
+    broadcast, if they were counted to be few; else both sides are merged.
+    """
     at = subs.where("coalesce(file_path, '') <> ''").select("id", paths.trimmed(F.col("file_path")).alias("at"), "ord").withColumn("deep", paths.depth(F.col("at")))
     up = files.select("path").distinct().withColumn("at", F.explode(paths.ancestors(F.col("path"))))
-    best = up.join(at, "at").groupBy("path").agg(F.min(F.struct((-F.col("deep")).alias("d"), "ord", "id")).alias("b"))
+    best = up.join(F.broadcast(at) if is_small(at) else at.hint("merge"), "at").groupBy("path").agg(F.min(F.struct((-F.col("deep")).alias("d"), "ord", "id")).alias("b"))
     return best.select("path", F.col("b.id").alias("id"))
 
 
@@ -82,7 +86,7 @@ def import_subsystem(imports: DataFrame, subs: DataFrame) -> DataFrame:
     numbered = imports.withColumn("uid", F.monotonically_increasing_id())
     relative = F.startswith("source", F.lit("."))
     near = numbered.where(relative).withColumn("path", paths.normalized(F.concat_ws("/", F.when(paths.parent(F.col("file")) != "", paths.parent(F.col("file"))), "source"), True))
-    near = near.join(path_subsystem(near, subs), "path", "left").select("file", "source", F.col("id").alias("to"))
+    near = near.join(path_subsystem(near, subs).hint("merge"), "path", "left").select("file", "source", F.col("id").alias("to"))
     labels = F.array_union(F.array(F.lower("id"), F.regexp_replace(F.lower("name"), " ", "-"), F.regexp_replace(F.lower("name"), " ", "_")), F.split(F.lower("file_path"), "/"))
     keys = subs.select("id", "ord", F.explode(F.array_distinct(labels)).alias("part")).where("part <> ''").groupBy("part").agg(F.min(F.struct("ord", "id")).alias("b"))
     parts = F.filter(F.split("source", "[/:]+"), lambda p: (p != "") & ~p.isin("crate", "super", "self", "@", "src", "lib"))
@@ -101,7 +105,7 @@ def connections(files: DataFrame, imports: DataFrame, subs: DataFrame) -> DataFr
     """(from, to, weight, label, type): imports between subsystems, counted and capped."""
     ordered = ranked(subs, [F.asc("id")], "ord") if "ord" not in subs.columns else subs  # subsystems of one manifest
     here = path_subsystem(files, ordered).withColumnsRenamed({"path": "file", "id": "from"})
-    edges = import_subsystem(imports, ordered).where("to is not null").join(here, "file").where("`from` <> `to`").groupBy("from", "to").agg(F.count("*").alias("weight"))
+    edges = import_subsystem(imports, ordered).where("to is not null").join(here.hint("merge"), "file").where("`from` <> `to`").groupBy("from", "to").agg(F.count("*").alias("weight"))
     return capped(edges).withColumn("label", F.concat_ws(" → ", "from", "to")).withColumn("type", F.lit("depends_on"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import resolve, tables
+from codeloom.operators import bootstrap, resolve, tables
 
 FILES = 400
 
@@ -39,3 +39,19 @@ def test_imports_are_resolved_without_broadcast(ir):
         to = f"repo/part{i % 7}/src/f{i + 7}.ts" if i + 7 < FILES else None
         assert rows[f"repo/part{i % 7}/src/f{i}.ts", f"./f{i + 7}"] == to
         assert rows[f"repo/part{i % 7}/src/f{i}.ts", "part0/f0"] is None
+
+
+def test_connections_broadcast_no_files(ir, monkeypatch):
+    """walked_connections: subsystems counted to be too many are not broadcast, and directories of files never."""
+    files = ir.select("path")
+    known = ir.sparkSession.createDataFrame([(f"s{k}", f"part{k}", f"repo/part{k}", k) for k in range(7)], "id string, name string, file_path string, ord int")
+    imports = tables.imports(ir).select("file", "source")
+    want = [("s%d" % k, "s0", len(range(k, FILES, 7))) for k in range(1, 7)]
+    for few in (True, False):
+        monkeypatch.setattr(bootstrap, "is_small", lambda df, few=few: few)
+        placed = bootstrap.path_subsystem(files, known)
+        assert broadcasts(placed) == few and placed.count() == FILES
+        links = bootstrap.connections(files, imports, known)
+        assert sorted((r["from"], r["to"], r["weight"]) for r in links.collect()) == want
+    plan = bootstrap.path_subsystem(files, known)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
