@@ -78,12 +78,12 @@ def interface_files(interfaces: DataFrame) -> DataFrame:
 def implementation_links(edges: DataFrame, interfaces: DataFrame, imports_resolved: DataFrame | None = None) -> DataFrame:
     """edges with interface_file: a file that defines the name, else one that an import which names it (or takes all) resolves to."""
     named = interface_files(interfaces)
-    out = edges.join(named, "interface_name", "left")
+    out = edges.join(named.hint("merge"), "interface_name", "left")  # guessed too small, as in resolve_imports
     if imports_resolved is None:
         return out
     through = imports_resolved.where("resolved_path is not null").select(F.col("file").alias("impl_file"), "import_ord", "resolved_path", F.explode("symbols").alias("symbol"))
     through = through.withColumn("interface_name", F.regexp_replace(F.col("symbol"), r"^.* as ", "")).groupBy("impl_file", "interface_name").agg(F.min(F.struct("import_ord", "resolved_path")).alias("first"))
-    return out.join(through, ["impl_file", "interface_name"], "left").withColumn("interface_file", F.coalesce("interface_file", "first.resolved_path")).drop("first")
+    return out.join(through.hint("merge"), ["impl_file", "interface_name"], "left").withColumn("interface_file", F.coalesce("interface_file", "first.resolved_path")).drop("first")
 
 
 def missing_methods(edges: DataFrame, interface_methods: DataFrame, methods: DataFrame) -> DataFrame:

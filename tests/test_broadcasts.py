@@ -41,6 +41,16 @@ def test_imports_are_resolved_without_broadcast(ir):
         assert rows[f"repo/part{i % 7}/src/f{i}.ts", "part0/f0"] is None
 
 
+def test_links_are_made_without_broadcast(ir):
+    """walked_links"""
+    imports = resolve.resolve_imports(tables.imports(ir), resolve.path_index(ir))
+    edges = ir.select(F.concat(F.lit("X"), F.substring("path", 1, 0)).alias("interface_name"), F.concat(F.lit("C"), F.hash("path")).alias("implementor"), F.col("path").alias("impl_file"))
+    out = resolve.implementation_links(edges, ir.select(F.concat(F.lit("I"), "path").alias("name"), F.col("path").alias("file")), imports)
+    assert broadcasts(out) == 0
+    rows = {r["impl_file"]: r["interface_file"] for r in out.collect()}
+    assert rows == {f"repo/part{i % 7}/src/f{i}.ts": f"repo/part{i % 7}/src/f{i + 7}.ts" if i + 7 < FILES else None for i in range(FILES)}
+
+
 def test_connections_broadcast_no_files(ir, monkeypatch):
     """walked_connections: subsystems counted to be too many are not broadcast, and directories of files never."""
     files = ir.select("path")
