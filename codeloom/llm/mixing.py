@@ -17,9 +17,14 @@ collection.
 
 from __future__ import annotations
 
+import tempfile
 from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +33,10 @@ from codeloom.runtime import broadcast_if_small, cut
 
 #: Sources that a mix may have, as it is read into the driver.
 MAX_SOURCES = 10_000
-#: Cells of patterns times sources that the driver holds. Sets of the smallest patterns beyond it are taken apart, each source's
-#: document by itself: shares and uses stay exact, only the wish to repeat such a text in another source last is lost.
+#: Cells of patterns times sources that the driver holds. More are routed just so by one task, over files of its own.
 MAX_CELLS = 8_000_000
+#: Cells that this task holds at once.
+RANGE_CELLS = 1_000_000
 #: Sets of documents that one part of a pattern's circle has on average.
 PART_TEXTS = 20_000
 #: The documents of one text are ranked in 2 ** COPY_BITS parts, as one text may be a large part of all documents.
@@ -62,6 +68,9 @@ class Routing:
     def open(self, room: np.ndarray) -> None:
         """Let patterns give that much more, and fill the sources as far as that goes."""
         self.room += room
+        self.fill()
+
+    def fill(self) -> None:
         for s in np.flatnonzero(self.need > 0):
             self.need[s] -= self._direct(s, int(self.need[s]))
         lost: set[int] = set()
@@ -72,33 +81,187 @@ class Routing:
                 continue
             amount = int(self.need[left[0]])
             for a, b in zip(path, path[1:]):
-                amount = min(amount, int(np.minimum(self.most[:, a] - self.flow[:, a], self.flow[:, b]).sum()))
+                amount = min(amount, self._carried(a, b))
             amount = self._direct(path[-1], amount)
             for a, b in reversed(list(zip(path, path[1:]))):
-                moved = self._give(np.minimum(self.most[:, a] - self.flow[:, a], self.flow[:, b]), amount)
-                self.flow[:, a] += moved
-                self.flow[:, b] -= moved
+                self._move(a, b, amount)
             self.need[left[0]] -= amount
 
+    def _carried(self, a: int, b: int) -> int:
+        """What a could take of what b has."""
+        return int(np.minimum(self.most[:, a] - self.flow[:, a], self.flow[:, b]).sum())
+
+    def _move(self, a: int, b: int, amount: int) -> None:
+        moved = self._give(np.minimum(self.most[:, a] - self.flow[:, a], self.flow[:, b]), amount)
+        self.flow[:, a] += moved
+        self.flow[:, b] -= moved
+
+    def _finds_room(self, a: int) -> bool:
+        return bool(np.minimum(self.most[:, a] - self.flow[:, a], self.room).any())
+
+    def _givers(self, a: int) -> list[int]:
+        """Sources that have something which a could take."""
+        rows = np.flatnonzero(self.most[:, a] - self.flow[:, a])
+        return [int(b) for b in np.flatnonzero((self.flow[rows] > 0).any(axis=0))]
+
     def _path(self, s: int) -> tuple[list[int] | None, set[int]]:
         by, queue = {s: -1}, deque([s])
         while queue:
             a = queue.popleft()
-            free = self.most[:, a] - self.flow[:, a]
-            if np.minimum(free, self.room).any():
+            if self._finds_room(a):
                 path = []
                 while a >= 0:
                     path.append(a)
                     a = by[a]
                 return path[::-1], set(by)
-            rows = np.flatnonzero(free)
-            for b in np.flatnonzero((self.flow[rows] > 0).any(axis=0)):
-                if int(b) not in by:
-                    by[int(b)] = a
-                    queue.append(int(b))
+            for b in self._givers(a):
+                if b not in by:
+                    by[b] = a
+                    queue.append(b)
         return None, set(by)
 
 
+class FileRouting(Routing):
+    """The same flow over files in a folder: only cells of sources that hold a pattern, by source, taken up one range of patterns at a time."""
+
+    def __init__(self, folder: str, names: list[str], repeats: dict[str, int], batches: Iterator[pa.RecordBatch]) -> None:
+        """batches (pattern, grade, tokens), in order."""
+        self.folder, self.names, self.repeats = folder, names, np.array([repeats[s] for s in names], np.int64)
+        kinds = {"who": np.int32, "grade": np.int32, "amount": np.int64, "uses": np.int64, "size": np.int64}
+        files = {k: open(f"{folder}/{k}", "wb") for k in kinds}
+        held = np.zeros(len(names), np.int64)
+        for batch in batches:
+            lists = batch.column("pattern")
+            who = pc.index_in(lists.flatten(), value_set=pa.array(names, pa.string())).to_numpy(zero_copy_only=False).astype(np.int32)
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            if not len(size):
+                continue
+            held += np.bincount(who, minlength=len(names))
+            uses = np.add.reduceat(self.repeats[who], np.cumsum(size) - size)
+            for k, v in (("who", who), ("size", size), ("uses", uses), ("grade", batch.column("grade").to_numpy()), ("amount", batch.column("tokens").to_numpy())):
+                v.astype(kinds[k]).tofile(files[k])
+        for f in files.values():
+            f.close()
+        self.who, self.grade, self.amount, self.uses, size = (np.memmap(f"{folder}/{k}", v, "r") for k, v in kinds.items())
+        self.room = np.memmap(f"{folder}/room", np.int64, "w+", shape=self.amount.shape)
+        self.start = np.memmap(f"{folder}/start", np.int64, "w+", shape=len(size) + 1)  # where the cells of a pattern begin in who
+        self.start[1:] = np.cumsum(size)
+        step = max(1, RANGE_CELLS * len(size) // len(self.who))
+        self.edges = np.array([*range(0, len(size), step), len(size)], np.int64)
+        self.column = np.concatenate([[0], np.cumsum(held)])
+        self.rows, self.flow = (np.memmap(f"{folder}/{k}", np.int64, "w+", shape=self.who.shape) for k in ("rows", "flow"))
+        at = self.column[:-1].copy()
+        self.begin = np.empty((len(self.edges), len(names)), np.int64)  # where the cells of a source in a range begin
+        for r, (lo, hi) in enumerate(zip(self.edges, self.edges[1:])):
+            self.begin[r] = at
+            who = self.who[self.start[lo] : self.start[hi]]
+            order = np.argsort(who, kind="stable")
+            rows, ends = np.repeat(np.arange(lo, hi), np.diff(self.start[lo : hi + 1]))[order], np.cumsum(np.bincount(who, minlength=len(names)))
+            for s in np.unique(who):
+                own = rows[ends[s - 1] if s else 0 : ends[s]]
+                self.rows[at[s] : at[s] + len(own)] = own
+                at[s] += len(own)
+        self.begin[-1] = at
+
+    def _cells(self, r: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, flow, to be changed in place, and what is free, of a source in a range."""
+        i, j = self.begin[r, s], self.begin[r + 1, s]
+        rows, flow = self.rows[i:j], self.flow[i:j]
+        return rows, flow, self.amount[rows] * self.repeats[s] - flow
+
+    def _shared(self, r: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Flow of a and b and what a could take of b's, for the patterns both hold in a range, with their places."""
+        (ra, fa, free), (rb, fb, _) = self._cells(r, a), self._cells(r, b)
+        _, ia, ib = np.intersect1d(ra, rb, assume_unique=True, return_indices=True)
+        return fa, fb, ia, ib, np.minimum(free[ia], fb[ib])
+
+    def _ranges(self) -> range:
+        return range(len(self.edges) - 1)
+
+    def _direct(self, s: int, amount: int) -> int:
+        left = amount
+        for r in self._ranges():
+            if not left:
+                break
+            rows, flow, free = self._cells(r, s)
+            took = self._give(np.minimum(free, self.room[rows]), left)
+            flow += took
+            self.room[rows] -= took
+            left -= int(took.sum())
+        return amount - left
+
+    def _carried(self, a: int, b: int) -> int:
+        return sum(int(self._shared(r, a, b)[4].sum()) for r in self._ranges())
+
+    def _move(self, a: int, b: int, amount: int) -> None:
+        for r in self._ranges():
+            if not amount:
+                break
+            fa, fb, ia, ib, both = self._shared(r, a, b)
+            moved = self._give(both, amount)
+            fa[ia] += moved
+            fb[ib] -= moved
+            amount -= int(moved.sum())
+
+    def _finds_room(self, a: int) -> bool:
+        return any(np.minimum(free, self.room[rows]).any() for rows, _, free in (self._cells(r, a) for r in self._ranges()))
+
+    def _givers(self, a: int) -> list[int]:
+        found: set[int] = set()
+        for r in self._ranges():
+            lo, open_ = self.edges[r], np.zeros(self.edges[r + 1] - self.edges[r], bool)
+            rows, _, free = self._cells(r, a)
+            open_[rows - lo] = free > 0
+            for b in range(len(self.names)):
+                if b not in found:
+                    rows, flow, _ = self._cells(r, b)
+                    if ((flow > 0) & open_[rows - lo]).any():
+                        found.add(b)
+        return sorted(found)
+
+    def run(self, shares: dict[str, float], total: int | None) -> None:
+        live = np.flatnonzero(np.diff(self.column))  # sources with texts
+        share = np.array([shares[s] if k in set(live) else 0.0 for k, s in enumerate(self.names)])
+        whole = sum(shares[self.names[k]] for k in live)
+        capacity, pairs, high = np.zeros(len(self.names), np.int64), set(), 0
+        for r in self._ranges():
+            lo, hi = self.edges[r], self.edges[r + 1]
+            capacity += [int(self._cells(r, s)[2].sum()) for s in range(len(self.names))]
+            high += int((self.amount[lo:hi] * self.uses[lo:hi]).sum())
+            pairs |= set(zip((2 ** self.grade[lo:hi].astype(np.int64) - 1).tolist(), self.uses[lo:hi].tolist()))
+        quotas = lambda size: np.array([int(size * x / whole) for x in share], np.int64)
+        self.need = quotas(greatest(high if total is None else min(high, total), lambda size: bool((quotas(size) <= capacity).all())))
+        for level in sorted({b + k for b, n in pairs for k in range(n)}):
+            if not self.need.any():
+                break
+            for r in self._ranges():
+                lo, hi = self.edges[r], self.edges[r + 1]
+                before = 2 ** self.grade[lo:hi].astype(np.int64) - 1
+                self.room[lo:hi] += np.where((before <= level) & (level < before + self.uses[lo:hi]), self.amount[lo:hi], 0)
+            self.fill()
+
+    def stretches(self) -> Iterator[pa.RecordBatch]:
+        """(pattern, grade, around, first, last) of all patterns; first and last by source of the pattern."""
+        for r in self._ranges():
+            lo, hi = self.edges[r], self.edges[r + 1]
+            cells = [self._cells(r, s)[:2] for s in range(len(self.names))]
+            flow = np.concatenate([f for _, f in cells])[np.argsort(np.concatenate([x for x, _ in cells]), kind="stable")]
+            ends = (self.start[lo : hi + 1] - self.start[lo]).astype(np.int32)
+            summed = np.concatenate([[0], np.cumsum(flow)])
+            base = np.repeat(summed[ends[:-1]], np.diff(ends))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(self.names, pa.string()).take(pa.array(self.who[self.start[lo] : self.start[hi]])), pa.array(summed[:-1] - base), pa.array(summed[1:] - base))]
+            yield pa.RecordBatch.from_arrays([lists[0], pa.array(self.grade[lo:hi]), pa.array(self.amount[lo:hi]), *lists[1:]], names=["pattern", "grade", "around", "first", "last"])
+
+
+def greatest(high: int, fits: Callable[[int], bool]) -> int:
+    """The greatest size up to high that fits."""
+    low = 0
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
+    return low
+
+
 def route(patterns: dict[tuple, int], shares: dict[str, float], repeats: dict[str, int], total: int | None = None, apart: bool = False) -> dict[tuple[tuple, str], int]:
     """(pattern, source) -> tokens, for the greatest collection that meets all shares, or one of about total tokens if that is less.
 
@@ -130,13 +293,8 @@ def route(patterns: dict[tuple, int], shares: dict[str, float], repeats: dict[st
         whole_way.open(amount * uses)
         return not whole_way.need.any()
 
-    low, high = 0, int((amount * uses).sum())
-    if total is not None:
-        high = min(high, total)
-    while low < high:  # the greatest size whose quotas can be met
-        middle = (low + high + 1) // 2
-        low, high = (middle, high) if fits(middle) else (low, middle - 1)
-    best = Routing(most, quotas(low))
+    high = int((amount * uses).sum())
+    best = Routing(most, quotas(greatest(high if total is None else min(high, total), fits)))  # the greatest size whose quotas can be met
     levels = sorted({int(b) + k for b, n in set(zip(before.tolist(), uses.tolist())) for k in range(n)})
     for level in levels:  # a text's use number level costs its square, so the levels come in the order of their costs
         if not best.need.any():
@@ -155,16 +313,22 @@ def ranked(documents: DataFrame, seed: int) -> DataFrame:
     return parted.withColumn("nth", F.row_number().over(inner) - 1).join(base, ["digest", "source", "slice"]).select("digest", "source", "doc_id", "tokens", (F.col("base") + F.col("nth")).alias("rank"))
 
 
-def _bounded(texts: DataFrame, patterns: int, seed: int) -> DataFrame:
-    """texts with at most so many patterns, or else with the sets of the smallest patterns taken apart."""
-    sums = texts.groupBy("pattern", "grade").agg(F.sum("tokens").alias("weight"))
-    if sums.limit(patterns + 1).count() <= patterns:
-        return texts
-    kept = cut(sums.orderBy(F.desc("weight"), "pattern", "grade").limit(patterns // 2).select("pattern", "grade").withColumn("kept", F.lit(True)))
-    marked = texts.join(broadcast_if_small(kept), ["pattern", "grade"], "left")
-    apart = marked.where("kept is null").withColumn("one", F.explode("where"))
-    alone = apart.withColumn("where", F.array("one")).withColumn("pattern", F.array("one.source")).withColumn("at", F.xxhash64("digest", "rank", "one.source", F.lit(seed))).drop("one")
-    return cut(marked.where("kept").unionByName(alone).drop("kept"))
+def _routed_by_task(sums: DataFrame, shares: dict[str, float], repeats: dict[str, int], total: int | None) -> DataFrame:
+    """What route gives, as stretches, made by one task in files of its own, so that no memory has to hold all patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryDirectory() as folder:
+            batches = (b for b in batches if b.num_rows)
+            first = next(batches, None)
+            if first is not None:
+                flow = FileRouting(folder, sorted(shares), repeats, chain([first], batches))
+                flow.run(shares, total)
+                yield from flow.stretches()
+
+    ordered = sums.select("pattern", "grade", "tokens").repartition(1).sortWithinPartitions("pattern", "grade")
+    found = ordered.mapInArrow(run, "pattern array<string>, grade int, around long, first array<long>, last array<long>")
+    each = found.withColumn("source", F.col("pattern")).select("pattern", "grade", "around", F.inline(F.arrays_zip("source", "first", "last")))
+    return cut(each.where("last > first").select("pattern", "grade", "source", "first", "last", "around"))
 
 
 def mix(documents: DataFrame, source_mix: DataFrame, vocabulary: str = T.VOCABULARY, total_tokens: int | None = None, seed: int = SEED, part_texts: int = PART_TEXTS) -> DataFrame:
@@ -179,21 +343,26 @@ def mix(documents: DataFrame, source_mix: DataFrame, vocabulary: str = T.VOCABUL
     texts = ranked(held, seed).groupBy("digest", "rank").agg(F.max("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("source", "doc_id"))).alias("where"))  # one entry per source
     texts = texts.withColumn("pattern", F.expr("transform(where, x -> x.source)")).withColumn("grade", F.length(F.bin(F.col("rank") + 1)) - 1).withColumn("at", F.xxhash64("digest", "rank", F.lit(seed)))
     texts = cut(texts)
-    texts = _bounded(texts, max(1, MAX_CELLS // max(1, len(shares))), seed)
-    sums = texts.groupBy("pattern", "grade").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()  # bounded by _bounded
-    length = {(tuple(r["pattern"]), r["grade"]): int(r["tokens"]) for r in sums}
-    flows = route(length, shares, repeats, total_tokens, apart=True)
-    spark = documents.sparkSession
-    rows = []
-    for p in sorted(length):
-        at = 0
-        for s in p[0]:
-            if flow := flows.get((p, s)):
-                rows.append((list(p[0]), p[1], s, at, at + flow, length[p]))
-                at += flow
-    stretches = spark.createDataFrame(rows, "pattern array<string>, grade int, source string, first long, last long, around long")
+    sums = texts.groupBy("pattern", "grade").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    bound = max(1, MAX_CELLS // max(1, len(shares)))
+    known = sums.limit(bound + 1).collect()
+    if len(known) > bound:
+        sums = cut(sums)
+        most = sums.agg(F.max("n")).first()[0]
+        stretches = _routed_by_task(sums, shares, repeats, total_tokens)
+    else:
+        most = max([r["n"] for r in known], default=0)
+        length = {(tuple(r["pattern"]), r["grade"]): int(r["tokens"]) for r in known}
+        flows = route(length, shares, repeats, total_tokens, apart=True)
+        rows = []
+        for p in sorted(length):
+            at = 0
+            for s in p[0]:
+                if flow := flows.get((p, s)):
+                    rows.append((list(p[0]), p[1], s, at, at + flow, length[p]))
+                    at += flow
+        stretches = documents.sparkSession.createDataFrame(rows, "pattern array<string>, grade int, source string, first long, last long, around long")
     # seeded order and running sums: parts of the hash range, sums per part, then within each part
-    most = max([r["n"] for r in sums], default=0)
     bits = max(0, (most // part_texts).bit_length())
     part = F.shiftrightunsigned("at", 64 - bits) if bits else F.lit(0).cast("long")
     parted = texts.withColumn("part", part)

@@ -211,3 +211,28 @@ def test_long_documents_are_charged_to_their_source(spark):
     assert sorted(map(tuple, packed.collect())) == sorted(map(tuple, again.collect()))
     shares = {r["source"]: r for r in packing.shares(packed, mix).collect()}
     assert abs(sum(r["actual_share"] for r in shares.values()) - 1) < 1e-5 and all(0 <= r["mean_deviation"] <= r["largest_deviation"] <= 1 for r in shares.values())
+
+
+def test_routing_over_files_is_that_in_memory(spark, monkeypatch, tmp_path):
+    """p7: beyond the bound nothing is taken apart, and the collection is the same."""
+    rnd = random.Random(9)
+    names = [f"s{i}" for i in range(7)]
+    shares = {s: rnd.random() for s in names} | {"none": 0.5}
+    repeats = {s: rnd.randrange(1, 4) for s in names} | {"none": 2}
+    for total in (None, 60_000):
+        patterns = {(tuple(sorted(rnd.sample(names, rnd.randrange(1, 5)))), rnd.randrange(3)): rnd.randrange(1, 3_000) for _ in range(150)}
+        monkeypatch.setattr(mixing, "RANGE_CELLS", 23)
+        keys = sorted(patterns)
+        batches = [mixing.pa.RecordBatch.from_pylist([{"pattern": list(p), "grade": g, "tokens": patterns[p, g]} for p, g in part]) for part in (keys[:40], keys[40:])]
+        folder = tmp_path / str(total)
+        folder.mkdir()
+        flow = mixing.FileRouting(str(folder), sorted(shares), repeats, iter(batches))
+        flow.run(shares, total)
+        got = {((tuple(r["pattern"]), r["grade"]), s): b - a for batch in flow.stretches() for r in batch.to_pylist() for s, a, b in zip(r["pattern"], r["first"], r["last"]) if b > a}
+        assert got == mixing.route(patterns, shares, repeats, total, apart=True)
+    rows = [(k * 100 + i, f"text number {i} of some words", s) for k, s in enumerate("abc") for i in range(40) if rnd.random() < 0.7]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 2), ("c", 0.25, 2)], MIX)
+    whole = sorted(map(tuple, mixing.mix(df, mix).collect()))
+    monkeypatch.setattr(mixing, "MAX_CELLS", 3)
+    assert sorted(map(tuple, mixing.mix(df, mix).collect())) == whole and whole
