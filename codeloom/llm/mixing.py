@@ -122,7 +122,7 @@ class Routing:
 
 
 class FileRouting(Routing):
-    """The same flow over files in a folder: only cells of sources that hold a pattern, by source, taken up one range of patterns at a time."""
+    """The same flow over files in a folder: only cells of sources that hold a pattern, taken up one range of patterns at a time, within it by source."""
 
     def __init__(self, folder: str, names: list[str], repeats: dict[str, int], batches: Iterator[pa.RecordBatch]) -> None:
         """batches (pattern, grade, tokens), in order."""
@@ -142,30 +142,24 @@ class FileRouting(Routing):
                 v.astype(kinds[k]).tofile(files[k])
         for f in files.values():
             f.close()
-        self.who, self.grade, self.amount, self.uses, size = (np.memmap(f"{folder}/{k}", v, "r") for k, v in kinds.items())
-        self.room = np.memmap(f"{folder}/room", np.int64, "w+", shape=self.amount.shape)
-        self.start = np.memmap(f"{folder}/start", np.int64, "w+", shape=len(size) + 1)  # where the cells of a pattern begin in who
+        self.who, self.grade, self.amount, self.uses, size = (np.asarray(np.memmap(f"{folder}/{k}", v, "r")) for k, v in kinds.items())
+        self.room = np.asarray(np.memmap(f"{folder}/room", np.int64, "w+", shape=self.amount.shape))
+        self.start = np.asarray(np.memmap(f"{folder}/start", np.int64, "w+", shape=len(size) + 1))  # where the cells of a pattern begin in who
         self.start[1:] = np.cumsum(size)
         step = max(1, RANGE_CELLS * len(size) // len(self.who))
         self.edges = np.array([*range(0, len(size), step), len(size)], np.int64)
-        self.column = np.concatenate([[0], np.cumsum(held)])
-        self.rows, self.flow = (np.memmap(f"{folder}/{k}", np.int64, "w+", shape=self.who.shape) for k in ("rows", "flow"))
-        at = self.column[:-1].copy()
-        self.begin = np.empty((len(self.edges), len(names)), np.int64)  # where the cells of a source in a range begin
+        self.live = held > 0  # sources with texts
+        self.rows, self.flow = (np.asarray(np.memmap(f"{folder}/{k}", np.int64, "w+", shape=self.who.shape)) for k in ("rows", "flow"))
+        self.begin = np.empty((len(self.edges) - 1, len(names) + 1), np.int64)  # where the cells of a source in a range begin
         for r, (lo, hi) in enumerate(zip(self.edges, self.edges[1:])):
-            self.begin[r] = at
-            who = self.who[self.start[lo] : self.start[hi]]
-            order = np.argsort(who, kind="stable")
-            rows, ends = np.repeat(np.arange(lo, hi), np.diff(self.start[lo : hi + 1]))[order], np.cumsum(np.bincount(who, minlength=len(names)))
-            for s in np.unique(who):
-                own = rows[ends[s - 1] if s else 0 : ends[s]]
-                self.rows[at[s] : at[s] + len(own)] = own
-                at[s] += len(own)
-        self.begin[-1] = at
+            i, j = self.start[lo], self.start[hi]
+            who = self.who[i:j]
+            self.rows[i:j] = np.repeat(np.arange(lo, hi), np.diff(self.start[lo : hi + 1]))[np.argsort(who, kind="stable")]
+            self.begin[r] = i + np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(names)))])
 
     def _cells(self, r: int, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows, flow, to be changed in place, and what is free, of a source in a range."""
-        i, j = self.begin[r, s], self.begin[r + 1, s]
+        i, j = self.begin[r, s], self.begin[r, s + 1]
         rows, flow = self.rows[i:j], self.flow[i:j]
         return rows, flow, self.amount[rows] * self.repeats[s] - flow
 
@@ -207,22 +201,20 @@ class FileRouting(Routing):
         return any(np.minimum(free, self.room[rows]).any() for rows, _, free in (self._cells(r, a) for r in self._ranges()))
 
     def _givers(self, a: int) -> list[int]:
-        found: set[int] = set()
+        found = np.zeros(len(self.names), bool)
         for r in self._ranges():
-            lo, open_ = self.edges[r], np.zeros(self.edges[r + 1] - self.edges[r], bool)
+            lo, hi = self.edges[r], self.edges[r + 1]
+            open_ = np.zeros(hi - lo, bool)
             rows, _, free = self._cells(r, a)
             open_[rows - lo] = free > 0
-            for b in range(len(self.names)):
-                if b not in found:
-                    rows, flow, _ = self._cells(r, b)
-                    if ((flow > 0) & open_[rows - lo]).any():
-                        found.add(b)
-        return sorted(found)
+            i, j = self.start[lo], self.start[hi]
+            given = np.concatenate([[0], np.cumsum((self.flow[i:j] > 0) & open_[self.rows[i:j] - lo])])
+            found |= np.diff(given[self.begin[r] - i]) > 0
+        return [int(b) for b in np.flatnonzero(found)]
 
     def run(self, shares: dict[str, float], total: int | None) -> None:
-        live = np.flatnonzero(np.diff(self.column))  # sources with texts
-        share = np.array([shares[s] if k in set(live) else 0.0 for k, s in enumerate(self.names)])
-        whole = sum(shares[self.names[k]] for k in live)
+        share = np.array([shares[s] if self.live[k] else 0.0 for k, s in enumerate(self.names)])
+        whole = sum(shares[s] for k, s in enumerate(self.names) if self.live[k])
         capacity, pairs, high = np.zeros(len(self.names), np.int64), set(), 0
         for r in self._ranges():
             lo, hi = self.edges[r], self.edges[r + 1]
